@@ -9,6 +9,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Largest number of rows that may be broadcast; beyond it the same join shuffles.
@@ -93,7 +94,7 @@ def slices(batches: Iterator[pa.RecordBatch], column: str = "text", most: int =
     """Cut batches so that each holds about ``most`` bytes of text at most (or a single row)."""
     for batch in batches:
         col = batch.column(column)
-        sizes = np.array([0 if x is None else x for x in pa.compute.binary_length(col).to_pylist()], dtype=np.int64)
+        sizes = np.array([0 if x is None else x for x in pc.binary_length(col).to_pylist()], dtype=np.int64)
         start, total = 0, 0
         for i, n in enumerate(sizes):
             if total + n > most and i > start:

@@ -16,8 +16,10 @@ def _position(df: DataFrame, strata: list[str], cell: str, order: list, out: str
     counts = df.groupBy(*strata, cell).agg(F.count(F.lit(1)).alias("_n"))
     before = Window.partitionBy(*strata).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
-    keys = [df[k].eqNullSafe(offsets[k]) for k in [*strata, cell]]
-    joined = df.join(offsets, keys, "inner").select(*[df[c] for c in df.columns], offsets["_offset"])
+    keys = [*strata, cell]
+    offsets = offsets.select(*[F.col(k).alias(f"_{k}") for k in keys], "_offset")
+    match = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
+    joined = df.join(offsets, match, "inner").drop(*[f"_{k}" for k in keys])
     within = Window.partitionBy(*strata, cell).orderBy(*order)
     return joined.withColumn(out, F.col("_offset") + F.row_number().over(within) - 1).drop("_offset")
 
@@ -47,8 +49,8 @@ def shard(docs: DataFrame, shards: int = 40, seed: int = 7, cell_rows: int = 200
     rows = rows.withColumn("cell", F.floor(unit * cells).cast("int"))
     order = ["h", "doc_id", "text_crc32", "bytes"]
     ranked = _position(rows, ["stratum"], "cell", order, "rank").drop("cell")
-    sizes = rows.groupBy("stratum").agg(F.count(F.lit(1)).alias("of"))
-    ranked = ranked.join(sizes, ranked.stratum.eqNullSafe(sizes.stratum)).drop(sizes.stratum)
+    sizes = rows.groupBy(F.col("stratum").alias("_stratum")).agg(F.count(F.lit(1)).alias("of"))
+    ranked = ranked.join(sizes, F.col("stratum").eqNullSafe(F.col("_stratum"))).drop("_stratum")
     ranked = ranked.withColumn("fraction", (F.col("rank") + 0.5) / F.col("of"))
     ranked = ranked.withColumn("cell", F.floor(F.col("fraction") * cells).cast("int")).withColumn("all", F.lit(0))
     placed = _position(ranked, ["all"], "cell", ["fraction", *order, "stratum"], "place")
