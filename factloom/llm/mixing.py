@@ -26,23 +26,22 @@ def topic_of(tokens: Column, text: Column) -> Column:
     )
 
 
-def rake(tokens: np.ndarray, margins: list[np.ndarray], targets: list[np.ndarray], rounds: int = 200, tol: float = 1e-10) -> np.ndarray:
-    """Cell masses with the given margins, proportional to ``tokens`` within what the margins leave free.
+def rake(tokens: np.ndarray, margins: list[np.ndarray], targets: list[np.ndarray], keep: float = 1.0, rounds: int = 500, tol: float = 1e-9) -> np.ndarray:
+    """Cell masses of ``keep`` of all tokens with the given margins, none above what its cell has.
 
     tokens: mass of each cell; margins: each cell's category in each margin; targets: each
-    margin's shares, summing to 1. Categories without mass keep none. Stops when all margins
-    hold to ``tol``.
+    margin's shares, summing to 1. Each pass scales to one margin and cuts at the cell's own
+    mass; a category without enough mass is taken whole. Stops when a round changes nothing.
     """
-    fitted = tokens / max(tokens.sum(), 1e-300)
+    budget = keep * tokens.sum()
+    fitted = keep * tokens
     for _ in range(rounds):
-        worst = 0.0
+        before = fitted
         for category, target in zip(margins, targets):
             now = np.bincount(category, fitted, len(target))
-            reach = np.where(now > 0, target, 0)
-            reach = reach / max(reach.sum(), 1e-300)
-            worst = max(worst, float(np.abs(now - reach).max(initial=0)))
-            fitted = fitted * np.where(now > 0, reach / np.where(now > 0, now, 1), 0)[category]
-        if worst < tol:
+            factor = np.where(now > 0, target * budget / np.where(now > 0, now, 1), 0)
+            fitted = np.minimum(fitted * factor[category], tokens)
+        if np.abs(fitted - before).max(initial=0) <= tol * max(budget, 1e-300):
             break
     return fitted
 
@@ -55,15 +54,15 @@ def flattened(mass: dict[str, float], temperature: float) -> dict[str, float]:
     return {k: v / whole for k, v in lifted.items()}
 
 
-def weigh(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, temperature: float = 0.7, seed: int = 11, topic: Column | None = None) -> DataFrame:
+def weigh(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, keep: float = 0.6, temperature: float = 0.9, seed: int = 11, topic: Column | None = None) -> DataFrame:
     """``docs`` with columns mix_tokens, mix_prob and mix_kept.
 
     targets: shares by category for any of source, lang and topic; where absent, the table's own
     token shares raised to ``temperature``. Token masses of the cells (source, lang, topic) are
-    raked to the three margins; a document is kept with probability proportional to its cell's
-    raked over present mass, scaled so that the largest is 1: kept tokens then have the target
-    margins in expectation and nothing is repeated. Draws are a seeded hash of the id, so
-    reruns and lost executors change nothing.
+    raked to the three margins at ``keep`` of all tokens; a document is kept with its cell's raked
+    over present mass as probability: kept tokens then have the target margins in expectation,
+    as far as categories have the tokens, and nothing is repeated. Draws are a seeded hash of
+    the id, so reruns and lost executors change nothing.
 
     Counts come from all documents. The cells collected are at most (MOST_CATEGORIES + 1)**2 * 5:
     categories beyond the largest of a margin (or without a target) share ``(other)``. Null
@@ -92,9 +91,8 @@ def weigh(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, t
         margins.append(np.array([values.index(r[k]) for r in rows], dtype=int))
         share = np.array([want.get(v, 0.0) for v in values], dtype=float)
         shares.append(share / max(share.sum(), 1e-300))
-    weight = np.where(mass > 0, rake(mass, margins, shares) / np.where(mass > 0, mass, 1), 0.0) if rows else mass
-    top = weight.max(initial=0.0)
-    probs = [1.0 if m == 0 else float(w / top) if top > 0 else 0.0 for w, m in zip(weight, mass)]
+    raked = rake(mass, margins, shares, keep)
+    probs = [float(r / m) if m > 0 else 1.0 for r, m in zip(raked, mass)]
     spark = docs.sparkSession
     fitted = spark.createDataFrame([(r["source"], r["lang"], r["topic"], p) for r, p in zip(rows, probs)], "_s string, _l string, _t string, mix_prob double")
     fold = {k: F.when(e.isin(kept[k]), e).otherwise(OTHER) for k, e in keyed.items()}

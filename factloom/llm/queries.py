@@ -3,13 +3,19 @@
 from __future__ import annotations
 
 from .bpe_codec import op7_bpe_codec
+from .language import op6_language
+from .lm_score import op2_lm_score
+from .minhash import op5_minhash
 from .mixing import op4_mixing
 from .shards import op10_sharding
 from .token_counts import op3_token_counts
 
 QUERIES = {
+    "op2_lm_score": op2_lm_score,
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
+    "op5_minhash": op5_minhash,
+    "op6_language": op6_language,
     "op7_bpe_codec": op7_bpe_codec,
     "op10_sharding": op10_sharding,
 }
