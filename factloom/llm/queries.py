@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+from .ann import op9_permutation_index
 from .bpe_codec import op7_bpe_codec
+from .embed_dedup import op8_cross_polytope
 from .language import op6_language
 from .lm_score import op2_lm_score
 from .minhash import op5_minhash
@@ -17,6 +19,8 @@ QUERIES = {
     "op5_minhash": op5_minhash,
     "op6_language": op6_language,
     "op7_bpe_codec": op7_bpe_codec,
+    "op8_cross_polytope": op8_cross_polytope,
+    "op9_permutation_index": op9_permutation_index,
     "op10_sharding": op10_sharding,
 }
 ORACLE_SQL: dict[str, str] = {}
