@@ -35,32 +35,33 @@ def components(edges: DataFrame) -> DataFrame:
         e = following
 
 
-def link(posts: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
-    """Components of the graph of verified candidate pairs, where candidates share a bucket.
+def link(posts: DataFrame, attributes: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """(node, root) components of the graph of verified candidate pairs, where candidates share a bucket.
 
-    posts: (bucket, id, and what ``near`` reads), one row per bucket and id.
+    posts: (bucket, id), one row per bucket and id.
+    attributes: id and what ``near`` reads.
     near(x, y): a cheap necessary condition of a link on the columns of two aliases, tested inside the join.
     verify: pairs (a, b) to the true links among them.
-    Returns (links used, their components).
 
     Pairs within a bucket are not all made. First each id is compared with one pivot, the
     smallest id of the buckets it shares most; then only those pairs of a bucket are compared
     whose ids the first links have left in different components. The components are those of
     all verified pairs: a pair that is never compared lies in one component already.
     """
-    heads = posts.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    shared = materialise(posts.join(heads, "bucket"))
+    spark = posts.sparkSession
+    dealt = posts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket")  # one exchange for both uses
+    heads = dealt.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
+    shared = materialise(dealt.join(heads.hint("shuffle_hash"), "bucket"))
     star = shared.where(F.col("id") != F.col("pivot")).groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("n"))
     star = star.groupBy("id").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("b"))
     first = materialise(verify(star.select(F.col("id").alias("a"), "b")))
     roots = components(first)
     tagged = shared.drop("pivot").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
     mixed = tagged.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    tagged = materialise(tagged.join(mixed, "bucket"))
+    tagged = materialise(tagged.join(mixed, "bucket").join(attributes, "id"))
     x, y = tagged.alias("x"), tagged.alias("y")
     pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & near("x", "y"))
-    pairs = pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct()
-    links = materialise(first.unionByName(materialise(verify(pairs))))
-    out = components(links)
-    discard(shared, tagged, first)
-    return links, out
+    pairs = materialise(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    out = components(first.unionByName(verify(pairs)))
+    discard(shared, tagged, first, pairs)
+    return out

@@ -18,6 +18,8 @@ TABLES = 8
 PROBES = 2
 #: Rows of a bucket that are compared in one task; larger buckets are cut into pairs of such blocks.
 BLOCK = 2048
+#: Buckets up to this size are compared together.
+SMALL = 64
 
 
 def hadamard(x: np.ndarray) -> np.ndarray:
@@ -141,24 +143,63 @@ def near_vectors(rows: DataFrame, least: float = 0.93, block: int = BLOCK) -> Da
     def verified(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: pa.Table | None = None
 
-        def work(part: pa.Table) -> pa.RecordBatch | None:
-            ids, weight, mine = (part[c].to_numpy() for c in ("rep", "weight", "mine"))
-            x = matrix(part["embedding"])
-            posts, code = matrix_of_longs(part["posts"]), int(part["code"][0].as_py())
-            a, b = np.flatnonzero(mine == part["x"][0].as_py()), np.flatnonzero(mine == part["y"][0].as_py())
-            if part["x"][0].as_py() == part["y"][0].as_py():
-                i, j = _pairs(x, None, least)
-            else:
-                i, j = _pairs(x[a], x[b], least)
-                i, j = a[i], b[j]
+        def told(part: pa.Table, i: np.ndarray, j: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """What linked pairs of rows of ``part``, each pair in one bucket, say of each row."""
             if not len(i):
-                return None
-            first = _first_meeting(posts[i], posts[j]) == code
+                return
+            ids, weight, code = (part[c].to_numpy() for c in ("rep", "weight", "code"))
+            posts = matrix_of_longs(part["posts"])
+            first = np.concatenate([_first_meeting(posts[i[k : k + 65536]], posts[j[k : k + 65536]]) for k in range(0, len(i), 65536)]) == code[i]
             links = np.bincount(i[first], weight[j[first]], len(ids)) + np.bincount(j[first], weight[i[first]], len(ids))
-            root = _spanning(i, j, ids)
+            names, at = np.unique(ids, return_inverse=True)
+            root = _spanning(at[i], at[j], names)[at]
             use = np.zeros(len(ids), dtype=bool)
             use[i], use[j] = True, True
-            return pa.RecordBatch.from_arrays([pa.array(ids[use]), pa.array(links[use].astype(np.int64)), pa.array(root[use])], ["rep", "links", "root"])
+            yield pa.RecordBatch.from_arrays([pa.array(ids[use]), pa.array(links[use].astype(np.int64)), pa.array(root[use])], ["rep", "links", "root"])
+
+        def large(part: pa.Table) -> Iterator[pa.RecordBatch]:
+            mine, x, y = part["mine"].to_numpy(), part["x"][0].as_py(), part["y"][0].as_py()
+            vectors = matrix(part["embedding"])
+            if x == y:
+                i, j = _pairs(vectors, None, least)
+            else:
+                a, b = np.flatnonzero(mine == x), np.flatnonzero(mine == y)
+                i, j = _pairs(vectors[a], vectors[b], least)
+                i, j = a[i], b[j]
+            yield from told(part, i, j)
+
+        def work(part: pa.Table, edges: np.ndarray) -> Iterator[pa.RecordBatch]:
+            """Buckets between edges: large ones by matrix products, all small ones together pair by pair."""
+            size = np.diff(edges)
+            for k in np.flatnonzero(size > SMALL).tolist():
+                yield from large(part.slice(int(edges[k]), int(size[k])))
+            dims = part["embedding"].combine_chunks().value_lengths().to_numpy()
+            end = np.repeat(edges[1:], size)
+            row = np.flatnonzero(np.repeat(size, size) <= SMALL)
+            x_cross = part["x"].to_numpy() != part["y"].to_numpy()
+            mine = part["mine"].to_numpy()
+            for dim in np.unique(dims[row]).tolist():
+                rows = row[dims[row] == dim]
+                later = end[rows] - rows - 1
+                where = np.full(part.num_rows, -1, dtype=np.int64)
+                where[rows] = np.arange(len(rows))
+                sub = part.take(rows)
+                vectors = matrix(sub["embedding"])
+                unit = vectors / np.linalg.norm(vectors, axis=1, keepdims=True)
+                cuts = np.searchsorted(np.cumsum(later), np.arange(0, int(later.sum()) + 1, 200_000))
+                cuts = np.unique(np.r_[0, cuts, len(rows)])
+                got = []
+                for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+                    i = np.repeat(rows[lo:hi], later[lo:hi])
+                    j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(later[lo:hi]) - later[lo:hi], later[lo:hi])
+                    fair = ~x_cross[i] | (mine[i] != mine[j])
+                    i, j = where[i[fair]], where[j[fair]]
+                    near = np.einsum("ij,ij->i", unit[i], unit[j]) >= least - 1e-9
+                    i, j = i[near], j[near]
+                    exact = np.einsum("ij,ij->i", vectors[i], vectors[j]) / (np.linalg.norm(vectors[i], axis=1) * np.linalg.norm(vectors[j], axis=1))
+                    got.append((i[exact >= least], j[exact >= least]))
+                if got:
+                    yield from told(sub, *(np.concatenate(g) for g in zip(*got)))
 
         for b in batches:
             t = pa.Table.from_batches([b])
@@ -166,12 +207,11 @@ def near_vectors(rows: DataFrame, least: float = 0.93, block: int = BLOCK) -> Da
             keys = np.stack([held[c].to_numpy().astype(np.int64) for c in ("key", "code", "x", "y")])
             cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
             edges = np.r_[0, cuts]
-            for lo, hi in zip(edges[:-1].tolist(), edges[1:].tolist()):
-                if hi - lo > 1 and (out := work(held.slice(lo, hi - lo))) is not None:
-                    yield out
+            if len(cuts):
+                yield from work(held.slice(0, int(edges[-1])), edges)
             held = held.slice(int(edges[-1]))
-        if held is not None and held.num_rows > 1 and (out := work(held)) is not None:
-            yield out
+        if held is not None and held.num_rows > 1:
+            yield from work(held, np.array([0, held.num_rows]))
 
     order = ["key", "code", "x", "y"]
     met = split.select(*order, "mine", "rep", "weight", "embedding", "posts").repartition(*order).sortWithinPartitions(*order)

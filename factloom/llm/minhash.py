@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import materialise, mix, slices, small, span_hashes, table, texts_of, words_of
+from .common import discard, materialise, mix, slices, small, span_hashes, table, texts_of, words_of
 from .components import link
 
 SHINGLE = 5
@@ -166,7 +166,8 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     groups = signed.where("n > 0").groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("rep"))
     groups = materialise(groups)
     reps = signed.where("n > 0").join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    posts = reps.select(F.col("doc_id").alias("id"), "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH // 64)], F.explode("bands").alias("bucket"))
+    posts = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
+    attributes = reps.select(F.col("doc_id").alias("id"), "n", *[F.col("sketch")[i].alias(f"s{i}") for i in range(SKETCH // 64)])
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs)
@@ -174,9 +175,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         sets = materialise(sets_of(docs.join(small(needed), "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
         a, b = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
-        return pairs.join(a, "a").join(b, "b").where(both * 100 >= (F.size("sa") + F.size("sb") - both) * 75).select("a", "b")
+        out = materialise(pairs.join(a, "a").join(b, "b").where(both * 100 >= (F.size("sa") + F.size("sb") - both) * 75).select("a", "b"))
+        discard(pairs, needed, sets)
+        return out
 
-    _, roots = link(posts, near, verify)
+    roots = link(posts, attributes, near, verify)
     named = groups.join(roots, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", "n", F.coalesce("root", "rep").alias("component"))
     out = signed.select("doc_id", "n", "set_a", "set_b").join(named, ["set_a", "set_b", "n"], "left")
     component = F.coalesce("component", "doc_id")

@@ -6,6 +6,7 @@ from .ann import op9_permutation_index
 from .bpe_codec import op7_bpe_codec
 from .embed_dedup import op8_cross_polytope
 from .language import op6_language
+from .line_dedup import op1_line_dedup
 from .lm_score import op2_lm_score
 from .minhash import op5_minhash
 from .mixing import op4_mixing
@@ -13,6 +14,7 @@ from .shards import op10_sharding
 from .token_counts import op3_token_counts
 
 QUERIES = {
+    "op1_line_dedup": op1_line_dedup,
     "op2_lm_score": op2_lm_score,
     "op3_token_counts": op3_token_counts,
     "op4_mixing": op4_mixing,
