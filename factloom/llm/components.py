@@ -8,10 +8,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from .common import discard, materialise
 
+#: Further rounds of pivots, and pivots an id is compared with in one, where open pairs exceed CHEAP times the posts.
+ROUNDS, TRIES, CHEAP = 1, 4, 4
+
 
 def components(edges: DataFrame) -> DataFrame:
     """(a, b) links to (node, root) for every node that has a link; root is the smallest node reachable.
@@ -35,6 +38,13 @@ def components(edges: DataFrame) -> DataFrame:
         e = following
 
 
+def _open_pairs(tagged: DataFrame) -> int:
+    """Pairs of one bucket and different roots, counted by bucket without making them."""
+    sizes = tagged.groupBy("bucket", "root").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    open_ = sizes.groupBy("bucket").agg(((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))) / 2).alias("p"))
+    return int(open_.agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0])
+
+
 def link(posts: DataFrame, attributes: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """(node, root) components of the graph of verified candidate pairs, where candidates share a bucket.
 
@@ -43,25 +53,43 @@ def link(posts: DataFrame, attributes: DataFrame, near: Callable[[str, str], Col
     near(x, y): a cheap necessary condition of a link on the columns of two aliases, tested inside the join.
     verify: pairs (a, b) to the true links among them.
 
-    Pairs within a bucket are not all made. First each id is compared with one pivot, the
-    smallest id of the buckets it shares most; then only those pairs of a bucket are compared
-    whose ids the first links have left in different components. The components are those of
-    all verified pairs: a pair that is never compared lies in one component already.
+    Pairs within a bucket are not all made. Each bucket has a pivot, the id that shares buckets
+    with most others: among copies of one original, the original. First each id is compared with
+    the pivot it shares most buckets with, then, where buckets still hold many ids of different
+    components, with a few pivots more; at last all pairs of a bucket are compared whose ids the
+    links so far have left in different components. The components are those of all verified
+    pairs: a pair that is never compared lies in one component already.
     """
     spark = posts.sparkSession
     dealt = posts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket")  # one exchange for both uses
-    heads = dealt.groupBy("bucket").agg(F.min("id").alias("pivot"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n")
-    shared = materialise(dealt.join(heads.hint("shuffle_hash"), "bucket"))
-    star = shared.where(F.col("id") != F.col("pivot")).groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("n"))
+    crowds = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    shared = materialise(dealt.join(crowds.hint("shuffle_hash"), "bucket"))
+    weight = shared.groupBy("id").agg(F.sum("n").alias("w"))
+    weighed = materialise(shared.drop("n").join(weight, "id"))
+    pivots = weighed.groupBy("bucket").agg(F.max(F.struct("w", (-F.col("id")).alias("i"))).alias("p")).select("bucket", (-F.col("p.i")).alias("pivot"))
+    star = weighed.join(pivots, "bucket").where(F.col("id") != F.col("pivot")).groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("n"))
     star = star.groupBy("id").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("b"))
     first = materialise(verify(star.select(F.col("id").alias("a"), "b")))
-    roots = components(first)
-    tagged = shared.drop("pivot").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
-    mixed = tagged.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
-    tagged = materialise(tagged.join(mixed, "bucket").join(attributes, "id"))
+    links = first
+    for turn in range(ROUNDS + 1):
+        roots = components(links)
+        tagged = shared.drop("n").join(roots, F.col("id") == F.col("node"), "left").withColumn("root", F.coalesce("root", "id")).drop("node")
+        mixed = tagged.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("bucket")
+        tagged = materialise(tagged.join(mixed, "bucket"))
+        if turn == ROUNDS or _open_pairs(tagged) <= CHEAP * tagged.count():
+            break
+        # too many pairs are open: more pivots first, drawn anew in each bucket
+        draw = F.struct(F.xxhash64(F.lit(turn), "id", "bucket").alias("h"), F.col("id").alias("pivot"), F.col("root").alias("proot"))
+        drawn = tagged.groupBy("bucket").agg(F.max(draw).alias("d")).select("bucket", "d.pivot", "d.proot")
+        tries = tagged.join(drawn, "bucket").where("root <> proot").groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("n"))
+        few = Window.partitionBy("id").orderBy(F.desc("n"), "pivot")
+        tries = tries.withColumn("k", F.row_number().over(few)).where(F.col("k") <= TRIES)
+        more = materialise(verify(tries.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()))
+        links = links.unionByName(more)
+    tagged = materialise(tagged.join(attributes, "id"))
     x, y = tagged.alias("x"), tagged.alias("y")
     pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & near("x", "y"))
     pairs = materialise(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
-    out = components(first.unionByName(verify(pairs)))
-    discard(shared, tagged, first, pairs)
+    out = components(links.unionByName(verify(pairs)))
+    discard(shared, weighed, tagged, pairs)
     return out
