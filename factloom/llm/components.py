@@ -86,9 +86,12 @@ def link(posts: DataFrame, attributes: DataFrame, near: Callable[[str, str], Col
         tries = tries.withColumn("k", F.row_number().over(few)).where(F.col("k") <= TRIES)
         more = materialise(verify(tries.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()))
         links = links.unionByName(more)
+    # a pair that shares several buckets is made in the smallest of them only; an id has few buckets
+    tagged = tagged.join(tagged.groupBy("id").agg(F.collect_set("bucket").alias("buckets")), "id")
     tagged = materialise(tagged.join(attributes, "id"))
     x, y = tagged.alias("x"), tagged.alias("y")
-    pairs = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & near("x", "y"))
+    open_ = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & near("x", "y")
+    pairs = x.join(y, open_ & (F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("x.bucket")))
     pairs = materialise(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
     out = components(links.unionByName(verify(pairs)))
     discard(shared, weighed, tagged, pairs)
