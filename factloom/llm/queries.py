@@ -10,6 +10,7 @@ from .line_dedup import op1_line_dedup
 from .lm_score import op2_lm_score
 from .minhash import op5_minhash
 from .mixing import op4_mixing
+from .oracles import OP5, OP8
 from .shards import op10_sharding
 from .token_counts import op3_token_counts
 
@@ -25,4 +26,4 @@ QUERIES = {
     "op9_permutation_index": op9_permutation_index,
     "op10_sharding": op10_sharding,
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {"op5_minhash": OP5, "op8_cross_polytope": OP8}
