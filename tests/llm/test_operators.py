@@ -2,13 +2,14 @@ import hashlib
 import zlib
 from collections import Counter
 
+import duckdb
 import numpy as np
 import public_tokenizers as P
 import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from factloom.llm import ann, bpe_codec, embed_dedup, language, line_dedup, lm_score, minhash, mixing, shards, token_counts
+from factloom.llm import ann, bpe_codec, embed_dedup, language, line_dedup, lm_score, minhash, mixing, oracles, shards, token_counts
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -202,6 +203,15 @@ def test_embedding_dedup_matches_brute_force(spark, block):
     assert got == {(r[0], links[r[0]], find(r[0]), find(r[0]) == r[0]) for r in rows} and sum(links.values()) > 40
 
 
+def test_sql_states_the_same_near_duplicates(spark):
+    vec, text = vectors(spark)[1], spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    con = duckdb.connect()
+    for name, df, sql, op in (("embeddings", vec, oracles.OP8, embed_dedup.near_vectors), ("documents", text, oracles.OP5, minhash.near_duplicates)):
+        con.register(name, df.toArrow())
+        want = sorted(con.execute(sql).fetchall())
+        assert sorted(map(tuple, op(df).collect())) == want and any(not r[3] for r in want)
+
+
 def test_ann(spark):
     rows, df = vectors(spark)
     ok, got = usable(rows), {}
