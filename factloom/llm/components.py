@@ -62,7 +62,7 @@ def link(posts: DataFrame, attributes: DataFrame, near: Callable[[str, str], Col
     """
     spark = posts.sparkSession
     dealt = posts.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "bucket")  # one exchange for both uses
-    crowds = dealt.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    crowds = dealt.groupBy("bucket").agg(F.count("id").alias("n")).where("n > 1")  # names the id, or the exchange is made twice
     shared = materialise(dealt.join(crowds.hint("shuffle_hash"), "bucket"))
     weight = shared.groupBy("id").agg(F.sum("n").alias("w"))
     weighed = materialise(shared.drop("n").join(weight, "id"))

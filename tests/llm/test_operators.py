@@ -117,6 +117,26 @@ def test_line_dedup_matches_brute_force(spark):
     assert len(gone) >= 4
 
 
+def test_line_dedup_finds_lines_of_edit_similarity_alone(spark):
+    rng = np.random.default_rng(7)
+    letters = np.array(list("abcdefghijklmnopqrstuvwxyz"))
+    rows, wanted = [], {}
+    for length in (10, 15, 20, 30, 45, 60, 90, 150, 300, 700):
+        for edits in sorted({1, max(1, length // 20), length // 10}):
+            for _ in range(12):
+                line = "".join(rng.choice(letters, length))
+                line = "".join(" " if 0 < i < length - 1 and i % 6 == 5 else c for i, c in enumerate(line))
+                other = list(line)
+                for at in rng.choice([i for i, c in enumerate(line) if c != " "], edits, replace=False):
+                    other[at] = "x" if other[at] != "x" else "y"
+                rows += [(len(rows), line), (len(rows) + 1, "".join(other))]
+                wanted[len(rows) - 1] = length
+    out = line_dedup.deduplicate(spark.createDataFrame(rows, "doc_id long, text string"))
+    dropped = {r["doc_id"] for r in out.where("line_dropped > 0").collect()}
+    assert dropped <= set(wanted) and {i for i, n in wanted.items() if n < 38} <= dropped
+    assert len(dropped) >= 0.97 * len(wanted)
+
+
 def test_lm_scores(spark, docs):
     held = lambda i: zlib.crc32(str("" if i is None else i).encode()) % 5 == 1
     rows = docs.select("doc_id", "text").collect()
