@@ -110,11 +110,16 @@ def _keys(sig: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return band.view(np.int64), sketch
 
 
-SIGNED = "doc_id long, n long, set_a long, set_b long, bands array<long>, sketch array<long>"
+SIGNED = "doc_id long, key long, n long, set_a long, set_b long, bands array<long>, sketch array<long>"
+
+
+def row_key() -> Column:
+    """What tells rows apart: a hash of id and text, so that null and repeated ids have their own."""
+    return F.xxhash64(F.col("doc_id").cast("long"), "text")
 
 
 def signatures(docs: DataFrame) -> DataFrame:
-    """doc_id, set size n, two hashes that identify the set, band keys and sketch of every document."""
+    """doc_id, key, set size n, two hashes that identify the set, band keys and sketch of every document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
@@ -126,20 +131,20 @@ def signatures(docs: DataFrame) -> DataFrame:
             whole = (prefix[:, bounds[1:]] - prefix[:, bounds[:-1]]).view(np.int64)
             bands, sketch = _keys(superminhash(hashes, bounds, SKETCH))
             cut = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(whole[0]), pa.array(whole[1]), cut(bands), cut(sketch)], ["doc_id", "n", "set_a", "set_b", "bands", "sketch"])
+            yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(n, pa.int64()), pa.array(whole[0]), pa.array(whole[1]), cut(bands), cut(sketch)], ["doc_id", "key", "n", "set_a", "set_b", "bands", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, SIGNED)
+    return docs.select(F.col("doc_id").cast("long"), row_key().alias("key"), "text").mapInArrow(run, SIGNED)
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
-    """doc_id and the sorted shingle hashes of every document."""
+    """key and the sorted shingle hashes of every document of ``docs`` (key, text)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
             hashes, bounds = shingle_sets(texts_of(b.column("text")))
-            yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.ListArray.from_arrays(bounds.astype(np.int32), hashes.view(np.int64))], ["doc_id", "set"])
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.ListArray.from_arrays(bounds.astype(np.int32), hashes.view(np.int64))], ["key", "set"])
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, "doc_id long, set array<long>")
+    return docs.select("key", "text").mapInArrow(run, "key long, set array<long>")
 
 
 def near(x: str, y: str) -> Column:
@@ -156,41 +161,62 @@ def near(x: str, y: str) -> Column:
     return fair & (sum(differing(i) for i in range(SKETCH // 8)) <= most)
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id and kept of every document.
-
-    Documents are linked when 100 * |A & B| >= 75 * |A | B| over their sets of distinct 5-word
-    shingles. Equal sets are one class from the start, compared as its smallest id. Band buckets
-    of SuperMinHash signatures give candidates (see ``components.link`` for how few of a
-    bucket's pairs are needed); every link used is confirmed on the full sets, which are worked
-    out again for candidates only.
-
-    Null and blank texts have an empty set and link with nothing; texts of fewer than five words
-    are one shingle; rows with the same id count as one document if their sets agree; an empty
-    table gives no rows.
-    """
+def _marked(docs: DataFrame) -> DataFrame:
+    """doc_id, key, n, component and kept of every row; see ``near_duplicates``."""
     signed = materialise(signatures(docs))
-    groups = signed.where("n > 0").groupBy("set_a", "set_b", "n").agg(F.min("doc_id").alias("rep"))
-    groups = materialise(groups)
-    reps = signed.where("n > 0").join(groups.select(F.col("rep").alias("doc_id")), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-    posts = reps.select(F.col("doc_id").alias("id"), F.explode("bands").alias("bucket"))
-    attributes = reps.select(F.col("doc_id").alias("id"), "n", "sketch")
+    filled = signed.where("n > 0")
+    first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "set_a", "set_b", F.when(F.col("doc_id").isNull(), F.col("key")).alias("key"))
+    groups = materialise(filled.groupBy("set_a", "set_b", "n").agg(F.min("key").alias("rep"), F.min(first).alias("first")))
+    reps = filled.join(groups.select(F.col("rep").alias("key")), "key", "left_semi").dropDuplicates(["key"])
+    posts = reps.select(F.col("key").alias("id"), F.explode("bands").alias("bucket"))
+    attributes = reps.select(F.col("key").alias("id"), "n", "sketch")
+    keyed = docs.select(row_key().alias("key"), "text")
 
     def verify(pairs: DataFrame) -> DataFrame:
         pairs = materialise(pairs)
-        needed = materialise(pairs.select(F.col("a").alias("doc_id")).union(pairs.select(F.col("b").alias("doc_id"))).distinct())
-        sets = materialise(sets_of(docs.join(small(needed), "doc_id", "left_semi")).dropDuplicates(["doc_id"]))
-        a, b = sets.select(F.col("doc_id").alias("a"), F.col("set").alias("sa")), sets.select(F.col("doc_id").alias("b"), F.col("set").alias("sb"))
+        needed = materialise(pairs.select(F.col("a").alias("key")).union(pairs.select(F.col("b").alias("key"))).distinct())
+        sets = materialise(sets_of(keyed.join(small(needed), "key", "left_semi")).dropDuplicates(["key"]))
+        a, b = sets.select(F.col("key").alias("a"), F.col("set").alias("sa")), sets.select(F.col("key").alias("b"), F.col("set").alias("sb"))
         both = F.size(F.array_intersect("sa", "sb"))
         out = materialise(pairs.join(a, "a").join(b, "b").where(both * 100 >= (F.size("sa") + F.size("sb") - both) * 75).select("a", "b"))
         discard(pairs, needed, sets)
         return out
 
     roots = link(posts, attributes, near, verify)
-    named = groups.join(roots, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", "n", F.coalesce("root", "rep").alias("component"))
-    out = signed.select("doc_id", "n", "set_a", "set_b").join(named, ["set_a", "set_b", "n"], "left")
-    component = F.coalesce("component", "doc_id")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), (F.col("doc_id") == component).alias("kept"))
+    named = materialise(groups.join(roots, F.col("rep") == F.col("node"), "left").select("set_a", "set_b", "n", "first", F.coalesce("root", "rep").alias("root")))
+    keepers = named.groupBy("root").agg(F.min("first").alias("keep"))
+    named = named.drop("first").join(keepers, "root").select("set_a", "set_b", "n", "keep")
+    out = signed.select("doc_id", "key", "n", "set_a", "set_b").join(named, ["set_a", "set_b", "n"], "left")
+    kept = F.col("keep").isNull() | first.eqNullSafe(F.col("keep"))
+    return out.select("doc_id", "key", "n", F.when(F.col("keep").isNull(), F.col("doc_id")).otherwise(F.col("keep.doc_id")).alias("component"), kept.alias("kept"))
+
+
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """doc_id, n_shingles, component_id and kept of every document.
+
+    Documents are linked when 100 * |A & B| >= 75 * |A | B| over their sets of distinct 5-word
+    shingles. Equal sets are one class from the start. Band buckets of SuperMinHash signatures
+    give candidates (see ``components.link`` for how few of a bucket's pairs are needed); every
+    link used is confirmed on the full sets, which are worked out again for candidates only.
+
+    component_id is the smallest id of the component, and that document is kept; if all ids of a
+    component are null, component_id is null and one text of it is kept. Null and blank texts
+    have an empty set, link with nothing and are kept; texts of fewer than five words are one
+    shingle; rows with the same id count as one document if their sets agree, else as several,
+    of which one component keeps one; rows that repeat id and text fare alike; an empty table
+    gives no rows.
+    """
+    return _marked(docs).select("doc_id", F.col("n").alias("n_shingles"), F.col("component").alias("component_id"), "kept")
+
+
+def keep_one(docs: DataFrame) -> DataFrame:
+    """The rows of ``docs`` that ``near_duplicates`` keeps; of rows without an id and with one text, one."""
+    kept = _marked(docs).where("kept").select(F.col("key").alias("__key"), (F.col("doc_id").isNull() & (F.col("n") > 0)).alias("__one")).distinct()
+    if docs.where(F.col("doc_id").isNull()).isEmpty():
+        return docs.withColumn("__key", row_key()).join(kept, "__key", "left_semi").drop("__key")
+    rows = docs.withColumn("__key", row_key()).join(kept, "__key")
+    rows = rows.where("not __one").unionByName(rows.where("__one").dropDuplicates(["__key"]))
+    return rows.drop("__key", "__one")
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:

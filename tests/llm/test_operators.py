@@ -66,6 +66,21 @@ def test_minhash_matches_brute_force(spark, docs):
     assert {(g["doc_id"], g["n_shingles"], g["component_id"], g["kept"]) for g in got} == {(i, len(sets[i]), find(i), find(i) == i) for i in ids}
 
 
+def test_near_duplicates_of_null_and_repeated_ids(spark):
+    import corpus_pipeline as cp
+
+    long = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    rows = [(None, long[0]), (None, "alone without an id"), (None, "alone without an id"), (None, None), (5, long[1]), (5, long[2]), (7, long[2] + " more"), (3, long[0] + " more"), (8, long[1] + " x"), (8, long[1] + " y"), (9, "single")]
+    df = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in rows], DOCS)
+    got = sorted(map(tuple, minhash.near_duplicates(df).select("doc_id", "component_id", "kept").collect()), key=str)
+    want = [(None, 3, False), (None, None, True), (None, None, True), (None, None, True), (5, 5, True), (5, 5, True), (7, 5, False), (3, 3, True), (8, 5, False), (8, 5, False), (9, 9, True)]
+    assert got == sorted(want, key=str)
+    left = sorted(((r["doc_id"], r["text"]) for r in cp.deduplicate_documents(spark, df, SF).collect()), key=str)
+    assert left == sorted([rows[i] for i in (1, 3, 4, 5, 7, 10)], key=str)
+    twice = spark.createDataFrame([(4, long[0], "en", "s", 1), (4, long[0] + " x", "en", "s", 1)], DOCS)
+    assert minhash.near_duplicates(twice).where("kept").count() == 1
+
+
 def test_superminhash_estimates_similarity():
     h = np.random.default_rng(1).integers(0, 2**63, 1200).astype(np.uint64)
     for n, shared in ((3, 2), (40, 30), (1000, 800)):
