@@ -5,11 +5,9 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import table
+from .common import small, table
 
 OTHER = "(other)"
-#: Categories of a margin that keep their own target; the rest share one. Bounds the fitted table.
-MOST_CATEGORIES = 64
 
 
 def n_tokens(text: Column) -> Column:
@@ -64,8 +62,9 @@ def weigh(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, k
     as far as categories have the tokens, and nothing is repeated. Draws are a seeded hash of
     the id, so reruns and lost executors change nothing.
 
-    Counts come from all documents. The cells collected are at most (MOST_CATEGORIES + 1)**2 * 5:
-    categories beyond the largest of a margin (or without a target) share ``(other)``. Null
+    Counts come from all documents and every category has its own target; only where ``targets``
+    names a margin do categories it leaves out share ``(other)``. The driver rakes one row for
+    each cell that occurs, so its memory grows with sources x langs x topics, not with documents. Null
     source or lang is the category "(null)"; documents without tokens are kept with their cell's
     probability, 1 if the cell has no tokens; copies of a row fall alike; an empty table stays empty.
     """
@@ -73,31 +72,26 @@ def weigh(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, k
     base = base.withColumn("mix_topic", topic if topic is not None else topic_of(F.col("mix_tokens"), F.coalesce("text", F.lit(""))))
     names = {"source": "source", "lang": "lang", "topic": "mix_topic"}
     keyed = {k: F.coalesce(F.col(c).cast("string"), F.lit("(null)")) for k, c in names.items()}
-    kept: dict[str, list[str]] = {}
-    cells = base.select(*[e.alias(k) for k, e in keyed.items()], "mix_tokens").groupBy(*names).agg(F.sum("mix_tokens").alias("t"))
-    cells = cells.persist()
-    for k in names:
-        top = cells.groupBy(k).agg(F.sum("t").alias("t")).orderBy(F.desc("t"), k).limit(MOST_CATEGORIES)
-        kept[k] = sorted((targets or {}).get(k) or [r[0] for r in top.collect()])
-    folded = {k: F.when(F.col(k).isin(kept[k]), F.col(k)).otherwise(OTHER) for k in names}
-    rows = cells.select(*[e.alias(k) for k, e in folded.items()], "t").groupBy(*names).agg(F.sum("t").alias("t")).collect()
-    cells.unpersist()
+    told = {k: sorted((targets or {}).get(k) or {}) for k in names}
+    fold = {k: F.when(e.isin(told[k]), e).otherwise(OTHER) if told[k] else e for k, e in keyed.items()}
+    cells = base.select(*[e.alias(k) for k, e in fold.items()], "mix_tokens").groupBy(*names).agg(F.sum("mix_tokens").alias("t"))
+    rows = cells.collect()
     mass = np.array([float(r["t"]) for r in rows])
     margins, shares = [], []
     for k in names:
         values = sorted({r[k] for r in rows})
-        own = {v: float(sum(m for r, m in zip(rows, mass) if r[k] == v)) for v in values}
+        place = {v: i for i, v in enumerate(values)}
+        margin = np.array([place[r[k]] for r in rows], dtype=int)
+        own = dict(zip(values, np.bincount(margin, mass, len(values)).tolist()))
         want = (targets or {}).get(k) or flattened(own, temperature)
-        margins.append(np.array([values.index(r[k]) for r in rows], dtype=int))
+        margins.append(margin)
         share = np.array([want.get(v, 0.0) for v in values], dtype=float)
         shares.append(share / max(share.sum(), 1e-300))
     raked = rake(mass, margins, shares, keep)
     probs = [float(r / m) if m > 0 else 1.0 for r, m in zip(raked, mass)]
     spark = docs.sparkSession
     fitted = spark.createDataFrame([(r["source"], r["lang"], r["topic"], p) for r, p in zip(rows, probs)], "_s string, _l string, _t string, mix_prob double")
-    fold = {k: F.when(e.isin(kept[k]), e).otherwise(OTHER) for k, e in keyed.items()}
-    # bounded by MOST_CATEGORIES, see above
-    out = base.join(F.broadcast(fitted), (fold["source"] == F.col("_s")) & (fold["lang"] == F.col("_l")) & (fold["topic"] == F.col("_t")), "left").drop("_s", "_l", "_t")
+    out = base.join(small(fitted), (fold["source"] == F.col("_s")) & (fold["lang"] == F.col("_l")) & (fold["topic"] == F.col("_t")), "left").drop("_s", "_l", "_t")
     draw = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) / F.lit(2.0**64) + 0.5
     return out.withColumn("mix_kept", draw < F.col("mix_prob"))
 

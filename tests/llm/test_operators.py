@@ -206,6 +206,17 @@ def test_mixing(spark, docs):
     assert abs(expected - 0.6 * sum(r["mix_tokens"] for r in out)) <= 0.05 * expected
 
 
+def test_mixing_rakes_every_source(spark):
+    rows = [(i, "w " * (5 + i % 90), "en", f"s{i % 90}", 1) for i in range(360)]
+    out = mixing.weigh(spark.createDataFrame(rows, DOCS), keep=0.3, temperature=0.5).collect()
+    have, mass = Counter(), Counter()
+    for r in out:
+        have[r["source"]] += r["mix_tokens"]
+        mass[r["source"]] += r["mix_prob"] * r["mix_tokens"]
+    budget, whole = 0.3 * sum(have.values()), sum(v**0.5 for v in have.values())
+    assert len(mass) == 90 and all(abs(mass[k] - min(v**0.5 / whole * budget, v)) <= 1e-3 * budget / 90 for k, v in have.items())
+
+
 def vectors(spark):
     rng = np.random.default_rng(4)
     base = rng.normal(size=(120, 16))
