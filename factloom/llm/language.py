@@ -11,8 +11,10 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .common import crc_bucket, slices, table
 
-#: Most labelled documents that the model is fitted on; beyond that a fixed hash of the id picks about so many.
+#: Most labelled documents that the model is fitted on; beyond that a fixed hash of the id picks about so many, by language.
 TRAIN_DOCS = 20_000
+#: Documents of a language that are taken at least, as far as there are so many.
+LEAST = 20
 BUCKETS = 1 << 16
 ORDERS = (2, 3, 4, 5)
 #: What a change of language within a text costs, in units of the words' log scores.
@@ -130,17 +132,17 @@ def viterbi(score: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray
     order = np.argsort(-lengths, kind="stable")
     start = (np.cumsum(lengths) - lengths)[order]
     left = np.sort(lengths)[::-1]
-    path = np.zeros(len(score), dtype=np.int8)
+    path = np.zeros(len(score), dtype=np.int16)
     best = np.zeros((len(order), score.shape[1]), dtype=np.float32)
     steps, counts = [], np.searchsorted(-left, -np.arange(int(left[0]) if len(left) else 0), side="left")
     for t, a in enumerate(counts.tolist()):
         now = best[:a]
-        top = now.argmax(axis=1).astype(np.int8)
+        top = now.argmax(axis=1).astype(np.int16)
         leap = now.max(axis=1)[:, None] - (switch if t else 0)
         stay = now >= leap
         steps.append((top, stay))
         best[:a] = np.where(stay, now, leap) + score[start[:a] + t]
-    at = best.argmax(axis=1).astype(np.int8)
+    at = best.argmax(axis=1).astype(np.int16)
     for t in range(len(steps) - 1, -1, -1):
         top, stay = steps[t]
         a = len(top)
@@ -156,7 +158,7 @@ def label(model: Model, texts: Sequence[str], switch: float = SWITCH) -> tuple[l
     lengths = np.array([len(w) for w in words], dtype=np.int64)
     number: dict[str, int] = {w: i for i, w in enumerate(dict.fromkeys(x for ws in words for x in ws))}
     if not number:
-        return words, np.zeros(0, dtype=np.int8), np.zeros(0, dtype=np.int64), lengths
+        return words, np.zeros(0, dtype=np.int16), np.zeros(0, dtype=np.int64), lengths
     score, letters = word_scores(model, list(number))
     flat = np.fromiter((number[x] for ws in words for x in ws), dtype=np.int64, count=int(lengths.sum()))
     return words, viterbi(score[flat], lengths, switch), letters[flat], lengths
@@ -192,11 +194,16 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) ->
 
 
 def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Model:
-    """Fit on labelled documents whose crc32(doc_id as text) mod 4 is not 2, about ``most`` of them at most."""
+    """Fit on labelled documents whose crc32(doc_id as text) mod 4 is not 2, about ``most`` of them at most.
+
+    Beyond that each language has an equal quota (LEAST at least) and a language below it is taken whole.
+    """
     docs = docs.where((crc_bucket(F.col("doc_id"), 4) != 2) & F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    n = docs.count()
-    if n > most:
-        docs = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(1_000_000)) < int(1e6 * most / n))
+    counts = {r["lang"]: r["count"] for r in docs.groupBy("lang").count().collect()}
+    if sum(counts.values()) > most:
+        quota = max(most / len(counts), LEAST)
+        rates = docs.sparkSession.createDataFrame([(k, int(min(1.0, quota / n) * (1 << 40))) for k, n in counts.items()], "lang string, rate long")
+        docs = docs.join(F.broadcast(rates), "lang").where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < F.col("rate")).drop("rate")
     return fit(docs)
 
 

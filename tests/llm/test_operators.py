@@ -182,6 +182,14 @@ def test_language(spark, docs):
     assert language.viterbi(score, np.array([5, 1]), 3.0).tolist() == [0, 0, 0, 1, 1, 0]
 
 
+def test_language_learns_rare_labels_and_many_languages(spark):
+    rows = [(i, "the cat sat here", "en") for i in range(4000)] + [(5000 + i, "der hund lag dort", "de") for i in range(4)]
+    assert language.train(spark.createDataFrame(rows, "doc_id long, text string, lang string"), most=100).langs == ["de", "en"]
+    score = np.zeros((1, 200), dtype=np.float32)
+    score[0, 150] = 1
+    assert language.viterbi(score, np.array([1]), 3.0).tolist() == [150]
+
+
 def test_shards(spark, docs):
     out = shards.shard(docs, shards=7, cell_rows=20).collect()
     assert len(out) == docs.count()
