@@ -13,12 +13,12 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_trie import BpeTrie
-from .common import slices, span_hashes, table, texts_of
+from .common import distinct_spans, slices, table, texts_of
 from .splitter import dropping_machine, find_words
 
 TOKENIZER = "word_bpe_49k.json"
-#: Distinct words that a worker remembers between batches.
-MEMO_WORDS = 1_200_000
+#: Distinct words, and tokens of them, that a worker remembers between batches, and the longest of these words in bytes.
+MEMO_WORDS, MEMO_TOKENS, MEMO_BYTES = 800_000, 4_000_000, 64
 
 
 def normalise(text: str) -> str:
@@ -64,26 +64,26 @@ class Codec:
         self._forget()
 
     def _forget(self) -> None:
-        self.known, self.place = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.known: dict[bytes, int] = {}
         self.first, self.size, self.pool = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
 
     def _places(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Where each word's tokens are in the pool; words not yet known are encoded together in one trie."""
-        keys, first, back = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
-        if len(self.known) + len(keys) > MEMO_WORDS:
+        words, back = distinct_spans(data, start, end)
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > MEMO_WORDS or len(self.pool) > MEMO_TOKENS:
             self._forget()
-        at = np.minimum(np.searchsorted(self.known, keys), max(0, len(self.known) - 1))
-        new = np.flatnonzero(self.known[at] != keys) if len(self.known) else np.arange(len(keys))
-        if len(new):
-            raw = data.tobytes()
-            flat, size = self.bpe.encode([raw[s:e] for s, e in zip(start[first[new]].tolist(), end[first[new]].tolist())])
+            new = words
+        if new:
+            flat, size = self.bpe.encode(new)
+            self.known.update(zip(new, range(len(self.size), len(self.size) + len(new))))
             self.first = np.r_[self.first, len(self.pool) + np.cumsum(size) - size]
-            known, place = np.r_[self.known, keys[new]], np.r_[self.place, len(self.size) + np.arange(len(new))]
             self.size, self.pool = np.r_[self.size, size], np.r_[self.pool, flat]
-            order = np.argsort(known, kind="stable")
-            self.known, self.place = known[order], place[order]
-            at = np.searchsorted(self.known, keys)
-        return self.place[at][back]
+        places = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+        for w in new:
+            if len(w) > MEMO_BYTES:
+                del self.known[w]
+        return places[back]
 
     def tokens(self, texts: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
         """Tokens of all texts, one after another, and each text's bounds among them."""

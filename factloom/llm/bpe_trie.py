@@ -11,10 +11,14 @@ from __future__ import annotations
 import json
 from collections.abc import Sequence
 
+import ahocorasick
 import numpy as np
 
 _B = np.uint64(0x9E3779B97F4A7C15)
 _CELLS = 1 << 21
+#: Words of more bytes share too little with others for the trie: each is walked on its own.
+LONG = 128
+_BESIDES = 1 << 20
 
 
 class Lookup:
@@ -93,6 +97,8 @@ class BpeTrie:
         for i in made.tolist():
             stands[i] &= stands[left[i]] and stands[right[i]]
         self.tokens = Lookup(keys[stands], np.flatnonzero(stands))
+        self.standing, self.spelled = stands, spelled
+        self.automaton: ahocorasick.Automaton | None = None
 
     @staticmethod
     def _pair(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -121,6 +127,47 @@ class BpeTrie:
             limit[j], b[j] = y[~first] + 1, self.left[y[~first]]
         return ok
 
+    def _prepare_walk(self) -> None:
+        """The automaton of the tokens that encode to themselves, and the merges by their pairs, for words walked alone."""
+        self.automaton = ahocorasick.Automaton()
+        for t in np.flatnonzero(self.standing).tolist():
+            self.automaton.add_word("".join(map(chr, self.spelled[t])), (t, len(self.spelled[t])))
+        self.automaton.make_automaton()
+        self.merge = {(a, b): i for i, (a, b) in enumerate(zip(self.left.tolist(), self.right.tolist())) if i >= self.n_base}
+        self.halves = self.left.tolist(), self.right.tolist()
+        self.besides: dict[tuple[int, int], bool] = {}
+
+    def _stay(self, a: int, b: int) -> bool:
+        """``_beside`` of one pair, remembered."""
+        got = self.besides.get((a, b))
+        if got is None:
+            x, y, limit, left, right = a, b, 1 << 40, *self.halves
+            while (got := self.merge.get((x, y), limit) >= limit) and max(x, y) >= self.n_base:
+                if x > y:
+                    limit, x = x, right[x]
+                else:
+                    limit, y = y + 1, left[y]
+            if len(self.besides) >= _BESIDES:
+                self.besides.clear()
+            self.besides[a, b] = got
+        return got
+
+    def walk(self, word: bytes) -> list[int]:
+        """Tokens of one long word: last-token states passed down its path, candidates for each from the automaton, longest first."""
+        if self.automaton is None:
+            self._prepare_walk()
+        symbols = word.decode("latin-1")
+        symbols = symbols[:-1] + chr(ord(symbols[-1]) + self.ends)
+        last, size = [-1] * len(word), [0] * len(word)
+        for end, (token, k) in self.automaton.iter(symbols):
+            if last[end] < 0 and (k > end or self._stay(last[end - k], token)):
+                last[end], size[end] = token, k
+        out, at = [], len(word) - 1
+        while at >= 0:
+            out.append(last[at])
+            at -= size[at]
+        return out[::-1]
+
     def _grow(self, words: Sequence[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """For sorted distinct words: lengths, and by prefix the last token, its length and the tokens so far."""
         n, lens = len(words), np.array([len(w) for w in words])
@@ -158,8 +205,9 @@ class BpeTrie:
 
     def _runs(self, words: Sequence[bytes]):
         """Index blocks of about equal length and bounded size, each sorted."""
-        classes = np.ceil(np.log2(np.array([len(w) for w in words], dtype=float)))
-        for k in np.unique(classes):
+        size = np.array([len(w) for w in words], dtype=float)
+        classes = np.ceil(np.log2(size))
+        for k in np.unique(classes[size <= LONG]):
             order = sorted(np.flatnonzero(classes == k).tolist(), key=words.__getitem__)
             most = max(1, _CELLS >> int(k))
             for start in range(0, len(order), most):
@@ -169,9 +217,9 @@ class BpeTrie:
         """Token counts of distinct non-empty words: the sum of what the transitions on each word's path emit.
 
         A transition emits the tokens of its prefix less those of the prefix before, which may be
-        negative where a symbol joins earlier tokens.
+        negative where a symbol joins earlier tokens. Words over LONG bytes are walked one by one.
         """
-        out = np.zeros(len(words), dtype=np.int64)
+        out = np.array([len(self.walk(w)) if len(w) > LONG else 0 for w in words], dtype=np.int64)
         for run in self._runs(words):
             lens, _, _, count = self._grow([words[i] for i in run])
             emitted = np.diff(count, axis=1, prepend=0)
@@ -195,6 +243,10 @@ class BpeTrie:
                 live = at >= 0
                 row, at, slot = row[live], at[live], slot[live] - 1
             parts.append((run, stop - total, ids))
+        for i in [i for i, w in enumerate(words) if len(w) > LONG]:
+            ids = np.array(self.walk(words[i]), dtype=np.int32)
+            sizes[i] = len(ids)
+            parts.append(([i], np.zeros(1, dtype=np.int64), ids))
         first = np.zeros(len(words), dtype=np.int64)
         base = 0
         for run, start, ids in parts:

@@ -3,13 +3,13 @@
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 #: Largest number of rows that may be broadcast; beyond it the same join shuffles.
@@ -27,15 +27,26 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share, from ``spark.checkpoint.dir``; set here only if unset."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, one beside the warehouse."""
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
-        folder = tempfile.mkdtemp(prefix="factloom_")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_factloom"
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
+def fresh(df: DataFrame, *names: str) -> list[str]:
+    """The names, each lengthened by underscores until no column of ``df`` is called so (in any case)."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name += "_"
+        taken.add(name.lower())
+        out.append(name)
+    return out
+
+
 def materialise(df: DataFrame) -> DataFrame:
     """Write ``df`` to the shared folder and read it back: cuts lineage, survives lost executors.
 
@@ -124,10 +135,11 @@ _BASE = 0x9E3779B97F4A7C15 | 1
 _INVERSE = pow(_BASE, -1, 1 << 64)
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0xD1342543DE82EF95))
 _cache: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+_COMPARED = 1 << 20
 
 
-def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """64-bit hashes of the spans [start, end) of a byte array, by prefix sums of a polynomial modulo 2**64."""
+def _span_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit keys of the spans [start, end), by prefix sums of a polynomial modulo 2**64: equal spans have equal keys, the rest is checked."""
     n = len(data) + 1
     size = 1 << (n - 1).bit_length()
     if size not in _cache:
@@ -139,6 +151,45 @@ def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndar
     return mix((prefix[end] - prefix[start]) * down[start] + (end - start).astype(np.uint64))
 
 
+def _differing(data: np.ndarray, start: np.ndarray, end: np.ndarray, like: np.ndarray) -> np.ndarray:
+    """Spans whose bytes are not those of span ``like`` of each; compared in blocks of about _COMPARED bytes."""
+    size = end - start
+    bad = size != size[like]
+    rows = np.flatnonzero(~bad & (like != np.arange(len(like))))
+    cuts = np.searchsorted(np.cumsum(size[rows]), np.arange(0, int(size[rows].sum()) + 1, _COMPARED))
+    cuts = np.unique(np.r_[0, cuts, len(rows)])
+    for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        part = rows[lo:hi]
+        n = size[part]
+        first = np.cumsum(n) - n
+        step = np.arange(int(n.sum()), dtype=np.int64) - np.repeat(first, n)
+        same = data[step + np.repeat(start[part], n)] == data[step + np.repeat(start[like[part]], n)]
+        bad[part[~np.logical_and.reduceat(same, first)]] = True
+    return np.flatnonzero(bad)
+
+
+def distinct_spans(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[list[bytes], np.ndarray]:
+    """The distinct byte strings among non-empty spans, and the place of each span's among them; told apart by their bytes."""
+    if not len(start):
+        return [], np.zeros(0, dtype=np.int64)
+    _, first, back = np.unique(_span_keys(data, start, end), return_index=True, return_inverse=True)
+    raw = data.tobytes()
+    out = [raw[s:e] for s, e in zip(start[first].tolist(), end[first].tolist())]
+    odd = _differing(data, start, end, first[back])
+    if len(odd):  # another string has the same key
+        seen = {w: i for i, w in enumerate(out)}
+        for i in odd.tolist():
+            back[i] = seen.setdefault(raw[start[i] : end[i]], len(seen))
+        out = list(seen)
+    return out, back
+
+
+def span_hashes(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
+    """64-bit xxh3 of each span's bytes, worked out once for each distinct string."""
+    strings, back = distinct_spans(data, start, end)
+    return np.array([xxhash.xxh3_64_intdigest(w) for w in strings], dtype=np.uint64)[back]
+
+
 def words_of(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
     """All texts in one byte array, lower-cased, with the words' starts, ends and the number of words of each text.
 

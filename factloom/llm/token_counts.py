@@ -10,39 +10,32 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .bpe_trie import BpeTrie
-from .common import slices, span_hashes, table, texts_of
+from .common import distinct_spans, slices, table, texts_of
 from .splitter import find_words, spaced_machine
 
 TOKENIZER = "byte_bpe_50k.json"
-#: Distinct words whose counts a worker remembers between batches.
-MEMO_WORDS = 1_500_000
+#: Distinct words whose counts a worker remembers between batches, and the longest of them in bytes.
+MEMO_WORDS, MEMO_BYTES = 1_000_000, 64
 
 
 class TokenCounter:
-    """Counts tokens of whole texts; remembers the counts of words by their hashes."""
+    """Counts tokens of whole texts; remembers the counts of words by their bytes."""
 
     def __init__(self, path: str) -> None:
         self.bpe = BpeTrie(path)
-        self.known, self.count = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int64)
+        self.known: dict[bytes, int] = {}
 
     def _word_counts(self, data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-        keys, first, back = np.unique(span_hashes(data, start, end), return_index=True, return_inverse=True)
-        at = np.searchsorted(self.known, keys)
-        seen = np.zeros(len(keys), dtype=bool)
-        inside = at < len(self.known)
-        seen[inside] = self.known[at[inside]] == keys[inside]
-        got = np.zeros(len(keys), dtype=np.int64)
-        got[seen] = self.count[at[seen]]
-        new = np.flatnonzero(~seen)
-        if len(new):
-            raw = data.tobytes()
-            got[new] = self.bpe.counts([raw[s:e] for s, e in zip(start[first[new]].tolist(), end[first[new]].tolist())])
-            if len(self.known) + len(new) > MEMO_WORDS:
-                self.known, self.count = keys, got
-            else:
-                known = np.r_[self.known, keys[new]]
-                order = np.argsort(known, kind="stable")
-                self.known, self.count = known[order], np.r_[self.count, got[new]][order]
+        words, back = distinct_spans(data, start, end)
+        new = [w for w in words if w not in self.known]
+        if len(self.known) + len(new) > MEMO_WORDS:
+            self.known, new = {}, words
+        if new:
+            self.known.update(zip(new, self.bpe.counts(new).tolist()))
+        got = np.fromiter(map(self.known.__getitem__, words), dtype=np.int64, count=len(words))
+        for w in new:
+            if len(w) > MEMO_BYTES:
+                del self.known[w]
         return got[back]
 
     def __call__(self, texts: list[bytes]) -> np.ndarray:
