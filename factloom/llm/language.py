@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
@@ -20,6 +21,8 @@ ORDERS = (2, 3, 4, 5)
 #: What a change of language within a text costs, in units of the words' log scores.
 SWITCH = 8.0
 UNKNOWN = "und"
+#: Bytes of text that are labelled together, and distinct words that are scored together.
+SLICE, SCORED = 3 << 20, 50_000
 
 #: First code points of ranges and their scripts; 0 is anything else.
 RANGES = [
@@ -58,12 +61,18 @@ def _grams(words: Sequence[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
             yield word[:m][ok], (h >> np.uint64(48)).astype(np.int64)
 
 
+@functools.cache
+def _letters() -> np.ndarray:
+    """Whether each code point is a letter."""
+    return np.fromiter((chr(c).isalpha() for c in range(0x110000)), dtype=bool, count=0x110000)
+
+
 def script_of(words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """Each word's script (of its last letter that has one; 0 if none) and number of letters."""
     joined = " ".join(words) + " "
     points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
     script = _OF[np.searchsorted(_STARTS, points, side="right") - 1]
-    letter = np.fromiter((c.isalpha() for c in joined), dtype=bool, count=len(joined)) if not joined.isascii() else script > 0
+    letter = _letters()[points] if not joined.isascii() else script > 0
     word = np.cumsum(points == 32) - (points == 32)
     out, seen = np.zeros(len(words), dtype=np.int64), script > 0
     out[word[seen]] = script[seen]
@@ -82,7 +91,7 @@ def fit(docs: DataFrame) -> Model:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[str, np.ndarray] = {}
-        for b in slices(batches, most=16 << 20):
+        for b in slices(batches):
             by_lang: dict[str, list[str]] = {}
             for text, lang in zip(b.column("text").to_pylist(), b.column("lang").to_pylist()):
                 by_lang.setdefault(lang, []).extend(split(text or ""))
@@ -105,23 +114,25 @@ def fit(docs: DataFrame) -> Model:
     counts = np.zeros((BUCKETS + SCRIPTS, len(langs)))
     counts[got["bucket"].to_numpy(), [number[x] for x in got["lang"].to_pylist()]] = got["n"].to_numpy()
     grams, scripts = counts[:BUCKETS], counts[BUCKETS:]
-    score = np.log((grams + 0.5) / (grams.sum(axis=0) + 0.5 * BUCKETS)) / len(ORDERS)
+    score = (np.log((grams + 0.5) / (grams.sum(axis=0) + 0.5 * BUCKETS)) / len(ORDERS)).astype(np.float32)
     share = scripts / np.maximum(scripts.sum(axis=0), 1)
     used = (share >= 0.01) | (share.max(axis=1, keepdims=True, initial=0) < 0.01)
     used[0] = True
-    return Model(langs, score - score.mean(axis=1, keepdims=True), np.where(used, 0.0, -50.0))
+    if langs:
+        score -= score.mean(axis=1, keepdims=True)
+    return Model(langs, score, np.where(used, 0.0, -50.0))
 
 
 def word_scores(model: Model, words: Sequence[str]) -> tuple[np.ndarray, np.ndarray]:
     """Scores (words x languages) and letters of distinct words; words without letters score 0."""
     script, letters = script_of(words)
-    out = np.zeros((len(words), len(model.langs)))
+    out = np.zeros((len(words), len(model.langs)), dtype=np.float32)
     for word, bucket in _grams(words):
         for k in range(out.shape[1]):
             out[:, k] += np.bincount(word, model.table[bucket, k], len(words))
     out += model.allowed[script]
     out[letters == 0] = 0
-    return out.astype(np.float32), letters
+    return out, letters
 
 
 def viterbi(score: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray:
@@ -132,23 +143,40 @@ def viterbi(score: np.ndarray, lengths: np.ndarray, switch: float) -> np.ndarray
     order = np.argsort(-lengths, kind="stable")
     start = (np.cumsum(lengths) - lengths)[order]
     left = np.sort(lengths)[::-1]
+    langs = score.shape[1]
     path = np.zeros(len(score), dtype=np.int16)
-    best = np.zeros((len(order), score.shape[1]), dtype=np.float32)
-    steps, counts = [], np.searchsorted(-left, -np.arange(int(left[0]) if len(left) else 0), side="left")
-    for t, a in enumerate(counts.tolist()):
+    best = np.zeros((len(order), langs))
+    counts = np.searchsorted(-left, -np.arange(int(left[0]) if len(left) else 0), side="left")
+    edge = np.r_[0, np.cumsum(counts)].tolist()
+    # back-pointers by step: the best language before, and as bits whether a language went on from itself
+    top, stay = np.zeros(edge[-1], dtype=np.int16), np.zeros((edge[-1], -(-langs // 8)), dtype=np.uint8)
+    alone = int(np.searchsorted(-counts, -1))  # from here on only the longest text is left
+    for t, a in enumerate(counts[:alone].tolist()):
         now = best[:a]
-        top = now.argmax(axis=1).astype(np.int16)
+        top[edge[t] : edge[t + 1]] = now.argmax(axis=1)
         leap = now.max(axis=1)[:, None] - (switch if t else 0)
-        stay = now >= leap
-        steps.append((top, stay))
-        best[:a] = np.where(stay, now, leap) + score[start[:a] + t]
+        on = now >= leap
+        stay[edge[t] : edge[t + 1]] = np.packbits(on, axis=1)
+        best[:a] = np.where(on, now, leap) + score[start[:a] + t]
+    if alone < len(counts):
+        now, on = best[0].tolist(), np.zeros((len(counts) - alone, langs), dtype=bool)
+        rows = score[start[0] + alone : start[0] + len(counts)].astype(np.float64).tolist()
+        for i, row in enumerate(rows):
+            most = max(now)
+            top[edge[alone + i]] = now.index(most)
+            leap = most - (switch if alone + i else 0)
+            on[i] = [x >= leap for x in now]
+            now = [(x if x >= leap else leap) + y for x, y in zip(now, row)]
+        stay[edge[alone] :] = np.packbits(on, axis=1)
+        best[0] = now
     at = best.argmax(axis=1).astype(np.int16)
-    for t in range(len(steps) - 1, -1, -1):
-        top, stay = steps[t]
-        a = len(top)
-        path[start[:a] + t] = at[:a]
-        kept = stay[np.arange(a), at[:a]]
-        at[:a] = np.where(kept, at[:a], top)
+    for t in range(len(counts) - 1, -1, -1):
+        here = slice(edge[t], edge[t + 1])
+        a = edge[t + 1] - edge[t]
+        now = at[:a]
+        path[start[:a] + t] = now
+        kept = (stay[here][np.arange(a), now >> 3] >> (7 - (now & 7))) & 1
+        at[:a] = np.where(kept, now, top[here])
     return path
 
 
@@ -159,13 +187,15 @@ def label(model: Model, texts: Sequence[str], switch: float = SWITCH) -> tuple[l
     number: dict[str, int] = {w: i for i, w in enumerate(dict.fromkeys(x for ws in words for x in ws))}
     if not number:
         return words, np.zeros(0, dtype=np.int16), np.zeros(0, dtype=np.int64), lengths
-    score, letters = word_scores(model, list(number))
+    names = list(number)
+    parts = [word_scores(model, names[i : i + SCORED]) for i in range(0, len(names), SCORED)]
+    score, letters = np.concatenate([x for x, _ in parts]), np.concatenate([n for _, n in parts])
     flat = np.fromiter((number[x] for ws in words for x in ws), dtype=np.int64, count=int(lengths.sum()))
     return words, viterbi(score[flat], lengths, switch), letters[flat], lengths
 
 
-def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) -> DataFrame:
-    """Columns ``keep`` with lang_pred, score and spans of every whole text.
+def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), names: Sequence[str] = ("lang_pred", "score", "spans")) -> DataFrame:
+    """Columns ``keep`` with lang_pred, score and spans (called ``names``, none of them in ``keep``) of every whole text.
 
     lang_pred is the language of most letters along the text's path, score their share; spans
     counts the path's runs of one language. ``und`` with score 0 where the text is null or has no
@@ -176,7 +206,7 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = shared.value
         n = len(model.langs)
-        for b in slices(batches, most=16 << 20):
+        for b in slices(batches, most=SLICE):
             texts = [x or "" for x in b.column("text").to_pylist()]
             _, path, letters, lengths = label(model, texts)
             doc = np.repeat(np.arange(len(texts)), lengths)
@@ -187,10 +217,10 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",)) ->
             share = mass.max(axis=1) / np.maximum(total, 1)
             spans = np.bincount(doc[change], minlength=len(texts)).astype(np.int32)
             columns = [b.column(c) for c in keep] + [pa.array(langs, pa.string()), pa.array(share), pa.array(spans)]
-            yield pa.RecordBatch.from_arrays(columns, [*keep, "lang_pred", "score", "spans"])
+            yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{schema}, lang_pred string, score double, spans int")
+    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` int")
 
 
 def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Model:

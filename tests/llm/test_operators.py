@@ -1,4 +1,5 @@
 import hashlib
+import time
 import zlib
 from collections import Counter
 
@@ -305,3 +306,56 @@ def test_pipeline(spark, docs):
             got = minhash.near_duplicates(now)
             assert got.where("not kept").count() == 0
     assert 0 < now.count() < plain.count() and set(now.columns) == {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256"}
+
+
+def swapped(n, a, b):
+    """Two words of n letters that polynomial hashes modulo 2**64 do not tell apart: complementary Thue-Morse words."""
+    bits = [bin(i).count("1") & 1 for i in range(n)]
+    return "".join((a, b)[x] for x in bits), "".join((b, a)[x] for x in bits)
+
+
+def test_words_are_told_apart_by_their_bytes(spark):
+    texts = [*swapped(4096, "a", "b"), *swapped(2048, "a", "s"), " ".join(swapped(2048, "a", "b")), "x" * 40000, "".join(np.random.default_rng(3).choice(list("etaoinsr"), 30000)), "日本é" * 400]
+    for make, name in ((token_counts.TokenCounter, "byte_bpe_50k.json"), (bpe_codec.Codec, "word_bpe_49k.json")):
+        lib, op = Tokenizer.from_file(P.path(name)), make(P.path(name))
+        want = [e.ids for e in lib.encode_batch(texts, add_special_tokens=False)]
+        for _ in range(2):  # the second time from memory
+            assert (op.encode(texts) if name.startswith("word") else op([t.encode() for t in texts]).tolist()) == (want if name.startswith("word") else list(map(len, want)))
+    pair = spark.createDataFrame([(1, texts[2]), (2, texts[3])], "doc_id long, text string")
+    assert sorted(map(tuple, minhash.near_duplicates(pair).collect())) == [(1, 1, 1, True), (2, 1, 2, True)]
+
+
+def test_a_megabyte_without_spaces(spark):
+    text = "".join(np.random.default_rng(8).choice(list("etaoinsrhld"), 1_000_000))
+    for make, name in ((token_counts.TokenCounter, "byte_bpe_50k.json"), (bpe_codec.Codec, "word_bpe_49k.json")):
+        op, lib = make(P.path(name)), Tokenizer.from_file(P.path(name))
+        begun = time.time()
+        got = len(op.encode([text])[0]) if name.startswith("word") else op([text.encode()])[0]
+        assert time.time() - begun < 60 and got == len(lib.encode(text, add_special_tokens=False).ids)
+
+
+def test_language_stage_with_clashing_columns(spark, docs):
+    import corpus_pipeline as cp
+
+    clashing = docs.withColumn("spans", F.lit(3)).withColumn("lang_pred", F.lit("q")).withColumn("Score_", F.lit(1))
+    got = cp.identify_language(spark, clashing, SF)
+    assert got.columns == clashing.columns and got.where("lang_pred = 'q' and spans = 3 and score = 'x'").count() == got.count() > 0
+    assert cp.identify_language(spark, clashing.where("1 = 0"), SF).count() == 0
+
+
+def test_viterbi_of_texts_of_any_length():
+    score = np.random.default_rng(2).normal(size=(330, 11)).astype(np.float32) * 3
+
+    def path(rows, switch):
+        best, back = rows[0].copy(), []
+        for x in rows[1:]:
+            top, stay = int(best.argmax()), best >= best.max() - switch
+            back.append((stay, top))
+            best = np.where(stay, best, best[top] - switch) + x
+        at = [int(best.argmax())]
+        for stay, top in back[::-1]:
+            at.append(at[-1] if stay[at[-1]] else top)
+        return at[::-1]
+
+    wide = score.astype(float)
+    assert language.viterbi(score, np.array([100, 0, 200, 30]), 3.0).tolist() == path(wide[:100], 3.0) + path(wide[100:300], 3.0) + path(wide[300:], 3.0)
