@@ -12,9 +12,9 @@ from .vectors import matrix, usable
 #: Vectors picked as pivots: the bounded, documented sample that the index is fitted on.
 PIVOTS = 128
 #: Pivots that stand for a vector: its nearest ones, in order.
-PREFIX = 40
+PREFIX = 64
 #: Share of a block's rows that are reranked exactly.
-RERANK = 0.2
+RERANK = 0.25
 BLOCK_ROWS, BLOCK_QUERIES = 20_000, 4_000
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import small, table
+from .common import fresh, small, table
 
 OTHER = "(other)"
 
@@ -66,8 +66,10 @@ def weigh(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, k
     names a margin do categories it leaves out share ``(other)``. The driver rakes one row for
     each cell that occurs, so its memory grows with sources x langs x topics, not with documents. Null
     source or lang is the category "(null)"; documents without tokens are kept with their cell's
-    probability, 1 if the cell has no tokens; copies of a row fall alike; an empty table stays empty.
+    probability, 1 if the cell has no tokens; copies of a row fall alike; an empty table stays empty;
+    columns named mix_tokens, mix_topic, mix_prob and mix_kept are replaced, all others pass through.
     """
+    s_, l_, t_ = fresh(docs, "_s", "_l", "_t")
     base = docs.withColumn("mix_tokens", n_tokens(F.col("text")))
     base = base.withColumn("mix_topic", topic if topic is not None else topic_of(F.col("mix_tokens"), F.coalesce("text", F.lit(""))))
     names = {"source": "source", "lang": "lang", "topic": "mix_topic"}
@@ -90,8 +92,9 @@ def weigh(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, k
     raked = rake(mass, margins, shares, keep)
     probs = [float(r / m) if m > 0 else 1.0 for r, m in zip(raked, mass)]
     spark = docs.sparkSession
-    fitted = spark.createDataFrame([(r["source"], r["lang"], r["topic"], p) for r, p in zip(rows, probs)], "_s string, _l string, _t string, mix_prob double")
-    out = base.join(small(fitted), (fold["source"] == F.col("_s")) & (fold["lang"] == F.col("_l")) & (fold["topic"] == F.col("_t")), "left").drop("_s", "_l", "_t")
+    fitted = spark.createDataFrame([(r["source"], r["lang"], r["topic"], p) for r, p in zip(rows, probs)], f"{s_} string, {l_} string, {t_} string, mix_prob double")
+    base = base.drop("mix_prob")
+    out = base.join(small(fitted), (fold["source"] == F.col(s_)) & (fold["lang"] == F.col(l_)) & (fold["topic"] == F.col(t_)), "left").drop(s_, l_, t_)
     draw = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) / F.lit(2.0**64) + 0.5
     return out.withColumn("mix_kept", draw < F.col("mix_prob"))
 

@@ -359,3 +359,55 @@ def test_viterbi_of_texts_of_any_length():
 
     wide = score.astype(float)
     assert language.viterbi(score, np.array([100, 0, 200, 30]), 3.0).tolist() == path(wide[:100], 3.0) + path(wide[100:300], 3.0) + path(wide[300:], 3.0)
+
+
+def skewed_vectors(n=3000, dim=32):
+    """A third near one direction, the rest spread; with repeated rows."""
+    rng = np.random.default_rng(12)
+    x = rng.normal(size=(n, dim))
+    x[: n // 3] = x[0] + 0.3 * rng.normal(size=(n // 3, dim))
+    return [(i, [float(v) for v in r], 0) for i, r in enumerate(np.float32(np.r_[x, x[:50]]))]
+
+
+@pytest.mark.parametrize("name", ["sf0.1", "skewed"])
+def test_ann_recall_against_exact_search(spark, name):
+    if name == "skewed":
+        df = spark.createDataFrame(skewed_vectors(), "vec_id long, embedding array<float>, label int")
+    else:
+        df = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").select("vec_id", "embedding", "label")
+    rows = usable(df.collect())
+    ids, x = np.array([r[0] for r in rows]), np.array([r[1] for r in rows], dtype=float)
+    got = {}
+    for g in ann.nearest(df, df.where("vec_id % 20 = 0")).collect():
+        got.setdefault(g["query_id"], set()).add(g["vec_id"])
+    hits = total = 0
+    for q in np.flatnonzero(ids % 20 == 0):
+        score = x @ x[q]
+        score[q] = -np.inf
+        best = np.sort(score)[-20]
+        found = [score[ids == v][0] for v in got[ids[q]]]
+        hits, total = hits + sum(s >= best - 1e-9 for s in found), total + 20
+        assert len(found) == 20
+    assert hits >= 0.9 * total
+
+
+def test_stages_with_clashing_columns_and_empty_tables(spark, docs):
+    import corpus_pipeline as cp
+
+    few = docs.where("doc_id >= 900000 or doc_id is null or doc_id < 40")
+    names = ("_s", "_l", "_t", "mix_prob", "mix_kept", "mix_topic", "line_count", "line_dropped", "__dk", "__gone", "__left", "lang_pred", "spans", "key", "bands", "node", "root")
+    for c in names:
+        few = few.withColumn(c, F.lit(f"own {c}"))
+    own = " and ".join(f"`{c}` = 'own {c}'" for c in names)
+    for name, stage in cp.STAGES[:-1]:
+        got = stage(spark, few, SF)
+        assert got.columns == few.columns and got.where(own).count() == got.count() > 0, name
+        assert stage(spark, few.where("1 = 0"), SF).count() == 0
+    assert cp.encode(spark, few.where("1 = 0"), SF).count() == 0
+
+
+def test_frequent_words_by_histogram(spark):
+    counts = spark.createDataFrame([(f"w{i}".encode(), 1 + i % 50) for i in range(1000)], "word binary, c long")
+    least = lm_score.frequent_from(counts, 300)
+    above = counts.where(F.col("c") >= least).count()
+    assert 0 < above <= 300 and lm_score.frequent_from(counts, 5000) == 1 and lm_score.frequent_from(counts.where("1 = 0")) > 1000
