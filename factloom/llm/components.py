@@ -50,7 +50,7 @@ def link(posts: DataFrame, attributes: DataFrame, near: Callable[[str, str], Col
 
     posts: (bucket, id), one row per bucket and id.
     attributes: id and what ``near`` reads.
-    near(x, y): a cheap necessary condition of a link on the columns of two aliases, tested inside the join.
+    near(x, y): a cheap necessary condition of a link on the columns of two aliases.
     verify: pairs (a, b) to the true links among them.
 
     Pairs within a bucket are not all made. Each bucket has a pivot, the id that shares buckets
@@ -90,9 +90,11 @@ def link(posts: DataFrame, attributes: DataFrame, near: Callable[[str, str], Col
     tagged = tagged.join(tagged.groupBy("id").agg(F.collect_set("bucket").alias("buckets")), "id")
     tagged = materialise(tagged.join(attributes, "id"))
     x, y = tagged.alias("x"), tagged.alias("y")
-    open_ = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & near("x", "y")
-    pairs = x.join(y, open_ & (F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("x.bucket")))
-    pairs = materialise(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    met = x.join(y, (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")))
+    # tested above the join, not in it: a join works out all parts of a long condition for each pair, and its code anew for each task
+    wanted = near("x", "y") & (F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("x.bucket"))
+    pairs = met.select(F.col("x.id").alias("a"), F.col("y.id").alias("b"), F.explode_outer(F.array(wanted)).alias("wanted")).where("wanted")
+    pairs = materialise(pairs.select("a", "b").distinct())
     out = components(links.unionByName(verify(pairs)))
     discard(shared, weighed, tagged, pairs)
     return out

@@ -150,11 +150,13 @@ def sets_of(docs: DataFrame) -> DataFrame:
 def near(x: str, y: str) -> Column:
     """Sizes that allow similarity 0.75, and enough agreeing registers (all but 3e-5 of pairs at 0.75, fewer above)."""
 
+    even, carry = F.lit(0x00FF00FF00FF00FF), F.lit(0x0100010001000100)
+
     def differing(i: int) -> Column:
+        """Bytes of word ``i`` that differ: each is added up in a lane of 16 bits, which it fills beyond eight unless it is 0."""
         z = F.get(F.col(f"{x}.sketch"), F.lit(i)).bitwiseXOR(F.get(F.col(f"{y}.sketch"), F.lit(i)))
-        for shift in (4, 2, 1):  # the lowest bit of each byte becomes whether any bit is set
-            z = z.bitwiseOR(F.shiftrightunsigned(z, shift))
-        return F.bit_count(z.bitwiseAND(F.lit(0x0101010101010101)))
+        lanes = lambda v: F.bit_count((v.bitwiseAND(even) + even).bitwiseAND(carry))
+        return lanes(z) + lanes(F.shiftrightunsigned(z, 8))
 
     most = SKETCH - SKETCH_LEAST
     fair = F.least(f"{x}.n", f"{y}.n") * 100 >= F.greatest(f"{x}.n", f"{y}.n") * 75
