@@ -6,7 +6,7 @@ import re
 
 from pyspark.sql import Column, functions as F
 
-from .text import collapse_ws, group, let
+from .text import collapse_ws, defined, group, let
 
 # Scale words, currencies, masses, areas, counted nouns, percent and basis-point words.
 SCALES = {
@@ -21,7 +21,7 @@ MASS = {"ton": 1.0, "tons": 1.0, "tonne": 1.0, "tonnes": 1.0, "mt": 1.0, "kg": 0
 AREA = {"sq ft": 1.0, "sq. ft": 1.0, "square feet": 1.0, "sqft": 1.0, "sq m": 10.7639, "square metres": 10.7639, "square meters": 10.7639}
 COUNTED = "shipments parcels customers employees people pin\\scodes pincodes centres centers vehicles units options shares gateways no\\. number count".split()
 PERCENT = r"%|per cent|percent|pct"
-BPS = r"^(?:bps|basis points|bp)$"
+BPS = r"bps|basis points|bp"
 NIL = ("-", "–", "—", "nil", "na", "n.a.", "n/a", "", "*")
 SCALE_NAMES = {1e2: "hundred", 1e3: "thousand", 1e5: "lakh", 1e6: "million", 1e7: "crore", 1e9: "billion", 1e12: "trillion"}
 NUMBER = r"\d[\d, \s]*(?:\.\d+)?"
@@ -37,6 +37,7 @@ def _look(table: dict, key: Column) -> Column:
     return F.try_element_at(pairs, key)
 
 
+@defined
 def parse_unit(label: Column) -> Column:
     """struct(dimension, scale, currency, canonical), or null where no unit is named.
 
@@ -60,7 +61,7 @@ def parse_unit(label: Column) -> Column:
         name = _look(SCALE_NAMES, scale)
         return (
             F.when(low == "", F.lit(None))
-            .when(low.rlike(BPS), unit("PERCENT", F.lit(0.01), F.lit("%")))
+            .when(low.rlike(BPS) & ~F.regexp_replace(low, BPS, "").rlike(r"\p{L}"), unit("PERCENT", F.lit(0.01), F.lit("%")))
             .when(low.rlike(PERCENT), unit("PERCENT", F.lit(1.0), F.lit("%")))
             .when(p["currency"].isNotNull(), unit("CURRENCY", scale, F.when(scale == 1.0, p["currency"]).otherwise(F.concat(p["currency"], F.lit(" ("), name, F.lit(")"))), p["currency"]))
             .when(p["mass"].isNotNull(), unit("MASS", scale * p["mass"], F.lit("tonnes")))
@@ -78,6 +79,47 @@ def unit_key(unit: Column) -> Column:
     return F.when(unit["dimension"] == "CURRENCY", F.concat(F.lit("CURRENCY:"), F.coalesce(unit["currency"], F.lit("?")))).otherwise(unit["dimension"])
 
 
+def describe(unit: Column, raw: Column | None = None) -> Column:
+    """A unit's canonical name, else what was written."""
+    return F.coalesce(F.nullif(unit["canonical"], F.lit("")), raw if raw is not None else F.lit(None).cast("string"))
+
+
+def value_kind(unit: Column) -> Column:
+    """MONEY, PERCENT or NUMBER."""
+    return F.when(unit["dimension"] == "CURRENCY", "MONEY").when(unit["dimension"] == "PERCENT", "PERCENT").otherwise("NUMBER")
+
+
+@defined
+def trailing_scale(parts: Column) -> Column:
+    """The unit of the last of several label lines where it is a bare scale word, else null."""
+    last = parse_unit(F.try_element_at(parts, F.lit(-1)))
+    return F.when(F.size(parts) >= 2, let(last, lambda u: F.when(u["dimension"] == "UNKNOWN", u)))
+
+
+def is_note_reference(raw: Column, value: Column) -> Column:
+    """A small whole number as notes are numbered: no point, no comma, below 100."""
+    return ~raw.rlike("[.,]") & (F.abs(value) < 100)
+
+
+@defined
+def parse_quantity(label: Column, fallback: Column | None = None) -> Column:
+    """struct(value, decimals, unit, raw): a written number with its own unit, else the fallback's; null without a number."""
+
+    def told(q: Column) -> Column:
+        unit = q["unit"] if fallback is None else F.coalesce(q["unit"], fallback)
+        return F.when(q.isNotNull(), F.struct(q["value"].alias("value"), q["decimals"].alias("decimals"), unit.alias("unit"), collapse_ws(label).alias("raw")))
+
+    return let(parse_number(label), told)
+
+
+@defined
+def quantity_of(value: Column, unit: Column) -> Column:
+    """struct(value, decimals, unit) of a stored number: decimals are its places without trailing zeros."""
+    places = F.length(F.regexp_extract(F.regexp_replace(value.cast("decimal(38,12)").cast("string"), "0+$", ""), r"\.(\d*)$", 1))
+    return F.when(value.isNotNull(), F.struct(value.alias("value"), places.alias("decimals"), parse_unit(unit).alias("unit")))
+
+
+@defined
 def parse_number(label: Column) -> Column:
     """struct(value, decimals, unit) of a written number; null for nil marks and texts without one.
 
@@ -127,3 +169,19 @@ def agreement(va: Column, ha: Column, ka: Column, vb: Column, hb: Column, kb: Co
     tolerance, boundary = F.greatest(ha, hb) + size * extra, ha + hb + size * extra
     band = F.when(different, "INCOMPARABLE").when(gap <= tolerance, "MATCH").when(gap <= boundary, "ROUNDING_BOUNDARY").otherwise("MISMATCH")
     return F.struct(band.alias("band"), gap.alias("difference"), (gap / size).alias("relative"), tolerance.alias("tolerance"), boundary.alias("boundary"))
+
+
+def values_agree(va: Column, ha: Column, ka: Column, vb: Column, hb: Column, kb: Column, extra: float = 0.0) -> Column:
+    return agreement(va, ha, ka, vb, hb, kb, extra)["band"] == "MATCH"
+
+
+def explain_agreement(agree: Column) -> Column:
+    """An agreement in words."""
+    gap, tolerance = F.format_string("%.4f", agree["difference"]), F.format_string("%.4f", agree["tolerance"])
+    share = F.format_string("%.2f%%", agree["relative"] * 100)
+    return (
+        F.when(agree["band"] == "INCOMPARABLE", "the units measure different things")
+        .when(agree["band"] == "MATCH", F.concat(F.lit("the values agree within written precision (gap "), gap, F.lit(", tolerance "), tolerance, F.lit(")")))
+        .when(agree["band"] == "ROUNDING_BOUNDARY", F.concat(F.lit("the values differ by no more than rounding on both sides (gap "), gap, F.lit(")")))
+        .otherwise(F.concat(F.lit("the values differ by "), gap, F.lit(" ("), share, F.lit(")")))
+    )

@@ -1,55 +1,119 @@
-"""Quotes in texts: exact, folded, caseless and fuzzy search, and the audit of anchors."""
+"""Quotes in texts: exact, folded, caseless and fuzzy search with offsets of the text itself, anchors and their audit."""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.text import fold
+from ..functions import text as T
+from ..functions.text import FOLD_DASHES, FOLD_DOUBLE, FOLD_LONG, FOLD_NOTHING, FOLD_SINGLE, FOLD_SPACES, fold, let
 
 FUZZY = 0.82
+#: Runs of matching characters that are too short to count, and the least gap that parts two groups of runs.
+SHORT_RUN, LEAST_GAP = 3, 40
+#: Quotes too short for a run of words that may be broadcast to all texts.
+SHORT_QUOTES = 10_000
+_VANISH, _BLANK = f"[{FOLD_NOTHING}]*", rf"[\s{FOLD_SPACES}]"
+
+
+def folded_pattern(quote: Column) -> Column:
+    """A pattern that finds in a text what the folded quote finds in the folded text."""
+    out = fold(quote)
+    marks = {a: chr(0xE010 + i) for i, a in enumerate(("ffi", "ffl", "ff", "fi", "fl", "..."))}
+    for a, mark in marks.items():
+        out = F.replace(out, F.lit(a), F.lit(mark))
+    out = F.regexp_replace(out, r"([^\p{L}\p{N}\s\ue010-\ue01f-])", r"\\$1")
+    out = F.regexp_replace(out, r"(\\?[^\\])(?!$)", f"$1{_VANISH}")
+    forms = {" ": rf"{_BLANK}(?:{_BLANK}|[{FOLD_NOTHING}])*", "-": f"[\\-{FOLD_DASHES}]", r"\'": f"['{FOLD_SINGLE}]", r"\"": f'["{FOLD_DOUBLE}]'}
+    one = {v: k for k, v in FOLD_LONG.items()}
+    for a, mark in marks.items():
+        spelled = _VANISH.join(re.escape(c) for c in a)
+        other = {"ffi": [f"{one['ff']}{_VANISH}i", f"f{_VANISH}{one['fi']}"], "ffl": [f"{one['ff']}{_VANISH}l", f"f{_VANISH}{one['fl']}"]}.get(a, [])
+        forms[mark] = "(?:" + "|".join([one[a], *other, spelled]) + ")"
+    for plain, pattern in forms.items():
+        out = F.replace(out, F.lit(plain), F.lit(pattern))
+    return out
 
 
 def locate(text: Column, quote: Column) -> Column:
-    """struct(strategy, score, start): the first rung of exact, folded and caseless search that finds the quote.
+    """struct(strategy, score, start, end, matched, occurrences): the first rung of exact, folded and caseless search that finds the quote.
 
-    start is 0-based, in the text for an exact hit and in the folded text for others; occurrences
-    count exact hits that do not overlap.
+    start and end are offsets from 0 in the text itself, also where folding brought the hit about;
+    occurrences count hits of that rung that do not overlap. Null if no rung finds it.
     """
-    f, g = fold(text), fold(quote)
-    lower = (F.length(F.lower(f)) == F.length(f)) & (F.length(F.lower(g)) == F.length(g))
-    exact, folded, caseless = F.instr(text, quote), F.instr(f, g), F.instr(F.lower(f), F.lower(g))
+    exact = F.instr(text, quote)
+
+    def hit(name: str, score: float, at: Column, matched: Column, times: Column) -> Column:
+        return F.struct(
+            F.lit(name).alias("strategy"), F.lit(score).alias("score"), (at - 1).cast("int").alias("start"), (at - 1 + F.length(matched)).cast("int").alias("end"), matched.alias("matched"), times.cast("int").alias("occurrences")
+        )
+
+    def by_pattern(name: str, score: float, pattern: Column) -> Column:
+        return let(pattern, lambda p: hit(name, score, F.regexp_instr(text, p), F.regexp_substr(text, p), F.regexp_count(text, p)))
+
+    def rungs(p: Column) -> Column:
+        f, g, pattern = p["f"], p["g"], p["pattern"]
+        same = (F.length(F.lower(f)) == F.length(f)) & (F.length(F.lower(g)) == F.length(g))
+        return (
+            F.when(g == "", None).when(F.instr(f, g) > 0, by_pattern("NORMALIZED", 0.99, pattern))
+            .when(same & (F.instr(F.lower(f), F.lower(g)) > 0), by_pattern("CASE_INSENSITIVE", 0.95, F.concat(F.lit("(?iu)"), pattern)))
+        )
+
+    folds = let(F.struct(fold(text).alias("f"), fold(quote).alias("g"), folded_pattern(quote).alias("pattern")), rungs)
+    found = F.when(exact > 0, hit("EXACT", 1.0, exact, quote, occurrences(text, quote))).otherwise(folds)
+    return F.when(F.coalesce(F.trim(quote), F.lit("")) != "", found)
 
-    def hit(name: str, score: float, at: Column) -> Column:
-        return F.struct(F.lit(name).alias("strategy"), F.lit(score).alias("score"), (at - 1).cast("int").alias("start"))
 
-    found = F.when(exact > 0, hit("EXACT", 1.0, exact)).when(folded > 0, hit("NORMALIZED", 0.99, folded)).when(lower & (caseless > 0), hit("CASE_INSENSITIVE", 0.95, caseless))
-    return F.when(F.coalesce(F.trim(quote), F.lit("")) != "", found)
+def locate_offsets(text: Column, quote: Column) -> Column:
+    """struct(start, end) of the hit; -1 and -1 where there is none."""
+    return let(locate(text, quote), lambda h: F.struct(F.coalesce(h["start"], F.lit(-1)).alias("start"), F.coalesce(h["end"], F.lit(-1)).alias("end")))
 
 
 def occurrences(text: Column, quote: Column) -> Column:
     return ((F.length(text) - F.length(F.replace(text, quote, F.lit("")))) / F.length(quote)).cast("int")
 
 
+_FOLDED = {c: to for chars, to in ((FOLD_SPACES, " "), (FOLD_NOTHING, ""), (FOLD_DASHES, "-"), (FOLD_SINGLE, "'"), (FOLD_DOUBLE, '"')) for c in chars} | FOLD_LONG
+_SPELLED = str.maketrans(_FOLDED)
+
+
+def fold_map(text: str) -> tuple[str, np.ndarray]:
+    """A text folded, and for each folded character the place of the one it comes from."""
+    width = np.fromiter((len(_FOLDED.get(c, c)) for c in text), dtype=np.int64, count=len(text))
+    wide, source = text.translate(_SPELLED), np.repeat(np.arange(len(text)), width)
+    pieces = [(m.start(), m.end()) for m in re.finditer(r"\S+", wide)]
+    # a blank has the place of the word after it
+    place = [np.r_[[source[a]] * (i > 0), source[a:b]] for i, (a, b) in enumerate(pieces)]
+    return " ".join(wide[a:b] for a, b in pieces), np.concatenate(place).astype(np.int64) if place else np.zeros(0, dtype=np.int64)
+
+
 def best_span(text: str, quote: str, least: float = FUZZY) -> tuple[int, int, float] | None:
-    """Start, end and score of the best group of matching runs; None below ``least``."""
-    runs = [m for m in SequenceMatcher(None, text, quote, autojunk=False).get_matching_blocks() if m.size >= 3]
-    gap, groups = max(len(quote), 40), []
-    for m in runs:
-        if groups and m.a - (groups[-1][-1].a + groups[-1][-1].size) <= gap and m.a + m.size - groups[-1][0].a <= 2 * len(quote):
-            groups[-1].append(m)
-        else:
-            groups.append([m])
-    best = None
-    for g in groups:
-        start, end = g[0].a, g[-1].a + g[-1].size
-        score = round(2 * sum(m.size for m in g) / (end - start + len(quote)), 4)
-        if score >= least and (best is None or score > best[2]):
-            best = start, end, score
-    return best
+    """Start, end and score in the text of the group of matching runs that is most like the quote; None below ``least``.
+
+    The score of a group is twice its matched characters over its width and the quote's length.
+    All groups are scored at once from running sums over the runs.
+    """
+    page, source = fold_map(text)
+    wanted, _ = fold_map(quote)
+    if len(page.casefold()) == len(page) and len(wanted.casefold()) == len(wanted):
+        page, wanted = page.casefold(), wanted.casefold()
+    runs = np.array([(m.a, m.size) for m in SequenceMatcher(None, page, wanted, autojunk=False).get_matching_blocks() if m.size >= SHORT_RUN], dtype=np.int64).reshape(-1, 2)
+    if not len(runs):
+        return None
+    at, size = runs.T
+    first = np.flatnonzero(np.r_[True, at[1:] - (at + size)[:-1] > max(len(wanted), LEAST_GAP)])
+    last = np.r_[first[1:], len(at)] - 1
+    width = at[last] + size[last] - at[first]
+    score = 2.0 * np.add.reduceat(size, first) / (width + len(wanted))
+    top = int(score.argmax())
+    if score[top] < least:
+        return None
+    return int(source[at[first[top]]]), int(source[at[last[top]] + size[last[top]] - 1]) + 1, round(float(score[top]), 4)
 
 
 def locate_fuzzy(pairs: DataFrame, keys: list[str], least: float = FUZZY) -> DataFrame:
@@ -65,10 +129,85 @@ def locate_fuzzy(pairs: DataFrame, keys: list[str], least: float = FUZZY) -> Dat
     return pairs.select(*keys, "text", "quote").mapInArrow(run, f"{fields}, start int, end int, score double")
 
 
+def locate_all(pairs: DataFrame, keys: list[str], least: float = FUZZY) -> DataFrame:
+    """keys, strategy, score, start, end and matched for (keys, text, quote): all four rungs; UNVERIFIED with start -1 where none holds.
+
+    Only rows that the native rungs miss go through Python.
+    """
+    tried = pairs.select(*keys, "text", "quote", locate(F.col("text"), F.col("quote")).alias("h"))
+    cols = [F.col("h.strategy").alias("strategy"), F.col("h.score").alias("score"), F.col("h.start").alias("start"), F.col("h.end").alias("end"), F.col("h.matched").alias("matched")]
+    missed = tried.where("h is null").select(*keys, "text", "quote")
+    near = locate_fuzzy(missed, keys, least).select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("score").alias("_p"))
+    found = missed.join(near, keys, "left")
+    cut = F.substr(F.col("text"), F.col("_s") + 1, F.col("_e") - F.col("_s"))
+    late = found.select(
+        *keys, F.when(F.col("_s").isNull(), "UNVERIFIED").otherwise("FUZZY").alias("strategy"), F.coalesce("_p", F.lit(0.0)).alias("score"), F.coalesce("_s", F.lit(-1)).alias("start"), F.coalesce("_e", F.lit(-1)).alias("end"), F.coalesce(cut, F.lit("")).alias("matched")
+    )
+    return tried.where("h is not null").select(*keys, *cols).unionByName(late)
+
+
+def find_quotes(texts: DataFrame, quotes: DataFrame, window: int = 4) -> DataFrame:
+    """(texts' columns but text, quotes' columns, start): every quote that stands in a text, exactly, and where first.
+
+    texts: text and keys; quotes: quote and keys. A quote is posted under the rarest of its runs of
+    ``window`` whole words, as the texts count them, and texts meet it by that run: an equi-join.
+    Quotes with fewer words between blanks are compared with each text, in a broadcast while
+    they are SHORT_QUOTES at most.
+    """
+    inner = F.split(F.regexp_replace("quote", r"^[^ ]* | [^ ]*$", ""), " ")
+    runs = lambda words: F.when(F.size(words) >= window, F.transform(F.sequence(F.lit(1), F.size(words) - window + 1), lambda i: F.xxhash64(F.slice(words, i, F.lit(window)))))
+    q = quotes.withColumn("_w", F.array_distinct(runs(inner))).withColumn("_q", F.xxhash64("quote", *[c for c in quotes.columns if c != "quote"]))
+    posted = q.where("_w is not null").select("_q", F.explode("_w").alias("_r"))
+    wanted = posted.select("_r").distinct()
+    found = texts.select("*", F.explode(F.array_distinct(runs(F.split("text", " ")))).alias("_r")).join(wanted, "_r")
+    often = found.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
+    rarest = posted.join(often, "_r", "left").groupBy("_q").agg(F.min_by("_r", F.struct(F.coalesce("_n", F.lit(0)), "_r")).alias("_r"))
+    long = found.join(q.drop("_w").join(rarest, "_q"), "_r").where(F.expr("contains(text, quote)")).drop("_q")
+    few = q.where("_w is null").drop("_w", "_q")
+    short = texts.join(F.broadcast(few) if few.limit(SHORT_QUOTES + 1).count() <= SHORT_QUOTES else few, F.expr("contains(text, quote)"))
+    cols = [c for c in [*texts.columns, *quotes.columns] if c not in ("text", "quote")]
+    start = (F.instr(F.col("text"), F.col("quote")) - 1).alias("start")
+    return long.select(*cols, start).unionByName(short.select(*cols, start))
+
+
+def anchor_at(text: Column, start: Column, end: Column) -> Column:
+    """struct(quote, start, end, strategy, score) of a span whose offsets are known; null if it is out of the text or blank."""
+    cut = F.substr(text, start + 1, F.greatest(end - start, F.lit(0)))
+    anchor = F.struct(cut.alias("quote"), start.cast("int").alias("start"), end.cast("int").alias("end"), F.lit("EXACT").alias("strategy"), F.lit(1.0).alias("score"))
+    return F.when((start >= 0) & (end > start) & (end <= F.length(text)) & ~cut.rlike(r"^(?U)\s*$"), anchor)
+
+
+def with_block_kind(anchors: DataFrame, blocks: DataFrame, page: list[str], key: str) -> DataFrame:
+    """Anchors (page, key, char_start, char_end) with block_kind: the kind of block they start in, ``mixed`` if they end in another kind, text outside blocks."""
+    b = blocks.select(*page, F.col("order_index").alias("_o"), F.col("kind").alias("_k"), F.col("char_start").alias("_a"), F.col("char_end").alias("_z"))
+    last = F.greatest(F.col("char_start"), F.col("char_end") - 1)
+    starts, ends = (F.col("char_start") >= F.col("_a")) & (F.col("char_start") < F.col("_z")), (last >= F.col("_a")) & (last < F.col("_z"))
+    met = anchors.select(*page, key, "char_start", "char_end").join(b, page).where(starts | ends)
+    first = lambda c: F.min_by(F.when(c, F.col("_k")), F.when(c, F.col("_o")))
+    told = met.groupBy(*page, key).agg(first(starts).alias("_first"), first(ends).alias("_last"))
+    out = anchors.join(told, [*page, key], "left")
+    kind = F.when(F.col("_first").isNull(), "text").when(F.col("_last").isNotNull() & (F.col("_last") != F.col("_first")), "mixed").otherwise(F.col("_first"))
+    return out.withColumn("block_kind", kind).drop("_first", "_last")
+
+
+def build_anchors(quotes: DataFrame, pages: DataFrame, blocks: DataFrame, page: list[str], key: str) -> DataFrame:
+    """Quotes (page, key, quote) grounded in their pages' texts: quote as the page has it, offsets, strategy, score and block kind; ungrounded ones go."""
+    met = quotes.join(pages.select(*page, "text"), page)
+    hits = locate_all(met, [*page, key]).where("start >= 0")
+    return with_block_kind(hits.select(*page, key, F.col("matched").alias("quote"), F.col("start").alias("char_start"), F.col("end").alias("char_end"), F.col("strategy").alias("match_strategy"), F.col("score").alias("match_score")), blocks, page, key)
+
+
 def verify(text: Column, start: Column, end: Column, quote: Column, strict: bool = True) -> Column:
     """Whether the slice of the text is the quote, byte for byte or but for white space and case."""
     cut = F.substr(text, start + 1, end - start)
     if strict:
         return cut.eqNullSafe(quote)
-    plain = lambda c: F.lower(F.trim(F.regexp_replace(c, r"(?U)\s+", " ")))
+    plain = lambda c: F.lower(T.collapse_ws(c))
     return plain(cut).eqNullSafe(plain(quote))
+
+
+def resolve(anchors: DataFrame, pages: DataFrame) -> DataFrame:
+    """Anchors with ``resolved``, the text they point at; empty where the page is not of their file."""
+    p = pages.select("file_id", "page_number", F.col("text").alias("_t"))
+    cut = F.substr(F.col("_t"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+    return anchors.join(p, ["file_id", "page_number"], "left").withColumn("resolved", F.coalesce(cut, F.lit(""))).drop("_t")

@@ -4,7 +4,19 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from .reconcile import GENERIC_ENTITIES, normalize_entity
+from .stages import Settled
+
+# Legal forms, lead words, generic entities.
+LEGAL = "limited ltd private pvt plc inc incorporated corporation corp company co llp llc group holdings".split()
+LEADS = "the our its their this".split()
+GENERIC_ENTITIES = ["", "company", "group", "issuer", "bank", "fund", "board"]
+
+
+def normalize_entity(name: Column) -> Column:
+    """Words in lower case, without lead words in front and legal forms at the end."""
+    words = F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "))
+    words = F.regexp_replace(words, r"^(?:(?:%s)(?:\s+|$))+" % "|".join(LEADS), "")
+    return F.trim(F.regexp_replace(words, r"(?:(?:^|\s+)(?:%s))+$" % "|".join(LEGAL), ""))
 
 
 def initials(key: Column) -> Column:
@@ -27,40 +39,45 @@ def alias_edges(keys: DataFrame) -> DataFrame:
     return subset.union(short.join(full, "i").where("a <> b").select("a", "b")).distinct()
 
 
-def clusters(keys: DataFrame, most_rounds: int = 50) -> DataFrame:
+def clusters(keys: DataFrame) -> DataFrame:
     """(key, root): the smallest key that aliases reach, for every key.
 
-    Each round takes the neighbours' smallest label and then that label's own; names are far
-    fewer than facts. Rounds are cut by checkpoints where the session names a folder for them.
+    Rounds go on until nothing changes: each takes the neighbours' smallest label and then that
+    label's own, which halves paths, so that rounds grow with the logarithm of the longest. Each
+    is written, so that plans do not grow and a lost executor repeats one round only.
     """
+    kept = Settled()
     edges = alias_edges(keys)
-    edges = edges.union(edges.select("b", "a")).distinct().persist()
-    spark = keys.sparkSession
-    keep = (lambda d: d.checkpoint()) if spark.sparkContext.getCheckpointDir() else (lambda d: d.persist())
-    labels = keys.select("key").distinct().withColumn("root", F.col("key"))
-    for _ in range(most_rounds):
+    edges = kept(edges.union(edges.select("b", "a")).distinct())
+    labels = kept(keys.select("key").distinct().withColumn("root", F.col("key")))
+    if edges.isEmpty():
+        return labels
+    while True:
         near = edges.join(labels.withColumnRenamed("key", "b"), "b").groupBy(F.col("a").alias("key")).agg(F.min("root").alias("r"))
         hooked = labels.join(near, "key", "left").select("key", F.least("root", F.coalesce("r", "root")).alias("new"), F.col("root").alias("old"))
         up = hooked.select(F.col("key").alias("new"), F.col("new").alias("top"))
-        nxt = keep(hooked.join(up, "new", "left").select("key", F.least("new", F.coalesce("top", "new")).alias("root"), "old"))
-        changed = not nxt.where("root <> old").isEmpty()
-        labels = nxt.drop("old")
-        if not changed:
-            break
-    return labels
+        following = kept(hooked.join(up, "new", "left").select("key", F.least("new", F.coalesce("top", "new")).alias("root"), "old"))
+        labels = following.drop("old")
+        if following.where("root <> old").isEmpty():
+            return labels
 
 
 def resolve(facts: DataFrame, subjects: DataFrame | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
-    """``facts`` with key, cluster and canonical name: each cluster's most frequent form, then the longest.
+    """``facts`` with key, cluster and canonical name: each cluster's most frequent form, then the longest, then the first.
 
-    Generic names stand for their document's subject (file_id, subject); ``aliases`` maps normalised keys.
+    Generic names stand for their document's subject (file_id, subject); ``aliases`` maps names to
+    names, both normalised. A generic name without a subject has no cluster.
     """
-    f = facts.withColumn("key", normalize_entity(F.col("entity")))
+    f = facts.withColumn("key", normalize_entity(F.col("entity"))).withColumn("_form", F.col("entity"))
     if subjects is not None:
-        f = f.join(subjects.select("file_id", normalize_entity(F.col("subject")).alias("_s")), "file_id", "left").withColumn("key", F.when(F.col("key").isin(*GENERIC_ENTITIES), F.coalesce("_s", "key")).otherwise(F.col("key"))).drop("_s")
-    for a, b in (aliases or {}).items():
-        f = f.withColumn("key", F.when(F.col("key") == a, b).otherwise(F.col("key")))
-    f = f.join(clusters(f.where("key <> ''")).select("key", F.col("root").alias("cluster")), "key", "left")
-    forms = f.groupBy("cluster", "entity").agg(F.count(F.lit(1)).alias("n"))
-    names = forms.groupBy("cluster").agg(F.max_by("entity", F.struct("n", F.length("entity"), "entity")).alias("canonical"))
-    return f.join(names, "cluster", "left")
+        generic = F.col("key").isin(*GENERIC_ENTITIES) & F.col("_s").isNotNull()
+        f = f.join(subjects.select("file_id", F.col("subject").alias("_s")), "file_id", "left")
+        f = f.withColumn("_form", F.when(generic, F.col("_s")).otherwise(F.col("_form"))).withColumn("key", F.when(generic, normalize_entity(F.col("_s"))).otherwise(F.col("key"))).drop("_s")
+    if aliases:
+        spoken = F.create_map(*[normalize_entity(F.lit(x)) for pair in aliases.items() for x in pair])
+        f = f.withColumn("key", F.coalesce(F.try_element_at(spoken, F.col("key")), "key"))
+    f = f.join(clusters(f.where("key <> ''").select("key")).select("key", F.col("root").alias("cluster")), "key", "left")
+    forms = f.where("cluster is not null").groupBy("cluster", "_form").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file_id", "id") if "id" in facts.columns else F.struct("file_id")).alias("at"))
+    best = Window.partitionBy("cluster").orderBy(F.desc("n"), F.desc(F.length("_form")), "at", "_form")
+    names = forms.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("cluster", F.col("_form").alias("canonical"))
+    return f.drop("_form").join(names, "cluster", "left")

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
+from ..functions.text import collapse_ws, fact_summary, locator, plain_number
+
 LOW = 0.65
 
 
@@ -25,6 +27,17 @@ def cross_document(edges: DataFrame, facts: DataFrame) -> DataFrame:
     return edges.join(a, "fact_a_id").join(b, "fact_b_id").where("_fa <> _fb").drop("_fa", "_fb")
 
 
+def fact(facts: DataFrame, fact_id: Column) -> DataFrame:
+    return facts.where(F.col("id") == fact_id)
+
+
+def search_edges(edges: DataFrame, facts: DataFrame, word: str) -> DataFrame:
+    """Relationships of which either fact matches; both facts must exist."""
+    found = facts.select("id", F.lower(F.concat_ws(" ", "entity", "attribute", "temporal_scope")).contains(word.lower()).alias("_hit"))
+    side = lambda n: found.select(F.col("id").alias(f"fact_{n}_id"), F.col("_hit").alias(f"_{n}"))
+    return edges.join(side("a"), "fact_a_id").join(side("b"), "fact_b_id").where("_a or _b").drop("_a", "_b")
+
+
 def search(facts: DataFrame, word: str) -> DataFrame:
     text = F.lower(F.concat_ws(" ", "entity", "attribute", "temporal_scope"))
     return facts.where(text.contains(word.lower()))
@@ -44,7 +57,38 @@ def first_k(edges: DataFrame, k: int = 3) -> DataFrame:
 
 
 def render(edges: DataFrame, facts: DataFrame, cut: int = 160) -> DataFrame:
-    """Relationships as text, each fact's quote cut; a missing fact leaves a stub."""
-    side = lambda n: facts.select(F.col("id").alias(f"fact_{n}_id"), F.substring("quote", 1, cut).alias(f"_q{n}"))
+    """Relationships with ``rendered``: type and confidence, both facts with citation and quote, and why; a missing fact leaves a stub."""
+    value = F.coalesce(plain_number(F.col("value_num")), F.col("value_text"))
+    told = F.concat_ws("\n", fact_summary(F.col("entity"), F.col("attribute"), value, F.col("unit"), F.col("temporal_scope")), F.concat(F.lit("     "), locator(F.col("file_id"), F.col("page_number"), F.col("char_start"), F.col("char_end"))), F.concat(F.lit('     "'), F.substring(collapse_ws(F.col("quote")), 1, cut), F.lit('"')))
+    side = lambda n: facts.select(F.col("id").alias(f"fact_{n}_id"), told.alias(f"_q{n}"))
     out = edges.join(side("a"), "fact_a_id", "left").join(side("b"), "fact_b_id", "left")
-    return out.withColumn("rendered", F.concat_ws(" | ", F.concat(F.lit("["), "relationship_type", F.lit("]")), F.coalesce("_qa", F.lit("(missing)")), F.coalesce("_qb", F.lit("(missing)")))).drop("_qa", "_qb")
+    whole = F.concat_ws("\n", F.format_string("[%s] confidence %.2f", "relationship_type", "confidence"), F.concat(F.lit("  A: "), "_qa"), F.concat(F.lit("  B: "), "_qb"), F.concat(F.lit("  Why: "), "explanation"))
+    stub = F.concat("relationship_type", F.lit(": (missing fact)"))
+    return out.withColumn("rendered", F.when(F.col("_qa").isNull() | F.col("_qb").isNull(), stub).otherwise(whole)).drop("_qa", "_qb")
+
+
+KINDS = ("CORROBORATED", "GENUINE_CONTRADICTION", "APPARENT_CONTRADICTION")
+
+
+def first_facts(facts: DataFrame, k: int = 8) -> DataFrame:
+    """The first k facts of each document, by place."""
+    w = Window.partitionBy("file_id").orderBy("page_number", "char_start", "id")
+    return facts.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
+
+
+def run_report(facts: DataFrame, edges: DataFrame, reports: DataFrame, k: int = 3, samples: int = 8) -> str:
+    """What a command line shows of a run: a line a document, its first facts, the first relationships of each type over documents."""
+    from .pipeline import summary
+
+    lines = [r["summary"] for r in summary(reports).orderBy("file_id").collect()]
+    for r in first_facts(facts, samples).orderBy("file_id", "position").collect():
+        lines.append(f"  [{r['extractor']} {r['confidence']:.2f}] {r['entity']} | {r['attribute']} = {r['value_num'] if r['value_text'] is None else r['value_text']} {r['unit'] or ''} @ {r['temporal_scope']}")
+    shown = render(first_k(cross_document(edges, facts), k), facts).where(F.col("relationship_type").isin(*KINDS)).orderBy("relationship_type", "position")
+    return "\n".join([*lines, *[r["rendered"] for r in shown.collect()]])
+
+
+def sections(facts: DataFrame, edges: DataFrame, word: str = "", most: int = 30) -> dict[str, DataFrame]:
+    """What a screen shows: each type of relationship over documents and the least sure facts, filtered by a word, ``most`` of each."""
+    across = search_edges(cross_document(edges, facts), facts, word)
+    out = {kind: of_type(across, kind).orderBy(F.desc("confidence"), "fact_a_id", "fact_b_id").limit(most) for kind in KINDS}
+    return out | {"low_confidence": low_confidence(search(facts, word), most)}

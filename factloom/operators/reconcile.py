@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import temporal, units
-from ..functions.text import let, stable_hash
+from ..functions.text import collapse_ws, let, normalize_key, plain_number
+from .entities import GENERIC_ENTITIES, normalize_entity, resolve  # noqa: F401
+from .facts import relationship_id
 
-# Legal forms, lead words, generic entities, measurement modifiers, stop words, generic labels.
-LEGAL = "limited ltd private pvt plc inc incorporated corporation corp company co llp llc group holdings".split()
-LEADS = "the our its their this".split()
-GENERIC_ENTITIES = ["", "company", "group", "issuer", "bank", "fund", "board"]
+# Measurement modifiers, stop words, generic labels.
 MODIFIERS = (
     "adjusted adj reported restated normalised normalized consolidated standalone proforma pro forma underlying excluding including incl excl annualised annualized "
     "average estimated projected provisional revised budgeted actual"
@@ -24,13 +23,6 @@ QUALIFIERS = ("basis", "section", "binding", "source", "context")
 MAX_BLOCK = 250
 
 
-def normalize_entity(name: Column) -> Column:
-    """Words in lower case, without lead words in front and legal forms at the end."""
-    words = F.trim(F.regexp_replace(F.lower(name), "[^a-z0-9]+", " "))
-    words = F.regexp_replace(words, r"^(?:(?:%s)(?:\s+|$))+" % "|".join(LEADS), "")
-    return F.trim(F.regexp_replace(words, r"(?:(?:^|\s+)(?:%s))+$" % "|".join(LEGAL), ""))
-
-
 def signature(attribute: Column) -> Column:
     """struct(core, modifiers): sorted words with measurement modifiers set apart; only modifiers are their own core."""
     words = F.filter(F.split(F.lower(attribute), "[^a-z0-9]+"), lambda w: (w != "") & ~w.isin(*STOP))
@@ -45,16 +37,31 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def prepare(facts: DataFrame, profiles: DataFrame | None = None) -> DataFrame:
-    """Facts with everything a pair needs, worked out once before they meet."""
-    f = facts.withColumn("scope", temporal.parse_period(F.col("temporal_scope"))).withColumn("u", units.parse_unit(F.col("unit")))
-    f = f.withColumn("sig", signature(F.col("attribute"))).withColumn("cluster", normalize_entity(F.col("entity")))
+def prepare(facts: DataFrame, profiles: DataFrame | None = None, subjects: DataFrame | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
+    """Facts with everything a pair needs, worked out once before they meet: cluster of the entity, core of the attribute, period, canonical value.
+
+    Periods and units are parsed once for each distinct label and joined back: labels repeat far more than they differ.
+    """
+    f = resolve(facts, subjects, aliases).drop("key", "canonical").withColumn("cluster", F.coalesce("cluster", normalize_entity(F.col("entity"))))
+    scopes = facts.select("temporal_scope").distinct().withColumn("scope", temporal.parse_period(F.col("temporal_scope"))).withColumn("period", temporal.canonical(F.col("scope")))
+    named = facts.select("unit").distinct().withColumn("u", units.parse_unit(F.col("unit")))
+    labels = facts.select("attribute").distinct().withColumn("sig", signature(F.col("attribute"))).withColumn("attribute_key", normalize_key(F.col("attribute")))
+    for side, key in ((scopes, "temporal_scope"), (named, "unit"), (labels, "attribute")):
+        f = f.join(side.withColumnRenamed(key, "_k"), F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
     f = f.withColumn("v", units.canonical_value(F.col("value_num"), F.col("u"))).withColumn("h", units.half_ulp(F.col("decimals"), F.col("u"))).withColumn("k", units.unit_key(F.col("u")))
-    f = f.withColumn("core_key", F.array_join("sig.core", " ")).withColumn("period", temporal.canonical(F.col("scope")))
+    f = f.withColumn("core_key", F.array_join("sig.core", " "))
     profiles = vintages(facts) if profiles is None else profiles
     return f.join(profiles.select("file_id", "vintage_year"), "file_id", "left")
 
 
+def profile_documents(facts: DataFrame, subjects: DataFrame | None = None, names: DataFrame | None = None) -> DataFrame:
+    """A row a document: file_id, filename (its id where no name is given), subject, vintage_year (null where no fact has a year)."""
+    out = facts.select("file_id").distinct().join(vintages(facts), "file_id", "left")
+    out = out.join(subjects.select("file_id", "subject"), "file_id", "left") if subjects is not None else out.withColumn("subject", F.lit(""))
+    out = out.join(names.select("file_id", "filename"), "file_id", "left") if names is not None else out.withColumn("filename", F.lit(None).cast("string"))
+    return out.select("file_id", F.coalesce("filename", "file_id").alias("filename"), F.coalesce("subject", F.lit("")).alias("subject"), "vintage_year")
+
+
 def vintages(facts: DataFrame) -> DataFrame:
     """file_id and the median year of its facts, half to even."""
     year = temporal.parse_period(F.col("temporal_scope"))["year"]
@@ -92,11 +99,13 @@ def classify(met: DataFrame) -> DataFrame:
     differs = [~a["qualifiers"][q].eqNullSafe(b["qualifiers"][q]) for q in QUALIFIERS]
     others = differs[0] | differs[1] | differs[2] | differs[3]
     weak = a["qualifiers"]["binding"].isNotNull() | b["qualifiers"]["binding"].isNotNull() | (F.least(a["confidence"], b["confidence"]) < 0.6) | (a["match_strategy"] == "FUZZY") | (b["match_strategy"] == "FUZZY")
-    place = [F.lower(F.coalesce(x["qualifiers"]["context"], x["qualifiers"]["section"])) for x in (a, b)]
-    generic = F.lower(F.trim(a["attribute"])).isin(*GENERIC_LABELS) | F.lower(F.trim(b["attribute"])).isin(*GENERIC_LABELS)
+    place = [normalize_key(F.coalesce(F.nullif(x["qualifiers"]["context"], F.lit("")), F.nullif(x["qualifiers"]["section"], F.lit("")))) for x in (a, b)]
+    generic = a["attribute_key"].isin(*GENERIC_LABELS) | b["attribute_key"].isin(*GENERIC_LABELS)
     agree_place = place[0].contains(place[1]) | place[1].contains(place[0])
     numeric = a["v"].isNotNull() & b["v"].isNotNull()
-    same_text = F.lower(a["value_text"]) == F.lower(b["value_text"])
+    said = [F.lower(collapse_ws(F.coalesce(x["value_text"], plain_number(x["value_num"])))) for x in (a, b)]
+    same_text = said[0] == said[1]
+
     def verdict(kind: str, dimension: str, confidence: float | Column) -> Column:
         return F.struct(F.lit(kind).alias("relationship_type"), F.lit(dimension).alias("dimension"), (confidence if isinstance(confidence, Column) else F.lit(confidence)).alias("confidence"))
 
@@ -152,18 +161,89 @@ def _ladder(k: Column, share: Column, verdict) -> Column:
     )
 
 
-def reconcile(facts: DataFrame, emit_orthogonal: bool = False, max_block: int = MAX_BLOCK, min_confidence: float = 0.0, cross_document_only: bool = False) -> DataFrame:
-    """Relationships among facts, one row per related pair.
+def _worded(a: Column, b: Column, verdict: Column, agree: Column, share: Column) -> tuple[Column, Column]:
+    """Why a pair has its verdict, in words and as a struct of what the verdict rests on."""
+    value = lambda x: F.trim(F.concat_ws(" ", F.coalesce(plain_number(x["value_num"]), x["value_text"]), x["unit"]))
+    both = lambda x, y: F.array_sort(F.array_union(F.array_except(x, y), F.array_except(y, x)))
+    none = F.array().cast("array<string>")
+    delta = both(a["sig"]["modifiers"], b["sig"]["modifiers"])
+    differing = F.filter(F.array(*[F.when(~a["qualifiers"][q].eqNullSafe(b["qualifiers"][q]), F.struct(F.lit(q).alias("key"), a["qualifiers"][q].alias("a"), b["qualifiers"][q].alias("b"))) for q in QUALIFIERS]), lambda x: x.isNotNull())
+    sure = F.least(a["confidence"], b["confidence"])
+    weak = F.concat_ws(
+        " and ", F.when(a["qualifiers"]["binding"].isNotNull() | b["qualifiers"]["binding"].isNotNull(), "a value's column was inferred"), F.when(sure < 0.6, F.format_string("a fact is held at %.2f only", sure)),
+        F.when((a["match_strategy"] == "FUZZY") | (b["match_strategy"] == "FUZZY"), "a quote was matched approximately"),
+    )
+    va, vb = a["vintage_year"], b["vintage_year"]
+    gap = F.when((a["file_id"] != b["file_id"]) & (va != vb), F.abs(va - vb))
+    a_first = va < vb
+    whole = F.when(share.isNotNull() | verdict["dimension"].startswith("temporal"), F.when(temporal.contains(a["scope"], b["scope"]), a["temporal_scope"]).otherwise(b["temporal_scope"]))
+    part = F.when(whole.isNotNull(), F.when(temporal.contains(a["scope"], b["scope"]), b["temporal_scope"]).otherwise(a["temporal_scope"]))
+    numeric = agree["band"].isNotNull()
+    context = F.struct(
+        verdict["dimension"].alias("dimension"), a["temporal_scope"].alias("period_a"), b["temporal_scope"].alias("period_b"), temporal.relation(a["scope"], b["scope"]).alias("period_relation"), value(a).alias("value_a"), value(b).alias("value_b"),
+        a["v"].alias("normalized_a"), b["v"].alias("normalized_b"), F.round(agree["difference"], 4).alias("difference"), F.round(agree["relative"], 6).alias("relative_difference"), F.round(agree["tolerance"], 4).alias("tolerance"), agree["band"].alias("agreement_band"),
+        (a["file_id"] == b["file_id"]).alias("same_document"), F.when(F.size(delta) > 0, delta).alias("modifier_delta"), F.when(F.size(differing) > 0, differing).alias("qualifier_delta"), F.when(gap.isNotNull(), F.when(a_first, a["file_id"]).otherwise(b["file_id"])).alias("older"),
+        F.when(gap.isNotNull(), F.when(a_first, b["file_id"]).otherwise(a["file_id"])).alias("newer"), gap.alias("gap"), F.nullif(weak, F.lit("")).alias("weakness"), whole.alias("whole"), part.alias("part"), share.alias("part_share_of_whole"),
+        F.when(verdict["dimension"] == "temporal implausible", "implausible: look at the extraction").alias("flag"),
+    )
+    name, scope, told = a["attribute"], F.coalesce(a["temporal_scope"], F.lit("no period")), units.explain_agreement(agree)
+    say = lambda *x: F.concat(*[F.lit(p) if isinstance(p, str) else F.coalesce(p, F.lit("?")) for p in x])
+    d = verdict["dimension"]
+    why = (
+        F.when(d == "attribute", say("'", name, "' and '", b["attribute"], "' measure different things"))
+        .when(d == "generic label", say("'", name, "' is too general a label to compare where it does not stand under the same heading"))
+        .when(d == "text", F.when(verdict["relationship_type"] == "CORROBORATED", say("both say of ", name, ": ", value(a))).otherwise(say("of ", name, " one says ", value(a), " and the other ", value(b))))
+        .when(d == "unit", say("the units of ", value(a), " and ", value(b), " measure different things"))
+        .when(d == "unit conversion", say("both report ", name, " for ", scope, ", one in ", a["unit"], " and one in ", b["unit"], ": ", told))
+        .when(d == "direct", say("both report ", name, " for ", scope, ": ", told))
+        .when(d == "data vintage", say(name, " for ", scope, " is reported by documents ", gap.cast("string"), " years apart, so one may revise the other: ", told))
+        .when(d == "definition", say("'", name, "' and '", b["attribute"], "' differ in ", F.array_join(F.coalesce(delta, none), ", "), ": ", told))
+        .when(d == "rounding", say("both report ", name, " for ", scope, " as far as rounding lets one tell: ", told))
+        .when(d == "scope qualifier", say("the figures stand under different headings (", F.array_join(F.transform(differing, lambda x: F.concat_ws(" ", x["key"], F.coalesce(x["a"], F.lit("none")), F.lit("against"), F.coalesce(x["b"], F.lit("none")))), "; "), "): ", told))
+        .when(d == "extraction uncertainty", say("the figures differ, but ", weak, ", so the reading may be at fault: ", told))
+        .when(d == "none found", say("same measure, period and units, and nothing that explains it: ", told))
+        .when(d == "period unknown", say("at least one period is not stated: ", told))
+        .when(d == "period", say("the same measure at different times, ", scope, " and ", b["temporal_scope"]))
+        .when(d == "temporal implausible", say(part, " lies within ", whole, " and yet is larger, so a figure was probably misread: ", told))
+        .when(verdict["relationship_type"] == "ORTHOGONAL", say(part, " lies within ", whole, " and has the same value, which is worth a look"))
+        .otherwise(say(part, " lies within ", whole, " and is ", F.coalesce(F.format_string("%.1f%%", share * 100), F.lit("a part")), " of it"))
+    )
+    return F.when(numeric | d.isNotNull(), why), context
+
+
+def reconcile(
+    facts: DataFrame, emit_orthogonal: bool = False, max_block: int = MAX_BLOCK, min_confidence: float = 0.0, cross_document_only: bool = False, subjects: DataFrame | None = None, aliases: dict[str, str] | None = None, prepared: DataFrame | None = None,
+) -> DataFrame:
+    """Relationships among facts, one row per related pair, with explanation and context.
 
     facts: id, file_id, entity, attribute, value_num, value_text, decimals, unit, temporal_scope,
-    qualifiers map, confidence, match_strategy.
+    qualifiers map, confidence, match_strategy. subjects: file_id, subject, for which generic
+    names stand. Facts meet where their entities are of one cluster and their attributes of one core.
     """
-    prepared = prepare(facts).persist()  # both sides of the self-join read what was parsed once
+    prepared = prepare(facts, subjects=subjects, aliases=aliases) if prepared is None else prepared
     out = classify(pairs(prepared, max_block, cross_document_only)).where(F.col("verdict.confidence") >= min_confidence)
     out = out if emit_orthogonal else out.where(F.col("verdict.relationship_type") != "ORTHOGONAL")
+    explanation, context = _worded(F.col("a"), F.col("b"), F.col("verdict"), F.col("agree"), F.col("share"))
     a, b = F.col("a.id"), F.col("b.id")
     return out.select(
-        stable_hash(a, b, F.col("verdict.relationship_type")).alias("id"), a.alias("fact_a_id"), b.alias("fact_b_id"), F.col("a.file_id").alias("file_a"), F.col("b.file_id").alias("file_b"),
+        relationship_id(a, b, F.col("verdict.relationship_type")).alias("id"), a.alias("fact_a_id"), b.alias("fact_b_id"), F.col("a.file_id").alias("file_a"), F.col("b.file_id").alias("file_b"),
         F.col("a.entity").alias("entity"), F.col("a.attribute").alias("attribute_a"), F.col("b.attribute").alias("attribute_b"), F.col("a.period").alias("period_a"), F.col("b.period").alias("period_b"),
-        "verdict.relationship_type", "verdict.dimension", "verdict.confidence", F.col("agree.band").alias("band"), F.col("agree.difference").alias("difference"), "share",
+        "verdict.relationship_type", "verdict.dimension", "verdict.confidence", F.col("agree.band").alias("band"), F.col("agree.difference").alias("difference"), "share", explanation.alias("explanation"), context.alias("context"), F.lit("DETERMINISTIC").alias("detector"),
     )
+
+
+def ordered(edges: DataFrame) -> DataFrame:
+    """Most confident first, then by type, then by their facts: a global sort, for what is shown."""
+    return edges.orderBy(F.desc("confidence"), "relationship_type", "fact_a_id", "fact_b_id")
+
+
+def report(prepared: DataFrame, every: DataFrame, max_block: int = MAX_BLOCK, min_confidence: float = 0.0) -> DataFrame:
+    """One row: facts, entity clusters, blocks, largest block, pairs evaluated, pairs that the guard skipped, relationships by type.
+
+    every: relationships of all confidences with the orthogonal ones; those count, but other ones below ``min_confidence`` do not.
+    """
+    b = blocks(prepared, max_block)
+    sizes = b.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("facts"), F.countDistinct("cluster").alias("entity_clusters"), F.count(F.lit(1)).alias("blocks"), F.coalesce(F.max("n"), F.lit(0)).alias("largest_block"), F.coalesce(F.sum("skipped"), F.lit(0)).alias("pairs_skipped_budget"))
+    counted = every.where((F.col("relationship_type") == "ORTHOGONAL") | (F.col("confidence") >= min_confidence)).groupBy("relationship_type").agg(F.count(F.lit(1)).alias("n"))
+    by = counted.agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(F.col("relationship_type").alias("key"), F.col("n").alias("value"))))).alias("relationships_by_type"))
+    return sizes.join(every.agg(F.count(F.lit(1)).alias("pairs_evaluated")), how="inner").join(by, how="inner")

@@ -7,7 +7,8 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import temporal, text, units
-from ..operators import anchors, blocks, entities, extract, knowledge, layout, reconcile
+from ..operators import anchors, blocks, context, entities, extract, facts, knowledge, layout, pipeline, reconcile, tables
+from ..operators.stages import Settled
 from ..sources import documents as docs_source
 
 
@@ -28,6 +29,16 @@ def query(name: str, oracle: str | None = None):
     return add
 
 
+def one_page(df: DataFrame, key: str, text: str = "text", kind: str = "text") -> tuple[DataFrame, DataFrame]:
+    """Pages and blocks of documents of one page that is one block."""
+    pages = df.select(F.col(key).cast("string").alias("file_id"), F.lit(1).alias("page_number"), F.col(text).alias("text"))
+    return pages, pages.select("file_id", "page_number", F.lit(0).alias("order_index"), F.lit(kind).alias("kind"), "text", F.lit(0).alias("char_start"), F.length("text").alias("char_end"))
+
+
+def plain_context(pages: DataFrame, subject: str = "Acme") -> DataFrame:
+    return pages.select("file_id", F.lit(subject).alias("subject"), F.lit(3).alias("year_end_month")).distinct()
+
+
 # --- facts rendered from orders: two filings of the same totals at different scales -------------------------------
 
 def measure() -> Column:
@@ -75,11 +86,6 @@ r AS (SELECT p, y, k, band, d, CASE
 """
 
 
-def _same_or_nested(edges: DataFrame) -> DataFrame:
-    """The pairs of one year: other years are other periods."""
-    return edges.where(F.substring("fact_a_id", 3, 99) == F.substring("fact_b_id", 3, 99))
-
-
 @query("flagship_reconcile", _PAIRS + "SELECT p, y, band, t AS relationship_type, c AS confidence FROM r WHERE t<>'ORTHOGONAL'")
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Related pairs of the two filings, with their verdicts."""
@@ -412,7 +418,16 @@ def rendered_tables(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT p, 'Order value — % of total', 'FY'||y, CAST(n%100 AS DOUBLE), '%', NULL FROM s UNION ALL SELECT p, 'Orders placed', 'FY'||y, CAST(n AS DOUBLE), 'INR', 'Volumes' FROM s""",
 )
 def table_facts(spark, sf_dir):
-    return extract.table_facts(rendered_tables(spark, sf_dir), ["p"], F.lit("Acme")).select("p", "attribute", "temporal_scope", "value_num", "unit", "section")
+    pages, b = one_page(rendered_tables(spark, sf_dir), "p", kind="table")
+    f = facts_of_tables(pages, b.withColumn("role", F.lit("DATA_TABLE")))
+    return f.select(F.col("file_id").alias("p"), "attribute", "temporal_scope", "value_num", "unit", F.col("qualifiers")["section"].alias("section"))
+
+
+def facts_of_tables(pages: DataFrame, blocks_: DataFrame) -> DataFrame:
+    c, kept = plain_context(pages), Settled()
+    found = kept(tables.with_headers(blocks_, pages, c))
+    rows = kept(context.page_units(tables.table_rows(found), context.unit_declarations(pages)).withColumn("heading", F.lit(None).cast("string")))
+    return tables.table_facts(rows, c)
 
 
 def rendered_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -430,14 +445,21 @@ def rendered_prose(spark: SparkSession, sf_dir: str) -> DataFrame:
     UNION ALL SELECT k, 'Supplier share', 'Q2 FY'||substring(CAST(k+1990 AS VARCHAR),3,2), CAST(c%100 AS DOUBLE), '%' FROM s""",
 )
 def prose_facts(spark, sf_dir):
-    return extract.prose_facts(rendered_prose(spark, sf_dir), ["k"], F.lit("Acme")).select("k", "attribute", "temporal_scope", "value_num", "unit")
+    f = facts_of_prose(one_page(rendered_prose(spark, sf_dir), "k")[0])
+    return f.select(F.col("file_id").cast("long").alias("k"), "attribute", "temporal_scope", "value_num", "unit")
+
+
+def facts_of_prose(pages: DataFrame) -> DataFrame:
+    spans = pages.select("*", F.lit(0).alias("span"), F.lit(0).alias("order_index"), F.lit(0).alias("start"))
+    told = extract.with_page_units(extract.statements(spans), context.unit_declarations(pages))
+    return extract.prose_facts(told, pages, plain_context(pages))
 
 
 @query("anchor_audit", "SELECT count(*) * 2 AS facts, count(*) * 2 AS exact FROM (SELECT DISTINCT s_nationkey FROM supplier)")
 def anchor_audit(spark, sf_dir):
-    t = rendered_prose(spark, sf_dir)
-    f = extract.prose_facts(t, ["k"], F.lit("Acme")).join(t.select("k", "text"), "k")
-    ok = anchors.verify(F.regexp_replace("text", "\n", " "), F.col("char_start"), F.col("char_end"), F.col("quote"))
+    pages, _ = one_page(rendered_prose(spark, sf_dir), "k")
+    f = facts_of_prose(pages).join(pages, ["file_id", "page_number"])
+    ok = anchors.verify(F.col("text"), F.col("char_start"), F.col("char_end"), F.col("quote"))
     return f.agg(F.count(F.lit(1)).alias("facts"), F.count_if(ok).alias("exact"))
 
 
@@ -449,19 +471,29 @@ def anchor_audit(spark, sf_dir):
 def orphan_facts(spark, sf_dir):
     s = table(spark, sf_dir, "part").groupBy(F.col("p_brand").alias("b")).agg(F.sum(F.col("p_retailprice").cast("decimal(20,2)")).alias("t"))
     rows = F.array(F.lit("Stock statement;"), F.lit(""), F.lit("Retail value"), F.lit("of stock"), F.format_number("t", 2), F.format_number(F.col("t") * 2, 2), F.lit("99.5"), F.lit("Closing remarks"))
-    l = s.select("b", F.posexplode(rows).alias("pos", "line"))
-    return extract.orphan_facts(l, ["b"], "pos", F.array(F.lit("FY23"), F.lit("FY24"))).select("b", "attribute", "temporal_scope", "value_num")
+    pages, b = one_page(s.select("b", F.array_join(rows, "\n").alias("text")), "b")
+    slots = F.array(*[F.struct(F.lit(p).alias("label"), F.lit(p).alias("source_text"), F.lit(False).alias("refined"), units.parse_unit(F.lit(None).cast("string")).alias("unit")) for p in ("FY23", "FY24")])
+    scanned = b.withColumn("slots", slots).withColumn("header_unit", units.parse_unit(F.lit("₹"))).withColumn("heading", F.lit(None).cast("string"))
+    found = extract.orphan_facts(context.page_units(extract.orphan_rows(scanned), context.unit_declarations(pages)), pages, plain_context(pages))
+    return found.select(F.col("file_id").alias("b"), "attribute", "temporal_scope", "value_num")
 
 
 def _fake_model(system: str, user: str) -> str:
-    """A stand-in for a service: names the first line, and a quote that is not there."""
-    line = user.split("\n")[0]
-    return "```json\n" + json.dumps([{"entity": "x", "attribute": "first line", "value": "1", "quote": line}, {"attribute": "made up", "quote": "no such words here 123"}, {"quote": line}]) + "\n```"
+    """A stand-in for a service: names the first line of each window, and a quote that is not there."""
+    line = user.split("\n", 3)[3].split("\n")[0]
+    return "```json\n" + json.dumps([{"entity": "x", "attribute": "first line", "value": "told", "quote": line}, {"attribute": "made up", "value": 1, "quote": "0 1 2 3 4 5 6 7 8 9 # @ 0"}, {"quote": line}]) + "\n```"
 
 
-@query("model_facts", "SELECT doc_id, 'first line' AS attribute, 0 AS char_start, length(string_split(text,chr(10))[1]) AS char_end FROM documents WHERE trim(string_split(text,chr(10))[1])<>''")
+@query(
+    "model_facts",
+    "SELECT doc_id, 'first line' AS attribute, instr(text, string_split(text,chr(10))[1])-1 AS char_start, instr(text, string_split(text,chr(10))[1])-1+length(string_split(text,chr(10))[1]) AS char_end FROM documents WHERE trim(string_split(text,chr(10))[1])<>''",
+)
 def model_facts(spark, sf_dir):
-    return extract.model_facts(table(spark, sf_dir, "documents"), ["doc_id"], _fake_model).select("doc_id", "attribute", "char_start", F.col("char_end").cast("long"))
+    """Each whole text in one window."""
+    pages, b = one_page(table(spark, sf_dir, "documents"), "doc_id")
+    c, d = plain_context(pages), context.unit_declarations(pages.where("1 = 0"))
+    f, _ = extract.model_facts(extract.model_items(pages, c, _fake_model, most=1 << 28), pages, b, c, d, context.default_units(d, pages))
+    return f.select(F.col("file_id").cast("long").alias("doc_id"), "attribute", F.col("char_start").cast("long"), F.col("char_end").cast("long"))
 
 
 # --- facts: identity, conflicts, blocks, entities -----------------------------------------------------------------
@@ -479,7 +511,7 @@ def item_facts(spark: SparkSession, sf_dir: str) -> DataFrame:
     "SELECT l_partkey AS part, l_suppkey AS supp, l_orderkey AS page, l_linenumber AS seq FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_discount DESC, l_orderkey, l_linenumber) rn FROM lineitem) WHERE rn=1",
 )
 def fact_dedupe(spark, sf_dir):
-    return extract.dedupe(item_facts(spark, sf_dir), ["part", "supp"], [F.col("page"), F.col("seq")]).select("part", "supp", "page", "seq")
+    return facts.dedupe(item_facts(spark, sf_dir), ["part", "supp"], [F.col("page"), F.col("seq")]).select("part", "supp", "page", "seq")
 
 
 @query(
@@ -487,7 +519,7 @@ def fact_dedupe(spark, sf_dir):
     "SELECT l_orderkey AS page, l_linenumber AS seq FROM lineitem JOIN (SELECT l_orderkey, l_returnflag FROM lineitem GROUP BY 1,2 HAVING count(DISTINCT round(l_quantity,6))=1) USING (l_orderkey, l_returnflag)",
 )
 def page_conflicts(spark, sf_dir):
-    return extract.drop_conflicts(item_facts(spark, sf_dir), ["page", "attribute_key"]).select("page", "seq")
+    return facts.drop_conflicts(item_facts(spark, sf_dir), ["page", "attribute_key"]).select("page", "seq")
 
 
 @query(
@@ -521,16 +553,39 @@ def entity_clusters(spark, sf_dir):
 @query("quote_exact", "SELECT d.doc_id, b.item_id, instr(d.text, b.text)-1 AS start FROM documents d, benchmark b WHERE contains(d.text, b.text)")
 def quote_exact(spark, sf_dir):
     d, b = table(spark, sf_dir, "documents").select("doc_id", "text"), table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("quote"))
-    hit = anchors.locate(F.col("text"), F.col("quote"))
-    met = d.join(F.broadcast(b.limit(100_000)) if b.count() <= 100_000 else b, F.expr("contains(text, quote)"))
-    return met.select("doc_id", "item_id", hit["start"].cast("long").alias("start"))
+    return anchors.find_quotes(d, b).select("doc_id", "item_id", F.col("start").cast("long"))
 
 
-@query("quote_folded", "SELECT item_id, 'CASE_INSENSITIVE' AS strategy, 0.95 AS score FROM benchmark WHERE NOT contains(text,'ß')")
+@query("quote_folded", "SELECT item_id, CASE WHEN contains(text,'ß') THEN NULL ELSE 'CASE_INSENSITIVE' END AS strategy, CASE WHEN contains(text,'ß') THEN NULL ELSE CAST(0.95 AS DOUBLE) END AS score, CASE WHEN contains(text,'ß') THEN NULL ELSE 8 END AS start, CASE WHEN contains(text,'ß') THEN NULL ELSE 8+length(text) END AS stop FROM benchmark")
 def quote_folded(spark, sf_dir):
-    b = table(spark, sf_dir, "benchmark").where(~F.contains("text", F.lit("ß")))
+    """Upper-cased quotes: a sharp s becomes two letters there, so that no native rung finds those."""
+    b = table(spark, sf_dir, "benchmark")
     hit = anchors.locate(F.concat(F.lit("Start.  "), F.col("text"), F.lit(" End.")), F.regexp_replace(F.upper("text"), " ", "  "))
-    return b.select("item_id", hit["strategy"].alias("strategy"), hit["score"].alias("score"))
+    return b.select("item_id", hit["strategy"].alias("strategy"), hit["score"].alias("score"), hit["start"].alias("start"), hit["end"].alias("stop"))
+
+
+@query(
+    "quote_normalized",
+    "SELECT item_id, 'NORMALIZED' AS strategy, 5 AS start, 5+length(text)+length(text)-length(replace(text,' ','')) AS stop, 1 AS occurrences FROM benchmark",
+)
+def quote_normalized(spark, sf_dir):
+    """Each blank of the text is a line end and a wide blank: offsets are those of the text, not of its folded form."""
+    b = table(spark, sf_dir, "benchmark")
+    hit = anchors.locate(F.concat(F.lit("\u201ca\u201d\n\n"), F.replace("text", F.lit(" "), F.lit("\n\u2003"))), F.col("text"))
+    return b.select("item_id", hit["strategy"].alias("strategy"), hit["start"].alias("start"), hit["end"].alias("stop"), hit["occurrences"].alias("occurrences"))
+
+
+@query("anchors_built", "SELECT item_id, CASE item_id%3 WHEN 0 THEN 'text' WHEN 1 THEN 'mixed' ELSE 'table' END AS block_kind, CASE item_id%3 WHEN 2 THEN length(text)+2 ELSE 0 END AS char_start, 'EXACT' AS match_strategy FROM benchmark")
+def anchors_built(spark, sf_dir):
+    """Quotes of a text block, of a table block below it, and of both."""
+    b = table(spark, sf_dir, "benchmark").select(F.col("item_id").cast("string").alias("file_id"), F.lit(1).alias("page_number"), (F.col("item_id") % 3).alias("k"), "text", "item_id")
+    row = F.lit("| a | b |")
+    pages = b.select("file_id", "page_number", F.concat("text", F.lit("\n\n"), row).alias("text"))
+    kinds = F.array(F.struct(F.lit("text").alias("kind"), F.lit(0).alias("a"), F.length("text").alias("z")), F.struct(F.lit("table").alias("kind"), (F.length("text") + 2).alias("a"), (F.length("text") + 2 + F.length(row)).alias("z")))
+    blocks_ = b.select("file_id", "page_number", F.posexplode(kinds).alias("order_index", "x")).select("file_id", "page_number", "order_index", "x.kind", F.col("x.a").alias("char_start"), F.col("x.z").alias("char_end"))
+    quote = F.when(F.col("k") == 0, F.col("text")).when(F.col("k") == 1, F.concat("text", F.lit("\n\n"), row)).otherwise(row)
+    out = anchors.build_anchors(b.select("file_id", "page_number", "item_id", quote.alias("quote")), pages, blocks_, ["file_id", "page_number"], "item_id")
+    return out.select("item_id", "block_kind", "char_start", "match_strategy")
 
 
 @query("quote_fuzzy")
@@ -538,3 +593,308 @@ def quote_fuzzy(spark, sf_dir):
     b = table(spark, sf_dir, "benchmark")
     dropped = F.regexp_replace("text", r"^(\S+ \S+ \S+) \S+", "$1")
     return anchors.locate_fuzzy(b.select("item_id", F.concat(F.lit("Before. "), "text", F.lit(" After.")).alias("text"), dropped.alias("quote")), ["item_id"])
+
+
+# --- functions of periods, names and facts ------------------------------------------------------------------------
+
+
+@query(
+    "period_headers",
+    """SELECT o_orderkey, CASE o_orderkey%4 WHEN 0 THEN 'FY'||fy WHEN 1 THEN 'Q'||((month(o_orderdate)-4+12)%12//3+1)||' FY'||fy WHEN 2 THEN 'H'||((month(o_orderdate)-4+12)%12//6+1)||' FY'||fy ELSE strftime(o_orderdate,'%Y-%m-%d') END AS label, o_orderkey%4<3 AS refined
+    FROM (SELECT *, year(o_orderdate)+(month(o_orderdate)>3)::INT fy FROM orders)""",
+)
+def period_headers(spark, sf_dir):
+    o = table(spark, sf_dir, "orders")
+    k = F.col("o_orderkey") % 4
+    said = F.when(k == 0, "for the year ended").when(k == 1, "Quarter ended").when(k == 2, "half-year ended").otherwise("as at")
+    h = temporal.resolve_header(F.date_format("o_orderdate", "yyyy-MM-dd"), said, F.lit(3))
+    return o.select("o_orderkey", h["label"].alias("label"), h["refined"].alias("refined"))
+
+
+@query("dates_found", "SELECT o_orderkey, 3 AS n, strftime(o_orderdate,'%Y-%m-%d') AS first, strftime(o_orderdate + INTERVAL 2 DAY,'%Y-%m-%d') AS last FROM orders")
+def dates_found(spark, sf_dir):
+    d = F.col("o_orderdate").cast("date")
+    said = F.concat_ws(" ", F.date_format(F.date_add(d, 2), "MMMM d, yyyy"), F.lit("then"), F.date_format(F.date_add(d, 1), "d MMM yyyy"), F.lit("and 99 May 2020 after"), F.date_format(d, "yyyy-MM-dd"))
+    got = temporal.find_all_dates(said)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.size(got).alias("n"), F.get(got, F.lit(0)).cast("string").alias("first"), F.try_element_at(got, F.lit(-1)).cast("string").alias("last"))
+
+
+@query("period_overlaps", "SELECT o_orderkey, year(o_orderdate)%2=0 AS overlaps FROM orders")
+def period_overlaps(spark, sf_dir):
+    y = F.year("o_orderdate")
+    a, b = F.concat(F.lit("FY"), y.cast("string")), F.concat(F.lit("Q2 FY"), (y + y % 2).cast("string"))
+    return table(spark, sf_dir, "orders").select("o_orderkey", temporal.overlaps(temporal.parse_period(a), temporal.parse_period(b)).alias("overlaps"))
+
+
+@query(
+    "names_in_text",
+    """SELECT n_nationkey AS k, upper(n[1])||lower(substring(n,2))||' Foods Limited' AS company, upper(n[1])||lower(substring(n,2)) AS owner, 'exports of goods' AS attribute FROM (SELECT n_nationkey, regexp_replace(n_name,'[^A-Za-z]','','g') n FROM nation)""",
+)
+def names_in_text(spark, sf_dir):
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.initcap(F.regexp_replace("n_name", "[^A-Za-z]", "")).alias("n"))
+    company = F.get(text.organisation_names(F.concat(F.lit("The Board of "), "n", F.lit(" Foods Limited met."))), F.lit(0))
+    whose = text.split_possessive(F.concat("n", F.lit("'s exports of goods")), F.lit("other"))
+    return n.select("k", text.titlecase_name(company).alias("company"), whose["entity"].alias("owner"), whose["attribute"].alias("attribute"))
+
+
+@query("bullet_lines", "SELECT doc_id, count(*) FILTER (regexp_matches(trim(l),'^[A-Za-z]?$')) AS bullets FROM (SELECT doc_id, unnest(string_split(text, chr(10))) l FROM documents) GROUP BY 1")
+def bullet_lines(spark, sf_dir):
+    return docs_source.lines_as_blocks(table(spark, sf_dir, "documents")).groupBy("doc_id").agg(F.count_if(text.is_bullet_artifact(F.col("text"))).alias("bullets"))
+
+
+@query(
+    "fact_keys",
+    "SELECT p_partkey, lower(replace(p_brand,'#','_'))||'::'||replace(lower(p_type),' ','_') AS predicate, 'a='||lower(replace(p_name,' ','_'))||'|b=x_y' AS qualifiers, p_brand||' · '||p_type||' = 1.5 INR (FY24)' AS summary, p_brand||' p.3 [0:7]' AS locator FROM part",
+)
+def fact_keys(spark, sf_dir):
+    q = F.create_map(F.lit("b"), F.lit("X y"), F.lit("a"), F.col("p_name"))
+    told = text.fact_summary(F.col("p_brand"), F.col("p_type"), text.plain_number(F.lit(1.5)), F.lit("INR"), F.lit("FY24"))
+    return table(spark, sf_dir, "part").select("p_partkey", text.predicate_key(F.col("p_brand"), F.col("p_type")).alias("predicate"), text.qualifier_key(q).alias("qualifiers"), told.alias("summary"), text.locator(F.col("p_brand"), F.lit(3), F.lit(0), F.lit(7)).alias("locator"))
+
+
+@query(
+    "units_told",
+    "SELECT s_suppkey, CASE s_suppkey%4 WHEN 0 THEN 'MONEY' WHEN 1 THEN 'PERCENT' ELSE 'NUMBER' END AS kind, CASE s_suppkey%4 WHEN 0 THEN 'INR (crore)' WHEN 1 THEN '%' WHEN 2 THEN 'days' ELSE 'odd things' END AS told, CASE WHEN s_suppkey%4=1 THEN 0.01 ELSE 1.0 END AS scale, s_suppkey%100<100 AS note FROM supplier",
+)
+def units_told(spark, sf_dir):
+    k = F.col("s_suppkey") % 4
+    raw = F.when(k == 0, "₹ Cr").when(k == 1, "25 bps").when(k == 2, "Days").otherwise("odd things")
+    u = units.parse_unit(raw)
+    scale = F.when(u["dimension"] == "PERCENT", u["scale"]).otherwise(1.0)
+    return table(spark, sf_dir, "supplier").select("s_suppkey", units.value_kind(u).alias("kind"), units.describe(u, raw).alias("told"), scale.alias("scale"), units.is_note_reference((F.col("s_suppkey") % 100).cast("string"), F.col("s_suppkey") % 100).alias("note"))
+
+
+@query(
+    "fact_validation",
+    """SELECT l_orderkey, l_linenumber, CASE l_linenumber%4 WHEN 0 THEN 'blank quote' WHEN 1 THEN 'empty span' WHEN 2 THEN 'unverified' END AS fault FROM lineitem""",
+)
+def fact_validation(spark, sf_dir):
+    k = F.col("l_linenumber") % 4
+    f = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.lit("Acme").alias("entity"), F.lit(" net  sales ").alias("attribute"), F.lit("row").alias("raw_statement"), F.when(k == 0, " ").otherwise("12 crore").alias("quote"), F.lit(1).alias("page_number"), F.lit(5).alias("char_start"),
+        F.when(k == 1, 5).otherwise(13).alias("char_end"), F.when(k == 2, "UNVERIFIED").otherwise("EXACT").alias("match_strategy"), F.lit(0.9).alias("confidence"), F.lit(1.0).alias("match_score"), F.lit("").alias("unit"), F.lit(None).cast("string").alias("temporal_scope"), F.lit(None).cast("string").alias("normalized_unit"),
+    )
+    good, bad = facts.validate(f)
+    return good.where("attribute = 'net sales' and unit is null").select("l_orderkey", "l_linenumber", F.lit(None).cast("string").alias("fault")).unionByName(bad.select("l_orderkey", "l_linenumber", "fault"))
+
+
+@query("relationship_ids", "SELECT l_orderkey, l_linenumber, substring(sha256(least('a'||l_partkey,'b'||l_suppkey)||chr(31)||greatest('a'||l_partkey,'b'||l_suppkey)||chr(31)||'CORROBORATED'),1,16) AS id, false AS conflict FROM lineitem")
+def relationship_ids(spark, sf_dir):
+    b, a = F.concat(F.lit("a"), "l_partkey"), F.concat(F.lit("b"), "l_suppkey")
+    e = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", a.alias("fact_a_id"), b.alias("fact_b_id"), F.lit("CORROBORATED").alias("relationship_type"))
+    return facts.valid_relationships(e).select("l_orderkey", "l_linenumber", "id", facts.is_conflict(F.col("relationship_type")).alias("conflict"))
+
+
+# --- context of documents -----------------------------------------------------------------------------------------
+
+
+def reports(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(k, kind, name, page_number, text): for each nation a company's, a country's and a plain report of two pages."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.initcap(F.regexp_replace("n_name", "[^A-Za-z]", "")).alias("name"))
+    cover = F.concat(F.lit("Annual Report\n"), "name", F.lit(" Foods Limited\nOur financial year ended 31 December 2023. Cash of ("), F.lit("₹ Cr) in the bank of "), "name", F.lit(" and more.\n\n(1,240) and (2.5x)"))
+    body = F.concat(F.lit("Since then "), "name", F.lit(" Foods Limited grew. Made in "), "name", F.lit(" alone.\n₹ in lakh\nThe end."))
+    country = F.concat(F.lit("Staff Country Report No. 25\n\n"), F.upper("name"), F.lit("\n\nby Global Fund Corporation (All amounts in US dollars in million, unless otherwise stated)"))
+    plain = F.concat(F.lit("it is said that "), "name", F.lit(" grew, and "), "name", F.lit("'s trade with it."))
+    page = lambda kind, i, t: F.struct(F.lit(kind).alias("kind"), F.lit(i).alias("page_number"), t.alias("text"))
+    rows = F.array(page("company", 1, cover), page("company", 2, body), page("country", 1, country), page("plain", 1, plain))
+    return n.select("k", "name", F.explode(rows).alias("x")).select(F.concat_ws(":", "x.kind", "k").alias("file_id"), "k", "name", "x.kind", "x.page_number", "x.text")
+
+
+_NATIONS = "WITH n AS (SELECT n_nationkey k, upper(m[1])||lower(substring(m,2)) AS nm FROM (SELECT n_nationkey, regexp_replace(n_name,'[^A-Za-z]','','g') m FROM nation)) "
+
+
+@query(
+    "document_context",
+    _NATIONS
+    + """SELECT 'company:'||k AS file_id, nm||' Foods Limited' AS subject, nm AS country_context, 12 AS month, CAST(NULL AS VARCHAR) AS default_unit, 2 AS declared FROM n
+    UNION ALL SELECT 'country:'||k, nm, CAST(NULL AS VARCHAR), 3, 'USD (million)', 1 FROM n UNION ALL SELECT 'plain:'||k, nm, NULL, 3, NULL, 0 FROM n""",
+)
+def document_context(spark, sf_dir):
+    c = context.build_context(reports(spark, sf_dir).select("file_id", "page_number", "text"))
+    country = F.when(F.col("file_id").startswith("country"), None).otherwise(F.col("country_context"))
+    return c.select("file_id", "subject", country.alias("country_context"), F.col("year_end_month").alias("month"), units.describe(F.col("default_unit")).alias("default_unit"), F.col("unit_declarations").cast("int").alias("declared"))
+
+
+@query(
+    "unit_declarations",
+    _NATIONS
+    + """SELECT 'company:'||k AS file_id, 1 AS page_number, 14+length(nm)+15+length('Our financial year ended 31 December 2023. Cash of ') AS char_start, 'INR (crore)' AS unit, false AS is_global FROM n
+    UNION ALL SELECT 'company:'||k, 2, 11+length(nm)+length(' Foods Limited grew. Made in ')+length(nm)+8, 'INR (lakh)', false FROM n
+    UNION ALL SELECT 'country:'||k, 1, length('Staff Country Report No. 25')+4+length(nm)+length('by Global Fund Corporation '), 'USD (million)', true FROM n""",
+)
+def unit_declarations(spark, sf_dir):
+    d = context.unit_declarations(reports(spark, sf_dir).select("file_id", "page_number", "text"))
+    return d.select("file_id", "page_number", F.col("char_start").cast("long"), units.describe(F.col("unit")).alias("unit"), "is_global")
+
+
+@query(
+    "unit_resolution",
+    _NATIONS
+    + """SELECT 'company:'||k AS file_id, p AS page_number, CASE WHEN p=1 THEN 'INR (crore)' ELSE 'INR (lakh)' END AS unit, CASE WHEN p=1 THEN 'page-declaration-after' ELSE 'page-declaration' END AS source FROM n, (SELECT unnest([1,2]) p)
+    UNION ALL SELECT 'country:'||k, 7, 'USD (million)', 'document-default' FROM n UNION ALL SELECT 'plain:'||k, 1, '%', 'inline' FROM n""",
+)
+def unit_resolution(spark, sf_dir):
+    """Points before the declaration of a first page, after that of a second, on a page without one, and with a unit of their own."""
+    pages = reports(spark, sf_dir).select("file_id", "page_number", "text")
+    d = context.unit_declarations(pages)
+    kind = F.split("file_id", ":")[0]
+    points = pages.select("file_id", F.when(kind == "country", 7).otherwise(F.col("page_number")).alias("page_number"), F.when(F.col("page_number") == 2, 9999).otherwise(0).alias("char_start"), F.when(kind == "plain", units.parse_unit(F.lit("%"))).alias("own"))
+    out = context.resolve_units(points, d, context.default_units(d, pages), inline=F.col("own"))
+    return out.select("file_id", "page_number", units.describe(F.col("unit")).alias("unit"), F.col("unit_source").alias("source"))
+
+
+# --- tables of several shapes -------------------------------------------------------------------------------------
+
+
+def by_year(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(p, v): for each priority its order counts n and their hundredths h by year, as an array."""
+    o = table(spark, sf_dir, "orders").groupBy(F.col("o_orderpriority").alias("p"), F.year("o_orderdate").alias("y")).agg(F.count(F.lit(1)).alias("n"))
+    return o.groupBy("p").agg(F.array_sort(F.collect_list(F.struct("y", "n", (F.col("n") % 100).alias("h")))).alias("v"))
+
+
+_BY_YEAR = "WITH s AS (SELECT o_orderpriority p, year(o_orderdate) y, count(*) n, count(*)%100 h FROM orders GROUP BY 1,2) "
+
+
+@query(
+    "table_unit_rows",
+    _BY_YEAR + "SELECT p, 'Order value' AS attribute, 'FY'||y AS temporal_scope, CAST(n AS DOUBLE) AS value_num, 'INR (million)' AS unit, CAST(NULL AS VARCHAR) AS value_type FROM s UNION ALL SELECT p, 'Order value', 'FY'||y, CAST(h AS DOUBLE), '%', 'share of total' FROM s",
+)
+def table_unit_rows(spark, sf_dir):
+    """Two columns under each year, told apart by a row of units below the header."""
+    s = by_year(spark, sf_dir)
+    pairs = lambda f: F.flatten(F.transform("v", f))
+    row = lambda head, f: F.concat(F.array(F.lit(head)), pairs(f))
+    rows = F.array(
+        row("Particulars", lambda x: F.array(F.concat(F.lit("FY"), x["y"].cast("string")), F.lit(""))), row("", lambda x: F.array(F.lit("(₹ in million)"), F.lit("% of revenue"))),
+        row("Order value", lambda x: F.array(x["n"].cast("string"), x["h"].cast("string"))),
+    )
+    pages, b = one_page(s.select("p", layout.to_markdown(rows).alias("text")), "p", kind="table")
+    f = facts_of_tables(pages, b.withColumn("role", F.lit("DATA_TABLE")))
+    return f.select(F.col("file_id").alias("p"), "attribute", "temporal_scope", "value_num", "unit", F.col("qualifiers")["value_type"].alias("value_type"))
+
+
+@query("table_year_rows", _BY_YEAR + "SELECT p, 'Q'||q||' FY'||y AS temporal_scope, CAST(n+q AS DOUBLE) AS value_num, 'Canada' AS entity FROM s, (SELECT unnest([1,2]) q)")
+def table_year_rows(spark, sf_dir):
+    """Quarters without a year under a row of years, and a subject in the caption above."""
+    s = by_year(spark, sf_dir)
+    row = lambda head, f: F.concat(F.array(F.lit(head)), F.flatten(F.transform("v", f)))
+    rows = F.array(row("", lambda x: F.array(F.concat(F.lit("FY"), x["y"].cast("string")), F.lit(""))), row("₹ Cr", lambda x: F.array(F.lit("Q1"), F.lit("Q2"))), row("Order value", lambda x: F.array((x["n"] + 1).cast("string"), (x["n"] + 2).cast("string"))))
+    lead = F.lit("Table 4. Canada: Selected orders\n\n")
+    pages, b = one_page(s.select("p", layout.to_markdown(rows).alias("text")), "p", kind="table")
+    pages = pages.withColumn("text", F.concat(lead, "text"))
+    f = facts_of_tables(pages, b.withColumn("role", F.lit("DATA_TABLE")).withColumn("char_start", F.length(lead)))
+    return f.select(F.col("file_id").alias("p"), "temporal_scope", "value_num", "entity")
+
+
+@query("table_collapsed_rows", _BY_YEAR + "SELECT p, 'Real growth (percent)' AS attribute, 'FY'||y AS temporal_scope, CAST(h AS DOUBLE) AS value_num, '%' AS unit, 0.6 AS confidence FROM s")
+def table_collapsed_rows(spark, sf_dir):
+    """A label and all its figures in one cell, and a row with a figure too many, which is not read."""
+    s = by_year(spark, sf_dir)
+    figures = F.array_join(F.transform("v", lambda x: x["h"].cast("string")), " ")
+    wide = lambda head: F.concat(F.array(head), F.transform("v", lambda x: F.lit("")))
+    rows = F.array(F.concat(F.array(F.lit("Item")), F.transform("v", lambda x: F.concat(F.lit("FY"), x["y"].cast("string")))), wide(F.concat(F.lit("Real growth (percent) "), figures)), wide(F.concat(F.lit("Other growth 1 "), figures)))
+    pages, b = one_page(s.select("p", layout.to_markdown(rows).alias("text")), "p", kind="table")
+    f = facts_of_tables(pages, b.withColumn("role", F.lit("DATA_TABLE")))
+    return f.select(F.col("file_id").alias("p"), "attribute", "temporal_scope", "value_num", "unit", "confidence")
+
+
+# --- the whole way from laid-out pages to facts and relationships -------------------------------------------------
+
+
+def laid_out(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Pages and blocks: for each nation a filing of a cover, a table, a statement without borders and a sentence over two blocks."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.initcap(F.regexp_replace("n_name", "[^A-Za-z]", "")).alias("name"))
+    s = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("c"))
+    d = n.join(s, "k")
+    c = F.col("c").cast("string")
+    more = (F.col("c") + 1).cast("string")
+    none, no_rows = F.array().cast("array<string>"), F.lit(None).cast("array<array<string>>")
+    item = lambda page, i, kind, lines, rows, y: F.struct(F.lit(page).alias("page_number"), F.lit(i).alias("item"), F.lit(kind).alias("kind"), lines.alias("lines"), rows.alias("rows"), F.lit(50.0).alias("x0"), F.lit(float(y)).alias("y0"), F.lit(500.0).alias("x1"), F.lit(y + 20.0).alias("y1"), F.lit(600.0).alias("width"))
+    a = lambda *x: F.array(*[F.lit(v) if isinstance(v, str) else v for v in x])
+    items = F.array(
+        item(1, 0, "text", a(F.concat("name", F.lit(" Foods Limited"))), no_rows, 10), item(2, 0, "text", a("Consolidated results"), no_rows, 10),
+        item(2, 1, "table", none, F.array(a("₹ Cr", "FY24", "FY23"), a("Suppliers served", c, more)), 100), item(2, 2, "text", a("Employee", "benefit ex-", "penses", F.concat(c, F.lit(".5")), F.concat(more, F.lit(".5"))), no_rows, 200),
+        item(3, 0, "text", a("the share of"), no_rows, 10), item(3, 1, "text", a(F.concat(F.lit("suppliers was "), c, F.lit("% in FY24 as told."))), no_rows, 60),
+    )
+    rows = d.select(F.col("k").cast("string").alias("file_id"), F.explode(items).alias("i")).select("file_id", "i.*")
+    return layout.parse_pages(rows, ["file_id", "page_number"])
+
+
+_LAID_OUT = """WITH s AS (SELECT n_nationkey k, upper(m[1])||lower(substring(m,2)) nm, c FROM (SELECT n_nationkey, regexp_replace(n_name,'[^A-Za-z]','','g') m FROM nation) JOIN (SELECT s_nationkey, count(*) c FROM supplier GROUP BY 1) ON n_nationkey=s_nationkey),
+f AS (SELECT CAST(k AS VARCHAR) file_id, nm||' Foods Limited' entity, 'table' extractor, 'Suppliers served' attribute, CAST(c AS DOUBLE) v, 'INR (crore)' unit, 'FY24' sc, 0.9 conf, 2 pg FROM s
+UNION ALL SELECT CAST(k AS VARCHAR), nm||' Foods Limited', 'table', 'Suppliers served', c+1, 'INR (crore)', 'FY23', 0.9, 2 FROM s
+UNION ALL SELECT CAST(k AS VARCHAR), nm||' Foods Limited', 'orphan', 'Employee benefit expenses', c+0.5, 'INR (crore)', 'FY24', 0.55, 2 FROM s
+UNION ALL SELECT CAST(k AS VARCHAR), nm||' Foods Limited', 'orphan', 'Employee benefit expenses', c+1.5, 'INR (crore)', 'FY23', 0.55, 2 FROM s
+UNION ALL SELECT CAST(k AS VARCHAR), nm||' Foods Limited', 'prose', 'share of suppliers', c, '%', 'FY24', 0.65, 3 FROM s) """
+
+
+@query("pipeline_facts", _LAID_OUT + "SELECT file_id, entity, extractor, attribute, v AS value_num, unit, sc AS temporal_scope, conf AS confidence, pg AS page_number, true AS exact FROM f")
+def pipeline_facts(spark, sf_dir):
+    """All facts of the filings, each with its quote sliced back from its page."""
+    pages, b = laid_out(spark, sf_dir)
+    f = pipeline.extract_facts(pages, b).facts.join(pages, ["file_id", "page_number"])
+    exact = anchors.verify(F.col("text"), F.col("char_start"), F.col("char_end"), F.col("quote"))
+    return f.select("file_id", "entity", "extractor", "attribute", "value_num", "unit", "temporal_scope", F.round("confidence", 2).alias("confidence"), "page_number", exact.alias("exact"))
+
+
+@query("pipeline_report", _LAID_OUT + "SELECT file_id, any_value(entity) AS subject, count(*) AS total_facts, 3 AS pages, 2 AS from_tables, 2 AS orphans, 1 AS tables_read, 0 AS duplicates FROM f GROUP BY 1")
+def pipeline_report(spark, sf_dir):
+    r = pipeline.extract_facts(*laid_out(spark, sf_dir)).report
+    n = lambda m, k: F.col(m)[k].cast("int")
+    return r.select("file_id", "subject", F.col("total_facts"), F.col("pages_processed").cast("int").alias("pages"), n("facts_by_extractor", "table").alias("from_tables"), n("facts_by_extractor", "orphan").alias("orphans"), n("counters", "tables_read").alias("tables_read"), F.col("duplicates_collapsed").cast("int").alias("duplicates"))
+
+
+def aliased(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Facts of three filings of each nation's company under three names, one of them "the Company", and the filings' subjects."""
+    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.initcap(F.regexp_replace("n_name", "[^A-Za-z0-9]", "")).alias("name"))
+    forms = F.array(*[F.struct(F.lit(i).alias("i"), e.alias("entity"), F.lit(v).alias("v"), F.lit(c).alias("c")) for i, (e, v, c) in enumerate([(F.concat("name", F.lit("land Limited")), 100.0, 0.9), (F.concat(F.lit("The "), "name", F.lit("land Shipping Pvt Ltd")), 100.0, 0.9), (F.lit("the Company"), 150.0, 0.5)])])
+    x = n.select("k", "name", F.explode(forms).alias("x"))
+    file_id = F.concat_ws("-", F.lit("f"), "k", "x.i")
+    f = x.select(
+        file_id.alias("id"), file_id.alias("file_id"), F.col("x.entity").alias("entity"), F.lit("Net revenue").alias("attribute"), F.col("x.v").alias("value_num"), F.lit(0).alias("decimals"), F.lit("INR million").alias("unit"), F.lit("FY24").alias("temporal_scope"),
+        F.lit(None).cast("string").alias("value_text"), F.create_map().cast("map<string,string>").alias("qualifiers"), F.col("x.c").alias("confidence"), F.lit("EXACT").alias("match_strategy"), F.lit("net revenue of 100").alias("quote"), F.lit(1).alias("page_number"), F.lit(0).alias("char_start"), F.lit(18).alias("char_end"),
+    )
+    return f, x.select(file_id.alias("file_id"), F.concat("name", F.lit("land")).alias("subject"))
+
+
+@query(
+    "reconcile_aliases",
+    """SELECT 'f-'||n_nationkey||'-'||a AS fact_a_id, 'f-'||n_nationkey||'-'||b AS fact_b_id, t AS relationship_type, c AS confidence, w AS weakness FROM nation, (VALUES (0,1,'CORROBORATED',0.92,NULL),
+    (0,2,'APPARENT_CONTRADICTION',0.35,'a fact is held at 0.50 only'),(1,2,'APPARENT_CONTRADICTION',0.35,'a fact is held at 0.50 only')) v(a,b,t,c,w)""",
+)
+def reconcile_aliases(spark, sf_dir):
+    """The three names are one cluster: the third stands for its document's subject, the second holds the first's words."""
+    f, subjects = aliased(spark, sf_dir)
+    e = reconcile.reconcile(f, subjects=subjects)
+    return e.select("fact_a_id", "fact_b_id", "relationship_type", "confidence", F.when(F.col("dimension") == "extraction uncertainty", F.col("context.weakness")).alias("weakness"))
+
+
+@query("reconcile_report", "SELECT 3*count(*) AS facts, count(*) AS entity_clusters, count(*) AS blocks, 3 AS largest_block, 3*count(*) AS pairs_evaluated, 0 AS pairs_skipped_budget, count(*) AS corroborated, 2*count(*) AS apparent FROM nation")
+def reconcile_report(spark, sf_dir):
+    f, subjects = aliased(spark, sf_dir)
+    prepared = reconcile.prepare(f, subjects=subjects)
+    r = reconcile.report(prepared, reconcile.reconcile(f, emit_orthogonal=True, prepared=prepared))
+    by = lambda k: F.col("relationships_by_type")[k]
+    return r.select("facts", "entity_clusters", "blocks", F.col("largest_block").cast("int"), "pairs_evaluated", F.col("pairs_skipped_budget").cast("int"), by("CORROBORATED").alias("corroborated"), by("APPARENT_CONTRADICTION").alias("apparent"))
+
+
+@query(
+    "reconcile_low_confidence",
+    "SELECT 'f-'||n_nationkey||'-2' AS fact_id, row_number() OVER (ORDER BY 'f-'||n_nationkey||'-2') AS position FROM nation ORDER BY 1 LIMIT 30",
+)
+def reconcile_low_confidence(spark, sf_dir):
+    f, _ = aliased(spark, sf_dir)
+    low = knowledge.low_confidence(f)
+    return low.select(F.col("id").alias("fact_id"), F.row_number().over(Window.orderBy("confidence", "id")).cast("long").alias("position"))
+
+
+@query(
+    "rendered_edges",
+    """SELECT 'f-'||n_nationkey||'-0' AS fact_a_id, '[CORROBORATED] confidence 0.92' AS head, 'net revenue of 100' AS quote FROM nation WHERE n_name LIKE '%A%'""",
+)
+def rendered_edges(spark, sf_dir):
+    f, subjects = aliased(spark, sf_dir)
+    e = reconcile.reconcile(f, subjects=subjects).where("relationship_type = 'CORROBORATED'")
+    named = knowledge.search_edges(e, f, "a").where(F.lower("entity").rlike("a.*land"))
+    lines = F.split("rendered", "\n")
+    return knowledge.render(named, f).select("fact_a_id", F.get(lines, F.lit(0)).alias("head"), F.regexp_extract(F.get(lines, F.lit(3)), '"(.*)"', 1).alias("quote"))

@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..operators import reconcile
+from ..operators.facts import dedupe
 
 
 def append_new(facts: DataFrame, path: str) -> None:
     """Append the facts whose id the table at ``path`` lacks; the same facts again add nothing."""
     spark = facts.sparkSession
-    fresh = facts.dropDuplicates(["id"])
+    tie = [c for c in ("extractor", "file_id", "char_start", "attribute") if c in facts.columns]
+    fresh = dedupe(facts, ["id"], [F.col(c) for c in tie])
     try:
         known = spark.read.schema(facts.schema).parquet(path).select("id")
         fresh = fresh.join(known, "id", "left_anti")

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from factloom.operators import entities, extract, reconcile
+from factloom.operators import context, entities, extract, reconcile
 from factloom.streaming.ingest import append_new
 
 FACT = "id string, file_id string, entity string, attribute string, value_num double, value_text string, decimals int, unit string, temporal_scope string, qualifiers map<string,string>, confidence double, match_strategy string"
@@ -49,8 +49,10 @@ def test_aliases(spark):
 
 def test_prose_rejects(spark):
     texts = ["In FY24, net revenue was ₹1,240 crore (audited).", "He received a salary of ₹500 crore in FY24.", "The meeting was held in 2023 in the big hall.", "The profit margin grew to 12.5% in Q2 FY25."]
-    df = spark.createDataFrame(list(enumerate(texts)), "d int, text string")
-    got = {r["d"]: (r["attribute"], r["value_num"], r["temporal_scope"]) for r in extract.prose_facts(df, ["d"], F.lit("x")).collect()}
+    df = spark.createDataFrame([(str(i), 1, t) for i, t in enumerate(texts)], "file_id string, page_number int, text string")
+    told = extract.with_page_units(extract.statements(df.selectExpr("*", "0 as span", "0 as order_index", "0 as start")), context.unit_declarations(df))
+    facts = extract.prose_facts(told, df, df.selectExpr("file_id", "'x' as subject"))
+    got = {int(r["file_id"]): (r["attribute"], r["value_num"], r["temporal_scope"]) for r in facts.collect()}
     assert got == {0: ("net revenue", 1240.0, "FY24"), 3: ("profit margin", 12.5, "Q2 FY25")}
 
 
