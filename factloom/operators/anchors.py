@@ -155,7 +155,11 @@ def find_quotes(texts: DataFrame, quotes: DataFrame, window: int = 4) -> DataFra
     they are SHORT_QUOTES at most.
     """
     inner = F.split(F.regexp_replace("quote", r"^[^ ]* | [^ ]*$", ""), " ")
-    runs = lambda words: F.when(F.size(words) >= window, F.transform(F.sequence(F.lit(1), F.size(words) - window + 1), lambda i: F.xxhash64(F.slice(words, i, F.lit(window)))))
+
+    def runs(words: Column) -> Column:
+        run = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - window + 1), lambda i: F.xxhash64(F.slice(w, i, F.lit(window))))
+        return let(words, lambda w: F.when(F.size(w) >= window, run(w)))
+
     q = quotes.withColumn("_w", F.array_distinct(runs(inner))).withColumn("_q", F.xxhash64("quote", *[c for c in quotes.columns if c != "quote"]))
     posted = q.where("_w is not null").select("_q", F.explode("_w").alias("_r"))
     wanted = posted.select("_r").distinct()
