@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions import text as T
 from ..functions.text import FOLD_DASHES, FOLD_DOUBLE, FOLD_LONG, FOLD_NOTHING, FOLD_SINGLE, FOLD_SPACES, fold, let
+from .stages import Settled
 
 FUZZY = 0.82
 #: Runs of matching characters that are too short to count, and the least gap that parts two groups of runs.
@@ -163,10 +164,13 @@ def find_quotes(texts: DataFrame, quotes: DataFrame, window: int = 4) -> DataFra
     q = quotes.withColumn("_w", F.array_distinct(runs(inner))).withColumn("_q", F.xxhash64("quote", *[c for c in quotes.columns if c != "quote"]))
     posted = q.where("_w is not null").select("_q", F.explode("_w").alias("_r"))
     wanted = posted.select("_r").distinct()
-    found = texts.select("*", F.explode(F.array_distinct(runs(F.split("text", " ")))).alias("_r")).join(wanted, "_r")
+    # only hashes leave the explode: with the text beside each run, long texts would be copied once for each of their words
+    named = texts.withColumn("_t", F.xxhash64(*texts.columns))
+    found = Settled()(named.select("_t", F.explode(F.array_distinct(runs(F.split("text", " ")))).alias("_r")).join(wanted, "_r").distinct())
     often = found.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
     rarest = posted.join(often, "_r", "left").groupBy("_q").agg(F.min_by("_r", F.struct(F.coalesce("_n", F.lit(0)), "_r")).alias("_r"))
-    long = found.join(q.drop("_w").join(rarest, "_q"), "_r").where(F.expr("contains(text, quote)")).drop("_q")
+    pairs = found.join(q.drop("_w").join(rarest, "_q"), "_r").drop("_q", "_r")
+    long = named.join(pairs, "_t").where(F.expr("contains(text, quote)")).drop("_t")
     few = q.where("_w is null").drop("_w", "_q")
     short = texts.join(F.broadcast(few) if few.limit(SHORT_QUOTES + 1).count() <= SHORT_QUOTES else few, F.expr("contains(text, quote)"))
     cols = [c for c in [*texts.columns, *quotes.columns] if c not in ("text", "quote")]

@@ -158,8 +158,9 @@ def period_parse(spark, sf_dir):
         F.when(k == 0, c("FY", yy)).when(k == 1, c("Q", q.cast("string"), " FY", yy)).when(k == 2, c("H", h, " FY", y)).when(k == 3, c("9M FY", yy)).when(k == 4, F.lit("TTM")).when(k == 5, c("CY", y))
         .when(k == 6, F.date_format("o_orderdate", "d MMMM yyyy")).when(k == 7, F.date_format("o_orderdate", "yyyy-MM-dd")).when(k == 8, c(y, "-", following)).otherwise("six months ended")
     )
-    s = temporal.parse_period(label)
-    return o.select("o_orderkey", temporal.canonical(s).alias("canonical"), temporal.month_span(s).alias("months"))
+    s = F.col("scope")
+    parsed = temporal.with_periods(o.select("o_orderkey", label.alias("label")), "label", "scope")
+    return parsed.select("o_orderkey", temporal.canonical(s).alias("canonical"), temporal.month_span(s).alias("months"))
 
 
 @query(
