@@ -45,13 +45,14 @@ def _open_pairs(tagged: DataFrame) -> int:
     return int(open_.agg(F.coalesce(F.sum("p"), F.lit(0.0))).first()[0])
 
 
-def link(posts: DataFrame, attributes: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def link(posts: DataFrame, attributes: DataFrame, near: Callable[[str, str], Column], verify: Callable[[DataFrame], DataFrame], alike: Callable[[str, str], Column] | None = None) -> DataFrame:
     """(node, root) components of the graph of verified candidate pairs, where candidates share a bucket.
 
     posts: (bucket, id), one row per bucket and id.
     attributes: id and what ``near`` reads.
     near(x, y): a cheap necessary condition of a link on the columns of two aliases, tested inside the join.
     verify: pairs (a, b) to the true links among them.
+    alike(x, y): a dearer condition of that kind, tested last.
 
     Pairs within a bucket are not all made. Each bucket has a pivot, the id that shares buckets
     with most others: among copies of one original, the original. First each id is compared with
@@ -91,7 +92,8 @@ def link(posts: DataFrame, attributes: DataFrame, near: Callable[[str, str], Col
     tagged = materialise(tagged.join(attributes, "id"))
     x, y = tagged.alias("x"), tagged.alias("y")
     open_ = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & near("x", "y")
-    pairs = x.join(y, open_ & (F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("x.bucket")))
+    open_ = open_ & (F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("x.bucket"))
+    pairs = x.join(y, open_ & alike("x", "y") if alike else open_)
     pairs = materialise(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
     out = components(links.unionByName(verify(pairs)))
     discard(shared, weighed, tagged, pairs)
