@@ -51,3 +51,33 @@ WITH RECURSIVE vectors AS MATERIALIZED (
 SELECT v.vec_id, coalesce(c.n, 0)::BIGINT AS n_links, r.root AS component_id, r.root = v.vec_id AS kept
 FROM embeddings v JOIN roots r ON r.node = v.vec_id LEFT JOIN counts c ON c.a = v.vec_id
 """
+
+#: Operator 13: every document through every order of the five filters.
+OP13 = r"""
+WITH docs AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents
+), marks AS (
+  SELECT doc_id, max((quality = 1)::INT) AS good, max((toxic = 1)::INT) AS toxic FROM labels GROUP BY doc_id
+), flags AS (
+  SELECT d.part, coalesce(m.good, 0) AS good, coalesce(m.toxic, 0) AS toxic, [
+    len(w) < 100, 100 * len(list_distinct(w)) < 80 * len(w), 100 * (length(text) - length(regexp_replace(text, '[A-Z]', '', 'g'))) > 10 * length(text),
+    regexp_matches(text, '[#$%&*|]'), coalesce(d.doc_id > min(d.doc_id) OVER (PARTITION BY text), false)] AS f
+  FROM docs d LEFT JOIN marks m ON m.doc_id = d.doc_id
+), letters AS (
+  SELECT unnest(['A', 'B', 'C', 'D', 'E']) AS l
+), orders AS (
+  SELECT a.l || b.l || c.l || d.l || e.l AS filter_order, [ascii(a.l) - 64, ascii(b.l) - 64, ascii(c.l) - 64, ascii(d.l) - 64, ascii(e.l) - 64] AS o
+  FROM letters a, letters b, letters c, letters d, letters e
+  WHERE len(list_distinct([a.l, b.l, c.l, d.l, e.l])) = 5
+), steps AS (
+  SELECT part, good, toxic, filter_order, unnest([1, 2, 3, 4, 5]) AS step, o, f, coalesce(list_position(list_transform(o, lambda i: f[i]), true), 0) AS place FROM flags, orders
+), firsts AS (
+  SELECT *, CASE WHEN place > 0 THEN place ELSE 6 END AS first FROM steps
+), counted AS (
+  SELECT part, filter_order, step::INT AS step, sum((first > step)::INT)::BIGINT AS kept, sum((first = step)::INT)::BIGINT AS removed,
+    sum((f[o[step]] AND first < step)::INT)::BIGINT AS redundant, sum((f[o[step]] AND len(list_filter(f, lambda x: x)) = 1)::INT)::BIGINT AS unique_fails,
+    sum((first = step AND good = 1)::INT)::BIGINT AS good_lost, sum((first = step AND toxic = 1)::INT)::BIGINT AS toxic_lost, substr(filter_order, step::INT, 1) AS filter
+  FROM firsts GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley, filter FROM counted
+"""

@@ -5,12 +5,13 @@ from __future__ import annotations
 from .ann import op9_permutation_index
 from .bpe_codec import op7_bpe_codec
 from .embed_dedup import op8_cross_polytope
+from .filter_audit import op13_filter_audit
 from .language import op6_language
 from .line_dedup import op1_line_dedup
 from .lm_score import op2_lm_score
 from .minhash import op5_minhash
 from .mixing import op4_mixing
-from .oracles import OP5, OP8
+from .oracles import OP5, OP8, OP13
 from .shards import op10_sharding
 from .token_counts import op3_token_counts
 
@@ -25,5 +26,6 @@ QUERIES = {
     "op8_cross_polytope": op8_cross_polytope,
     "op9_permutation_index": op9_permutation_index,
     "op10_sharding": op10_sharding,
+    "op13_filter_audit": op13_filter_audit,
 }
-ORACLE_SQL = {"op5_minhash": OP5, "op8_cross_polytope": OP8}
+ORACLE_SQL = {"op5_minhash": OP5, "op8_cross_polytope": OP8, "op13_filter_audit": OP13}
