@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from .url_filters import HOST_RULES, PATTERNS, pattern_rule
+
 #: Operator 5: exact shingle sets, joined on shingles; components by reachability.
 OP5 = r"""
 WITH RECURSIVE words AS MATERIALIZED (
@@ -81,3 +83,29 @@ WITH docs AS (
 )
 SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, (sum(removed) OVER (PARTITION BY part, filter))::BIGINT AS shapley, filter FROM counted
 """
+
+
+def _listed(rows: list[tuple[str, ...]]) -> str:
+    return ", ".join("(" + ", ".join("'" + x.replace("'", "''") + "'" for x in row) + ")" for row in rows)
+
+
+#: Operator 12: every URL against every rule.
+OP12 = rf"""
+WITH parts AS (
+  SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages
+), split AS (
+  SELECT page_id, translate(url, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS low, regexp_extract(rest, '^[^?#]*', 0) AS whole,
+    translate(regexp_extract(rest, '^[^/?#]*', 0), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host FROM parts
+), sited AS (
+  SELECT page_id, low, host, substr(whole, length(host) + 1) AS path FROM split
+), host_rules(h, p, verdict) AS (VALUES {_listed(HOST_RULES)}),
+patterns(rule, verdict, regex) AS (VALUES {_listed([(r["rule"], r["verdict"], r["regex"]) for r in (pattern_rule(*p) for p in PATTERNS)])}),
+hosts AS (
+  SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict FROM sited, host_rules
+  WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id
+), matched AS (
+  SELECT page_id, arg_max((rule, verdict), (length(rule), verdict = 'block', rule)) AS best FROM sited, patterns WHERE regexp_matches(low, regex) GROUP BY page_id
+)
+SELECT s.page_id, s.host, s.path, r.rule, coalesce(r.verdict, m.best[2], 'allow') AS verdict, m.best[1] AS pattern
+FROM sited s LEFT JOIN hosts r ON r.page_id = s.page_id LEFT JOIN matched m ON m.page_id = s.page_id
+"""

@@ -11,9 +11,10 @@ from .line_dedup import op1_line_dedup
 from .lm_score import op2_lm_score
 from .minhash import op5_minhash
 from .mixing import op4_mixing
-from .oracles import OP5, OP8, OP13
+from .oracles import OP5, OP8, OP12, OP13
 from .shards import op10_sharding
 from .token_counts import op3_token_counts
+from .url_filters import op12_url_filters
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -26,6 +27,7 @@ QUERIES = {
     "op8_cross_polytope": op8_cross_polytope,
     "op9_permutation_index": op9_permutation_index,
     "op10_sharding": op10_sharding,
+    "op12_url_filters": op12_url_filters,
     "op13_filter_audit": op13_filter_audit,
 }
-ORACLE_SQL = {"op5_minhash": OP5, "op8_cross_polytope": OP8, "op13_filter_audit": OP13}
+ORACLE_SQL = {"op5_minhash": OP5, "op8_cross_polytope": OP8, "op12_url_filters": OP12, "op13_filter_audit": OP13}
