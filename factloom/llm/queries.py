@@ -15,6 +15,7 @@ from .oracles import OP5, OP8, OP12, OP13
 from .shards import op10_sharding
 from .token_counts import op3_token_counts
 from .url_filters import op12_url_filters
+from .whitening import op11_whitening
 
 QUERIES = {
     "op1_line_dedup": op1_line_dedup,
@@ -27,6 +28,7 @@ QUERIES = {
     "op8_cross_polytope": op8_cross_polytope,
     "op9_permutation_index": op9_permutation_index,
     "op10_sharding": op10_sharding,
+    "op11_whitening": op11_whitening,
     "op12_url_filters": op12_url_filters,
     "op13_filter_audit": op13_filter_audit,
 }
