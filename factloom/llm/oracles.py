@@ -99,7 +99,7 @@ WITH parts AS (
 ), sited AS (
   SELECT page_id, low, host, substr(whole, length(host) + 1) AS path FROM split
 ), host_rules(h, p, verdict) AS (VALUES {_listed(HOST_RULES)}),
-patterns(rule, verdict, regex) AS (VALUES {_listed([(r["rule"], r["verdict"], r["regex"]) for r in (pattern_rule(*p) for p in PATTERNS)])}),
+patterns(rule, verdict, regex) AS (VALUES {_listed([(r["rule"], r["verdict"], r["regex"].replace("(?>", "(?:")) for r in (pattern_rule(*p) for p in PATTERNS)])}),
 hosts AS (
   SELECT page_id, arg_max(h || p, length(h || p)) AS rule, arg_max(verdict, length(h || p)) AS verdict FROM sited, host_rules
   WHERE (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id

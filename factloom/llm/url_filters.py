@@ -19,7 +19,7 @@ PATTERNS = (
         "keygen", "lottery", "malware", "phishing", "pills", "poker", "popunder", "porn", "roulette", "slots", "spam", "spyware", "torrent", "tracker", "viagra", "warez", "xxx",
     )),
     ("^ads^track^", BLOCK), ("^cheap^pills^", BLOCK), ("^free^bets^", BLOCK), ("^payday^loan*^", BLOCK), ("/wp-admin/", BLOCK), ("/wp-login.php", BLOCK), ("^utm_campaign=*spam", BLOCK),
-    ("*sex*chat*", BLOCK), ("^responsible^gambling^", ALLOW), ("^spam^filter^", ALLOW), ("^torrent^of^", ALLOW),
+    ("sex*chat", BLOCK), ("^responsible^gambling^", ALLOW), ("^spam^filter^", ALLOW), ("^torrent^of^", ALLOW),
 )
 
 _TOKEN = "[a-z0-9]+"
@@ -44,15 +44,21 @@ def host_rule(host: str, path: str, verdict: str) -> dict:
 
 
 def pattern_rule(pattern: str, verdict: str) -> dict:
-    """A rule on the lower-cased URL: ``*`` is any text, ``^`` an end of the URL or a character that is no letter or digit of ASCII."""
+    """A rule on the lower-cased URL: ``*`` is any text, ``^`` an end of the URL or a character that is no letter or digit of ASCII.
+
+    Texts between stars are found one after the other, each at its first place and for good
+    (atomic groups), so that a match takes time in proportion to the URL.
+    """
     pattern = _lowered(pattern)
     edge = "[^a-z0-9]"
-    regex = "".join({"*": r"[\s\S]*", "^": edge}.get(c) or re.escape(c) for c in pattern.strip("^"))
-    if pattern.startswith("^"):
-        regex = rf"(?:\A|{edge})" + regex
-    if pattern.endswith("^"):
-        regex += rf"(?:{edge}|\z)"
-    tokens = [t for piece in pattern.split("*") for t in _whole(piece, False, False)]
+    pieces = [p for p in pattern.split("*") if p]
+    parts = []
+    for i, piece in enumerate(pieces):
+        first, last = i == 0 and pattern.startswith("^"), i == len(pieces) - 1 and pattern.endswith("^")
+        inner = "".join(edge if c == "^" else re.escape(c) for c in piece[first : len(piece) - last])
+        parts.append((rf"(?:\A|{edge})" if first else "") + inner + (rf"(?:{edge}|\z)" if last else ""))
+    regex = parts[0] if len(parts) == 1 else "".join([r"\A", *(rf"(?>[\s\S]*?{p})" for p in parts)])
+    tokens = [t for piece in pieces for t in _whole(piece, False, False)]
     return {"kind": "pattern", "rule": pattern, "verdict": verdict, "regex": regex, "tokens": tokens}
 
 
