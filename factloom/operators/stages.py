@@ -24,13 +24,13 @@ class Settled:
 
     def __init__(self) -> None:
         self._kept: list[tuple[SparkSession, str]] = []
-        atexit.register(self._at_end)
 
     def __call__(self, df: DataFrame) -> DataFrame:
         spark = df.sparkSession
         path = f"{shared_dir(spark)}/facts-{uuid.uuid4().hex}"
         df.write.parquet(path)
         self._kept.append((spark, path))
+        _all.append(self)
         return spark.read.schema(df.schema).parquet(path)
 
     def release(self) -> None:
@@ -39,8 +39,14 @@ class Settled:
             place = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
-    def _at_end(self) -> None:
+
+_all: list[Settled] = []
+
+
+@atexit.register
+def _at_end() -> None:
+    for kept in _all:
         try:
-            self.release()
+            kept.release()
         except Exception:  # the JVM may be gone: nothing is left to tidy with
             return

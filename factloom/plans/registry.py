@@ -7,7 +7,7 @@ import json
 from pyspark.sql import Column, DataFrame, SparkSession, Window, functions as F
 
 from ..functions import temporal, text, units
-from ..operators import anchors, blocks, context, entities, extract, facts, knowledge, layout, pipeline, reconcile, tables
+from ..operators import anchors, blocks, context, entities, extract, facts, grids, knowledge, layout, pipeline, reconcile, tables
 from ..operators.stages import Settled
 from ..sources import documents as docs_source
 
@@ -899,3 +899,62 @@ def rendered_edges(spark, sf_dir):
     named = knowledge.search_edges(e, f, "a").where(F.lower("entity").rlike("a.*land"))
     lines = F.split("rendered", "\n")
     return knowledge.render(named, f).select("fact_a_id", F.get(lines, F.lit(0)).alias("head"), F.regexp_extract(F.get(lines, F.lit(3)), '"(.*)"', 1).alias("quote"))
+
+
+# --- tables found on pages of words --------------------------------------------------------------------------------
+
+
+def order_pages(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """Words and rulings of a page for each order with lines: a title, a table of its lines, ruled where the key is odd, and a closing text.
+
+    A third of the lines have no quantity; characters are 5 wide and lines 10 high, figures flush right. One word of each seventh order has no box.
+    """
+    lines = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice", "l_returnflag")
+    lines = lines.withColumn("n", F.row_number().over(Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_extendedprice", "l_quantity", "l_returnflag")))
+    flag = F.when(F.col("l_returnflag") == "R", "returned goods").otherwise("goods sold")
+    amount = F.col("l_extendedprice").cast("decimal(18,2)").cast("string")
+    row = F.array(F.concat_ws(" ", F.col("l_linenumber").cast("string"), flag), F.when(F.col("l_linenumber") % 3 == 0, "").otherwise(F.col("l_quantity").cast("int").cast("string")), amount)
+    body = lines.select(F.col("l_orderkey").alias("o"), "n", row.alias("cells"))
+    sized = body.groupBy("o").agg(F.max("n").alias("most"))
+    head = sized.select("o", F.lit(0).alias("n"), F.array(F.lit("Item of order"), F.lit("Quantity"), F.lit("Price")).alias("cells"))
+    # a cell's words, each at its place in the cell's text; the second and third column end at 350 and 450
+    y = F.lit(100.0) + F.col("n") * 14
+    left = F.when(F.col("c") == 0, 50.0).otherwise(F.lit(250.0) + F.col("c") * 100 - F.length("cell") * 5)
+    cell = body.unionByName(head).select("o", F.posexplode("cells").alias("c", "cell"), y.alias("y"), "n").where("cell <> ''").withColumn("left", left)
+    texts = sized.join(table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("o"), "o_custkey", "o_orderpriority"), "o")
+    title = texts.select("o", F.lit(-9).alias("n"), F.lit(0).alias("c"), F.concat_ws(" ", F.lit("Order"), F.col("o").cast("string"), F.lit("of customer"), F.col("o_custkey").cast("string")).alias("cell"), F.lit(40.0).alias("y"), F.lit(50.0).alias("left"))
+    close = lambda i, t: texts.select("o", F.lit(1000 + i).alias("n"), F.lit(0).alias("c"), t.alias("cell"), (F.lit(160.0) + F.col("most") * 14 + i * 12).alias("y"), F.lit(50.0).alias("left"))
+    said = cell.unionByName(title).unionByName(close(0, F.concat(F.lit("Priority was "), F.lower("o_orderpriority")))).unionByName(close(1, F.lit("and all was sent")))
+    word = said.select("o", "n", "c", "y", "left", "cell", F.posexplode(F.split("cell", " ")).alias("k", "text"))
+    before = F.length(F.array_join(F.slice(F.split("cell", " "), F.lit(1), F.col("k")), " ")) + F.when(F.col("k") > 0, 1).otherwise(0)
+    x0 = F.col("left") + before * 5
+    words = word.select("o", (F.col("n") * 1000 + F.col("c") * 100 + F.col("k")).alias("word"), "text", x0.alias("x0"), F.col("y").alias("y0"), (x0 + F.length("text") * 5).alias("x1"), (F.col("y") + 10).alias("y1"), F.lit(600.0).alias("width"))
+    stray = sized.where("o % 7 = 0").select("o", F.lit(-99999).alias("word"), F.lit("stray").alias("text"), *[F.lit(None).cast("double").alias(c) for c in ("x0", "y0", "x1", "y1")], F.lit(600.0).alias("width"))
+    bottom = F.lit(112.0) + F.col("most") * 14
+    odd = sized.where("o % 2 = 1")
+    flat = odd.select("o", F.explode(F.sequence(F.lit(0), F.col("most") + 1)).alias("i")).select("o", F.lit(48.0).alias("x0"), (F.lit(98.0) + F.col("i") * 14).alias("y0"), F.lit(452.0).alias("x1"), (F.lit(98.5) + F.col("i") * 14).alias("y1"))
+    tall = odd.select("o", "most", F.explode(F.array(*[F.lit(v) for v in (48.0, 260.0, 355.0, 452.0)])).alias("x0")).select("o", "x0", F.lit(98.0).alias("y0"), (F.col("x0") + 0.5).alias("x1"), bottom.alias("y1"))
+    return words.unionByName(stray), flat.unionByName(tall)
+
+
+_ORDER_PAGES = """
+WITH l AS (SELECT l_orderkey o, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_quantity, l_returnflag) n,
+  '| ' || l_linenumber || CASE WHEN l_returnflag = 'R' THEN ' returned goods' ELSE ' goods sold' END || ' | ' || CASE WHEN l_linenumber % 3 = 0 THEN '' ELSE CAST(CAST(l_quantity AS INT) AS VARCHAR) END || ' | ' || CAST(CAST(l_extendedprice AS DECIMAL(18,2)) AS VARCHAR) || ' |' row,
+  l_linenumber, l_returnflag FROM lineitem),
+t AS (SELECT o, count(*) n, '| Item of order | Quantity | Price |' || chr(10) || '| --- | --- | --- |' || chr(10) || string_agg(row, chr(10) ORDER BY n) md FROM l GROUP BY o),
+p AS (SELECT o, n, md, 'Order ' || o || ' of customer ' || o_custkey a, 'Priority was ' || lower(o_orderpriority) || chr(10) || 'and all was sent' z FROM t JOIN orders ON o_orderkey = o)
+"""
+
+
+@query("parse_words", _ORDER_PAGES + "SELECT o, sha256(a || chr(10) || chr(10) || md || chr(10) || chr(10) || z) AS text_hash, CASE WHEN o % 7 = 0 THEN '1 words without a usable box or text left out' END AS warning FROM p")
+def parse_words(spark, sf_dir):
+    """The text of each order's page and its warning, from words and rulings alone."""
+    pages, _, warnings = grids.parse_words(*order_pages(spark, sf_dir), ["o"])
+    return pages.join(warnings, "o", "left").select("o", F.sha2("text", 256).alias("text_hash"), "warning")
+
+
+@query("find_tables", _ORDER_PAGES + "SELECT o, 3 AS n_cols, CAST(n + 1 AS INT) AS n_rows, CAST(length(a) + 2 AS INT) AS char_start, CAST(length(a) + 2 + length(md) AS INT) AS char_end, md AS text FROM p")
+def find_tables(spark, sf_dir):
+    """The tables found, each with its size, place and cells."""
+    blocks_ = grids.parse_words(*order_pages(spark, sf_dir), ["o"])[1]
+    return blocks_.where("kind = 'table'").select("o", "n_cols", "n_rows", "char_start", "char_end", "text")
