@@ -76,15 +76,20 @@ def first_facts(facts: DataFrame, k: int = 8) -> DataFrame:
     return facts.withColumn("position", F.row_number().over(w)).where(F.col("position") <= k)
 
 
-def run_report(facts: DataFrame, edges: DataFrame, reports: DataFrame, k: int = 3, samples: int = 8) -> str:
-    """What a command line shows of a run: a line a document, its first facts, the first relationships of each type over documents."""
+def run_report(facts: DataFrame, edges: DataFrame, reports: DataFrame | None = None, k: int = 3, samples: int = 8) -> DataFrame:
+    """(part, file_id, place, line): what a command line shows of a run, in the order of these columns.
+
+    Part 0 has a line a document, where ``reports`` are given; part 1 each document's first facts;
+    part 2 the first relationships over documents of each type, under the type as file_id.
+    """
     from .pipeline import summary
 
-    lines = [r["summary"] for r in summary(reports).orderBy("file_id").collect()]
-    for r in first_facts(facts, samples).orderBy("file_id", "position").collect():
-        lines.append(f"  [{r['extractor']} {r['confidence']:.2f}] {r['entity']} | {r['attribute']} = {r['value_num'] if r['value_text'] is None else r['value_text']} {r['unit'] or ''} @ {r['temporal_scope']}")
-    shown = render(first_k(cross_document(edges, facts), k), facts).where(F.col("relationship_type").isin(*KINDS)).orderBy("relationship_type", "position")
-    return "\n".join([*lines, *[r["rendered"] for r in shown.collect()]])
+    said = F.coalesce(F.col("value_text"), plain_number(F.col("value_num")))
+    line = F.format_string("  [%s %.2f] %s | %s = %s @ %s", F.coalesce("extractor", F.lit("?")) if "extractor" in facts.columns else F.lit("?"), "confidence", "entity", "attribute", F.concat_ws(" ", said, "unit"), F.coalesce("temporal_scope", F.lit("no period")))
+    out = first_facts(facts, samples).select(F.lit(1).alias("part"), "file_id", F.col("position").alias("place"), line.alias("line"))
+    shown = render(first_k(cross_document(edges, facts).where(F.col("relationship_type").isin(*KINDS)), k), facts)
+    out = out.unionByName(shown.select(F.lit(2).alias("part"), F.col("relationship_type").alias("file_id"), F.col("position").alias("place"), F.col("rendered").alias("line")))
+    return out if reports is None else out.unionByName(summary(reports).select(F.lit(0).alias("part"), "file_id", F.lit(1).alias("place"), F.col("summary").alias("line")))
 
 
 def sections(facts: DataFrame, edges: DataFrame, word: str = "", most: int = 30) -> dict[str, DataFrame]:

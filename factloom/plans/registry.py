@@ -901,6 +901,25 @@ def rendered_edges(spark, sf_dir):
     return knowledge.render(named, f).select("fact_a_id", F.get(lines, F.lit(0)).alias("head"), F.regexp_extract(F.get(lines, F.lit(3)), '"(.*)"', 1).alias("quote"))
 
 
+_REPORT = """
+WITH n AS (SELECT n_nationkey k, upper(substr(regexp_replace(n_name, '[^A-Za-z0-9]', '', 'g'), 1, 1)) || lower(substr(regexp_replace(n_name, '[^A-Za-z0-9]', '', 'g'), 2)) m FROM nation),
+f AS (SELECT k, i, 'f-' || k || '-' || i id, CASE i WHEN 0 THEN m || 'land Limited' WHEN 1 THEN 'The ' || m || 'land Shipping Pvt Ltd' ELSE 'the Company' END e, CASE i WHEN 2 THEN 150 ELSE 100 END v, CASE i WHEN 2 THEN '0.50' ELSE '0.90' END c FROM n, range(3) r(i)),
+x AS (SELECT a.id a, b.id b, a.k, b.i bi FROM f a JOIN f b ON a.k = b.k AND a.i < b.i),
+e AS (SELECT x.*, CASE WHEN bi = 1 THEN 'CORROBORATED' ELSE 'APPARENT_CONTRADICTION' END t, CASE WHEN bi = 1 THEN '0.92' ELSE '0.35' END c FROM x),
+p AS (SELECT *, row_number() OVER (PARTITION BY t ORDER BY c DESC, a, b) place FROM e)
+SELECT 1 AS part, id AS file_id, 1 AS place, '  [? ' || c || '] ' || e || ' | Net revenue = ' || v || ' INR million @ FY24' AS line FROM f
+UNION ALL SELECT 2, t, place, '[' || t || '] confidence ' || c FROM p WHERE place <= 3
+"""
+
+
+@query("run_report", _REPORT)
+def run_report(spark, sf_dir):
+    """The lines of a run's report, relationships by their first line."""
+    f, subjects = aliased(spark, sf_dir)
+    lines = knowledge.run_report(f, reconcile.reconcile(f, subjects=subjects))
+    return lines.select("part", "file_id", F.col("place").cast("long").alias("place"), F.substring_index("line", "\n", 1).alias("line"))
+
+
 # --- tables found on pages of words --------------------------------------------------------------------------------
 
 

@@ -5,11 +5,11 @@ import os
 import zipfile
 
 import pytest
-from pyspark.sql import functions as F
+from pyspark.sql import Row, functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual
 
 from factloom.operators import grids
-from factloom.sources import documents, paged
+from factloom.sources import documents, paged, results
 
 WORD = "file_id string, page_number int, word int, text string, x0 double, y0 double, x1 double, y1 double, width double"
 RULING = "file_id string, page_number int, x0 double, y0 double, x1 double, y1 double"
@@ -146,3 +146,34 @@ def test_files_that_fail_while_read(spark, tmp_path):
     before = good[0]["file_id"]
     os.utime(tmp_path / "good.txt", (1_800_000_000, 1_800_000_000))
     assert documents.read_files(spark, str(tmp_path), "good.txt").first()["file_id"] == before
+
+
+def kinds(top):
+    return sorted(p for p in os.listdir(top) if not p.startswith("."))
+
+
+def test_results_appear_together_or_not_at_all(spark, tmp_path):
+    top = str(tmp_path / "out")
+    facts = spark.createDataFrame([("f1", 1.5), ("f2", None)], "id string, value double").repartition(2)
+    edges = spark.createDataFrame([("e1", "f1", "f2")], "id string, a string, b string")
+    results.publish(top, facts=facts, edges=edges)
+    read = lambda kind, schema, **how: sorted(tuple(r) for r in results.published(spark, top, kind, schema, **how).collect())
+    assert read("edges", edges.schema) == [("e1", "f1", "f2")] and len(read("facts", facts.schema)) == 2 and read("report", "line string") == []
+    before = kinds(top), kinds(top + "/facts")
+    # one task fails after others have written: nothing of the run is left
+    broken = spark.range(40).repartition(4).select(F.col("id").cast("string").alias("id"), F.when(F.col("id") == 17, F.raise_error(F.lit("lost"))).cast("double").alias("value"))
+    with pytest.raises(Exception, match="lost"):
+        results.publish(top, facts=facts.unionByName(broken), edges=edges)
+    assert (kinds(top), kinds(top + "/facts")) == before and os.listdir(top + "/_staging") == [] and os.listdir(top + "/_versions") == ["00000001.json"]
+    results.publish(top, replace=False, facts=facts.limit(1), report=spark.createDataFrame([("done",)], "line string"))
+    assert len(read("facts", facts.schema)) == 3 and read("report", "line string") == [("done",)] and len(read("facts", facts.schema, version=1)) == 2
+    results.publish(top, facts=facts.limit(1))
+    assert len(read("facts", facts.schema)) == 1 and read("edges", edges.schema) == []
+
+
+def test_attempts_that_are_not_committed_leave_no_file(tmp_path):
+    writer = results.ResultsWriter(str(tmp_path), True)
+    rows = [Row(kind="facts", body="{}")]
+    first, again = writer.write(iter(rows)), writer.write(iter(rows))
+    writer.commit([again, None])
+    assert kinds(tmp_path / "facts") == [again.files[0][1]] and first.files[0][1] not in kinds(tmp_path / "facts") and kinds(tmp_path / "_staging") == []
