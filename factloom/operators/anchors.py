@@ -24,8 +24,9 @@ _VANISH, _BLANK = f"[{FOLD_NOTHING}]*", rf"[\s{FOLD_SPACES}]"
 
 def folded_pattern(quote: Column) -> Column:
     """A pattern that finds in a text what the folded quote finds in the folded text."""
-    out = fold(quote)
-    marks = {a: chr(0xE010 + i) for i, a in enumerate(("ffi", "ffl", "ff", "fi", "fl", "..."))}
+    # code points that are never characters; a quote that holds one all the same is found exactly or not at all
+    marks = {a: chr(0xFDD2 + i) for i, a in enumerate(("ffi", "ffl", "ff", "fi", "fl", "..."))}
+    out = F.translate(fold(quote), "".join(marks.values()), T.STAND_IN * len(marks))
     for a, mark in marks.items():
         out = F.replace(out, F.lit(a), F.lit(mark))
     out = F.regexp_replace(out, r"([^\p{L}\p{N}\s\ue010-\ue01f-])", r"\\$1")

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import temporal, units
-from ..functions.text import CUT, GAP, clean_label, collapse_ws, defined, is_bullet_artifact, let, looks_like_label, matches, normalize_key, split_possessive
+from ..functions.text import clean_label, collapse_ws, defined, is_bullet_artifact, let, looks_like_label, matches, normalize_key, split_possessive
 from .anchors import locate_all, with_block_kind
 from .context import page_units, resolve_units
 from .facts import MODEL, ORPHAN, PROSE, as_facts, dedupe, drop_conflicts, fact_id  # noqa: F401
@@ -36,6 +36,8 @@ PRONOUNS = "he she him her himself herself".split()
 _PHRASE = r"[A-Za-z][A-Za-z0-9 ,'’\-()/&.]{4,90}?"
 _FIGURE = rf"(?:{'|'.join(BEFORE_FIGURE)})?\s?\(?-?\d[\d,]*(?:\.\d+)?\)?\s*(?:{'|'.join(AFTER_FIGURE)})?"
 STATEMENT = rf"(?i)({_PHRASE})\s+(?:{'|'.join(VERBS)})\s+({_FIGURE})(?![\w.\-])"
+#: White space between two sentences.
+BORDER = r"(?<=[.;])\s+(?=[A-Z0-9₹])"
 WINDOW = 120
 PROSE_CONFIDENCE, OWN_UNIT = 0.55, 0.1
 #: Label lines that are read as one label.
@@ -63,15 +65,16 @@ def clean_attribute(text: Column) -> Column:
 def sentences(texts: DataFrame, keys: list[str]) -> DataFrame:
     """keys, sentence, sent_start: sentences over 20 and up to 600 characters with their offsets.
 
-    A private mark is put at each border, so that splitting keeps lengths and offsets are running sums.
+    A sentence runs from the end of one border to the start of the next.
     """
-    marked = F.regexp_replace(F.regexp_replace(F.col("text"), "\n", " "), r"(?<=[.;])(\s+)(?=[A-Z0-9₹])", f"{GAP}$1{CUT}")
-    parts = texts.select(*keys, F.split(marked, CUT).alias("p"))
-    lengths = F.transform("p", lambda s: F.length(F.replace(s, F.lit(GAP), F.lit(""))))
-    starts = lambda i: F.aggregate(F.slice(lengths, 1, i), F.lit(0), lambda a, x: a + x)
-    zipped = F.transform("p", lambda s, i: F.struct(F.substring_index(s, GAP, 1).alias("sentence"), starts(i).alias("sent_start")))
-    out = parts.select(*keys, F.explode(zipped).alias("x")).select(*keys, "x.sentence", "x.sent_start")
-    return out.where((F.length("sentence") > 20) & (F.length("sentence") <= 600))
+    plain = F.replace(F.col("text"), F.lit("\n"), F.lit(" "))
+    borders = matches(plain, pattern=BORDER)
+    told = texts.select(*keys, plain.alias("_t"), borders.alias("_b"))
+    starts = F.concat(F.array(F.lit(0)), F.transform("_b", lambda b: (b["at"] + F.length(b["hit"])).cast("int")))
+    ends = F.concat(F.transform("_b", lambda b: b["at"]), F.array(F.length("_t")))
+    spans = F.filter(F.zip_with(starts, ends, lambda a, z: F.struct(a.alias("a"), z.alias("z"))), lambda x: (x["z"] - x["a"] > 20) & (x["z"] - x["a"] <= 600))
+    out = told.select(*keys, "_t", F.explode(spans).alias("x"))
+    return out.select(*keys, F.substr(F.col("_t"), F.col("x.a") + 1, F.col("x.z") - F.col("x.a")).alias("sentence"), F.col("x.a").alias("sent_start"))
 
 
 def prose_spans(blocks: DataFrame, pages: DataFrame) -> DataFrame:
@@ -284,9 +287,9 @@ def model_items(pages: DataFrame, context: DataFrame, transport: Transport, syst
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             rows: list[tuple] = []
-            for file_id, page, text, subject in zip(*[b.column(c).to_pylist() for c in ("file_id", "page_number", "text", "subject")]):
+            for file_id, page, text, subject, spans in zip(*[b.column(c).to_pylist() for c in ("file_id", "page_number", "text", "subject", "spans")]):
                 nth = 0
-                for start, end in windows(text or "", most, overlap) if ready else ():
+                for start, end in [(w["start"], w["end"]) for w in spans] if ready else ():
                     ask = f"Subject unless the text names another: {subject}\nPage {page}\n\n{text[start:end]}"
                     try:
                         items = parse_items(transport(system, ask))
@@ -300,7 +303,7 @@ def model_items(pages: DataFrame, context: DataFrame, transport: Transport, syst
             kinds = [pa.string(), pa.int32(), pa.string(), pa.int32(), pa.string(), *[pa.string()] * len(names)]
             yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(kinds)], ["file_id", "page_number", "kind", "nth", "note", *names])
 
-    asked = pages.join(context.select("file_id", "subject"), "file_id").select("file_id", F.col("page_number").cast("int"), "text", "subject")
+    asked = pages.join(context.select("file_id", "subject"), "file_id").select("file_id", F.col("page_number").cast("int"), "text", "subject", windows(F.col("text"), most, overlap).alias("spans"))
     return asked.mapInArrow(run, schema)
 
 

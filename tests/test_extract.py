@@ -70,11 +70,21 @@ def test_facts_of_a_document(document):
     e.settled.release()
 
 
-def test_windows_prefer_borders():
+def test_windows_prefer_borders(spark):
     t = "a" * 60 + "\n\n" + "b" * 60 + ". " + "c" * 300
-    spans = layout.windows(t, 100, 20)
+    cut = lambda t, most, overlap: [tuple(w) for w in spark.createDataFrame([(t,)], "t string").select(layout.windows(F.col("t"), most, overlap).alias("w")).first()["w"]]
+    spans = cut(t, 100, 20)
     assert spans[0] == (0, 62) and spans[-1][1] == len(t) and all(0 < b - a <= 100 for a, b in spans) and all(q[0] < p[1] for p, q in zip(spans, spans[1:]))
-    assert layout.windows("x" * 250, 100, 500)[1][0] == 50 and layout.windows("", 5, 0) == []
+    assert cut("x" * 250, 100, 500)[1][0] == 50 and cut("", 5, 0) == []
+
+
+def test_page_structures_as_variants(spark):
+    b = spark.createDataFrame([("d", 1, 1, "text", "b", 5, 6, None), ("d", 1, 0, "table", "| a |", 0, 5, 2), ("e", 1, 0, "text", "x", 0, 1, None)], "file_id string, page_number int, order_index int, kind string, text string, char_start int, char_end int, n_rows int")
+    pages = spark.createDataFrame([("d", 1, "| a |b"), ("e", 1, "x"), ("f", 2, "")], "file_id string, page_number int, text string")
+    v = layout.as_variant(pages, b, ["file_id", "page_number"])
+    assert {(r[0], r[1]) for r in v.select("file_id", F.to_json("structure")).collect()} >= {("f", '{"blocks":[],"text":""}')}
+    back = layout.from_variant(v, ["file_id", "page_number"], {c: t for c, t in b.dtypes if c not in ("file_id", "page_number")} | {"bbox": "string"})
+    assert sorted(tuple(r)[:-1] for r in back.collect()) == sorted(map(tuple, b.collect())) and back.where("bbox is not null").count() == 0
 
 
 def test_anchors(spark):

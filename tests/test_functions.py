@@ -1,3 +1,5 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -69,14 +71,74 @@ def test_quotes(spark):
     assert anchors.best_span("abc", "completely different text") is None
 
 
-def test_windows_cover():
+def spans_of(spark, text, most, overlap):
+    row = spark.createDataFrame([(text,)], "t string").select(layout.windows(F.col("t"), most, overlap).alias("w")).first()
+    return [(w["start"], w["end"]) for w in row["w"]]
+
+
+def test_windows_cover(spark):
     t = ("word " * 300 + "\n") * 10
-    spans = layout.windows(t, 1000, 100)
+    spans = spans_of(spark, t, 1000, 100)
     assert spans[0][0] == 0 and spans[-1][1] == len(t) and all(b - a <= 1000 for a, b in spans)
-    assert all(s[0] <= p[1] for p, s in zip(spans, spans[1:])) and layout.windows(" \n", 10, 1) == []
+    assert all(s[0] <= p[1] for p, s in zip(spans, spans[1:])) and spans_of(spark, " \n", 10, 1) == [] == spans_of(spark, None, 10, 1)
     with pytest.raises(ValueError):
-        layout.windows("x", 0, 0)
+        layout.windows(F.lit("x"), 0, 0)
+
+
+def test_windows_by_definition(spark):
+    """Against a plain loop, over texts whose breaks lie anywhere, with overlaps up to half a window."""
+    rng = random.Random(5)
+
+    def loop(t, most, overlap):
+        out, at, back = [], 0, min(max(overlap, 0), most // 2)
+        while t.strip() and at < len(t):
+            end = min(len(t), at + most)
+            if end < len(t):
+                w = t[at:end]
+                end = next((at + w.rindex(m) + len(m) for m in ("\n\n", "\n", ". ", " ") if m in w and w.rindex(m) > most // 2), end)
+            if t[at:end].strip():
+                out.append((at, end))
+            if end == len(t):
+                break
+            nxt = max(end - back, at + 1)
+            line = t[:nxt].rfind("\n", at) + 1
+            at = line if line > at and end - line <= most else nxt
+        return out
+
+    rows = []
+    for i in range(120):
+        t = "".join(rng.choice("ab é\n. \n ") if rng.random() < 0.3 else rng.choice("xyzü𝒜") for _ in range(rng.choice([0, 1, 30, 200, 900])))
+        rows.append((i, t if i % 9 else t.replace(" ", "\n\n")))
+    df = spark.createDataFrame(rows, "i int, t string")
+    for most, overlap in ((10, 0), (10, 9), (37, 11), (100, 50), (1, 1)):
+        got = {r["i"]: [(w["start"], w["end"]) for w in r["w"]] for r in df.select("i", layout.windows(F.col("t"), most, overlap).alias("w")).collect()}
+        assert got == {i: loop(t, most, overlap) for i, t in rows}, (most, overlap)
 
 
 def test_normalize_key(spark):
     assert values(spark, ["Étà  straße-9!", None], text.normalize_key) == ["eta_strasse_9", None]
+
+
+def test_label_rules(spark):
+    labels = ["Revenue #", "Net loss (A-B)", "Net loss (A-B)(3) *", "Total (1, 2)", "Gain (FX)", "(iv) Other income:", "II.1.a. Total", "A. Government", "12 Rent", "(12)Rent", "1.2.3 Sub", "ABC total", "IVX Notes ;", "I", "(i)", "  a.  b ", ""]
+    want = ["Revenue", "Net loss", "Net loss", "Total (1, 2)", "Gain (FX)", "Other income", "Total", "Government", "Rent", "(12)Rent", "Sub", "ABC total", "Notes", "I", "(i)", "b", ""]
+    assert values(spark, labels, text.clean_label) == want
+    goes = {"Changes in inventories": False, "Marginal cost": False, "margin": True, "Y-o-Y change": True, "q-o-q": True, "per  cent of sales": True, "percentage": False, "% of total": True, "%": False, "%age": True, "growth-rate": True, "Change": True, "of revenue": True, "offer": False}
+    assert values(spark, list(goes), text.is_continuation) == list(goes.values())
+
+
+def test_matches_in_texts_with_any_code_points(spark):
+    texts = ["ab\ue000cd 12 ef 34", "\ufdd0 12\ufdd1\ufdd0 345 \ue001", "𝒜 7", "none", None]
+    got = values(spark, texts, lambda c: text.matches(c, pattern=r"\d+"))
+    assert [None if g is None else [tuple(m) for m in g] for g in got] == [[(6, "12"), (12, "34")], [(2, "12"), (7, "345")], [(2, "7")], [], None]
+    odd = values(spark, texts[1:2], lambda c: text.matches(c, pattern=r"[^\d\s]+"))
+    assert [tuple(m) for m in odd[0]] == [(0, "\ufdd0"), (4, "\ufdd1\ufdd0"), (11, "\ue001")]
+
+
+def test_keys_beyond_the_basic_plane(spark):
+    assert values(spark, ["\U0001d400\U0001d41c\U0001d7d8 x", "\U0001f131"], text.normalize_key) == ["ac0_x", "b"]
+
+
+def test_dates_that_are_none_end_the_search(spark):
+    told = values(spark, ["2024-13-45 or 5 May 2024", "31 April 2024", "on 5 May 2024", "May 5, 2024", "end-Foo 2024, 5 May 2024"], temporal.parse_date)
+    assert [None if d is None else d.isoformat() for d in told] == [None, None, "2024-05-05", "2024-05-05", "2024-05-05"]
