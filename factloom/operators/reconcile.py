@@ -8,6 +8,7 @@ from ..functions import temporal, units
 from ..functions.text import collapse_ws, let, normalize_key, plain_number
 from .entities import GENERIC_ENTITIES, normalize_entity, resolve  # noqa: F401
 from .facts import relationship_id
+from .stages import Settled
 
 # Measurement modifiers, stop words, generic labels.
 MODIFIERS = (
@@ -68,11 +69,17 @@ def vintages(facts: DataFrame) -> DataFrame:
     return facts.select("file_id", year.alias("y")).where("y > 1900 and y < 2200").groupBy("file_id").agg(F.bround(F.median("y")).cast("int").alias("vintage_year"))
 
 
+#: What verdicts and explanations read of a fact; quotes and statements stay out of the pairs.
+PAIRED = (
+    "id file_id entity attribute value_num value_text unit temporal_scope qualifiers confidence match_strategy scope period u v h k sig attribute_key vintage_year"
+).split()
+
+
 def pairs(prepared: DataFrame, max_block: int = MAX_BLOCK, cross_document_only: bool = False) -> DataFrame:
     """Unordered pairs within (cluster, core) blocks of at most ``max_block`` facts; larger blocks are reported, see ``blocks``."""
     sized = prepared.groupBy("cluster", "core_key").agg(F.count(F.lit(1)).alias("n")).where((F.col("n") > 1) & (F.col("n") <= max_block)).drop("n")
     kept = prepared.join(sized, ["cluster", "core_key"], "left_semi")
-    a, b = kept.select(F.struct(*kept.columns).alias("a"), "cluster", "core_key"), kept.select(F.struct(*kept.columns).alias("b"), "cluster", "core_key")
+    a, b = (kept.select(F.struct(*PAIRED).alias(side), "cluster", "core_key") for side in ("a", "b"))
     out = a.join(b, ["cluster", "core_key"]).where(F.col("a.id") < F.col("b.id"))
     return out.where(F.col("a.file_id") != F.col("b.file_id")) if cross_document_only else out
 
@@ -220,7 +227,8 @@ def reconcile(
     qualifiers map, confidence, match_strategy. subjects: file_id, subject, for which generic
     names stand. Facts meet where their entities are of one cluster and their attributes of one core.
     """
-    prepared = prepare(facts, subjects=subjects, aliases=aliases) if prepared is None else prepared
+    kept = Settled()
+    prepared = kept(prepare(kept(facts), subjects=subjects, aliases=aliases)) if prepared is None else prepared
     out = classify(pairs(prepared, max_block, cross_document_only)).where(F.col("verdict.confidence") >= min_confidence)
     out = out if emit_orthogonal else out.where(F.col("verdict.relationship_type") != "ORTHOGONAL")
     explanation, context = _worded(F.col("a"), F.col("b"), F.col("verdict"), F.col("agree"), F.col("share"))

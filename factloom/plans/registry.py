@@ -340,9 +340,84 @@ def block_at(spark, sf_dir):
     return layout.block_at(b, points, ["doc_id"]).select("doc_id", "pos", F.col("order_index").cast("long"))
 
 
-@query("chunks")
+def _window_sql(text: str, at: str) -> str:
+    """Where the window of ``text`` that begins at ``at`` ends."""
+    w = f"substr({text}, CAST({at} + 1 AS BIGINT), 3500)"
+    cuts = "".join(f" WHEN contains({w}, {mark}) AND length(regexp_extract({w}, '(?s)^(.*)' || {pattern}, 1)) > 1750 THEN {at} + length(regexp_extract({w}, '(?s)^(.*)' || {pattern}, 1)) + {n}" for mark, pattern, n in (
+        ("chr(10) || chr(10)", "chr(10) || chr(10)", 2), ("chr(10)", "chr(10)", 1), ("'. '", "'[.] '", 2), ("' '", "' '", 1)))
+    return f"CASE WHEN {at} + 3500 >= length({text}) THEN length({text}){cuts} ELSE {at} + 3500 END"
+
+
+@query(
+    "chunks",
+    f"""WITH RECURSIVE r AS (
+      SELECT doc_id, text, 0::BIGINT AS s, {_window_sql("text", "0")}::BIGINT AS e FROM documents WHERE regexp_matches(text, '\\S')
+      UNION ALL
+      SELECT doc_id, text, s2, {_window_sql("text", "s2")}::BIGINT FROM (
+        SELECT doc_id, text, CASE WHEN contains(h, chr(10)) AND e - (s + length(regexp_extract(h, '(?s)^(.*)' || chr(10), 1)) + 1) <= 3500 THEN s + length(regexp_extract(h, '(?s)^(.*)' || chr(10), 1)) + 1 ELSE n END AS s2
+        FROM (SELECT *, substr(text, s + 1, n - s) AS h FROM (SELECT *, greatest(e - 250, s + 1) AS n FROM r WHERE e < length(text))))
+    )
+    SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY s) - 1 AS INT) AS chunk_index, s::INT AS char_start, e::INT AS char_end FROM r WHERE regexp_matches(substr(text, s + 1, e - s), '\\S')""",
+)
 def chunks(spark, sf_dir):
-    return layout.chunk(table(spark, sf_dir, "documents"), ["doc_id"])
+    return layout.chunk(table(spark, sf_dir, "documents").select("doc_id", "text"), ["doc_id"])
+
+
+@query(
+    "page_structure",
+    _LINES + "SELECT doc_id, order_index, text, length(text) AS n, CAST(coalesce(sum(length(text)+2) OVER (PARTITION BY doc_id ORDER BY order_index ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),0) AS BIGINT) AS char_start FROM l",
+)
+def page_structure(spark, sf_dir):
+    """Blocks of documents, written as one variant a page and read back."""
+    b = layout.assemble(docs_source.lines_as_blocks(table(spark, sf_dir, "documents").select("doc_id", "text")), ["doc_id"])
+    pages = layout.page_text(b, ["doc_id"]).withColumnRenamed("page_text", "text")
+    written = Settled()(layout.as_variant(pages, b, ["doc_id"]))
+    back = layout.from_variant(written, ["doc_id"], {"order_index": "bigint", "text": "string", "char_start": "bigint", "char_end": "bigint"})
+    return back.select("doc_id", "order_index", "text", (F.col("char_end") - F.col("char_start")).alias("n"), "char_start")
+
+
+#: Labels of each kind that the rules tell apart, with {} for a name: the label, what is left of it, and whether it goes on from the row above.
+_LABELS = [
+    ("Revenue of {} #", "Revenue of {}", False), ("Net loss {} (A-B)", "Net loss {}", False), ("Net loss {} (A+B) (3) †*", "Net loss {}", False), ("Total {} (1, 2)", "Total {} (1, 2)", False), ("Gain {} (FX)", "Gain {} (FX)", False),
+    ("(iv) Other income {}:", "Other income {}", False), ("II.1.a. Total {}", "Total {}", False), ("12 Rent {} ;", "Rent {}", False), ("IVXL Notes {}", "Notes {}", False), ("Changes in {}", "Changes in {}", False), ("Change in {}", "Change in {}", True),
+    ("Marginal cost {}", "Marginal cost {}", False), ("margin {}", "margin {}", True), ("Y-o-Y  {}", "Y-o-Y {}", True), ("qoq {}", "qoq {}", True), ("% of {}", "% of {}", True), ("%{}", "%{}", True), ("Per  cent {}", "Per cent {}", True), ("of revenue-{}", "of revenue-{}", True),
+]
+
+
+def _cases(key: str, column: int, name: str) -> str:
+    said = lambda x: "CASE WHEN " + ("true" if x else "false") + " THEN true ELSE false END" if isinstance(x, bool) else "replace('" + x + "', '{}', " + name + ")"
+    return f"CASE {key} % {len(_LABELS)} " + " ".join(f"WHEN {i} THEN {said(row[column])}" for i, row in enumerate(_LABELS)) + " END"
+
+
+@query("label_rules", f"SELECT c_custkey, {_cases('c_custkey', 1, 'lower(c_mktsegment)')} AS label, {_cases('c_custkey', 2, 'c_mktsegment')} AS goes_on FROM customer")
+def label_rules(spark, sf_dir):
+    """Row labels of every kind, cleaned, and whether each goes on from the row above."""
+    c = table(spark, sf_dir, "customer").select("c_custkey", F.expr(_cases("c_custkey", 0, "lower(c_mktsegment)")).alias("t"))
+    return c.select("c_custkey", text.clean_label(F.col("t")).alias("label"), text.is_continuation(F.col("t")).alias("goes_on"))
+
+
+@query(
+    "marked_matches",
+    "WITH t AS (SELECT c_custkey, 'ab' || chr(57344) || 'cd ' || c_custkey || CASE WHEN c_custkey % 2 = 0 THEN chr(64976) ELSE ' ' END || 'ef ' || c_nationkey AS t, length(CAST(c_custkey AS VARCHAR)) n, c_nationkey FROM customer) "
+    "SELECT c_custkey, 0 AS nth, 6 AS at, CAST(c_custkey AS VARCHAR) AS hit FROM t UNION ALL SELECT c_custkey, 1, CAST(10 + n AS INT), CAST(c_nationkey AS VARCHAR) FROM t",
+)
+def marked_matches(spark, sf_dir):
+    """Numbers with their offsets, in texts that hold private and unassigned code points."""
+    c = table(spark, sf_dir, "customer")
+    t = F.concat(F.lit("ab\ue000cd "), F.col("c_custkey").cast("string"), F.when(F.col("c_custkey") % 2 == 0, "\ufdd0").otherwise(" "), F.lit("ef "), F.col("c_nationkey").cast("string"))
+    return c.select("c_custkey", F.posexplode(text.matches(t, pattern=r"\d+")).alias("nth", "m")).select("c_custkey", "nth", "m.at", "m.hit")
+
+
+@query(
+    "dates_that_stop",
+    "SELECT o_orderkey, CASE o_orderkey % 4 WHEN 0 THEN NULL WHEN 1 THEN strftime(o_orderdate, '%Y-%m-%d') WHEN 2 THEN strftime(o_orderdate, '%Y-%m-%d') ELSE NULL END AS d FROM orders",
+)
+def dates_that_stop(spark, sf_dir):
+    """An ISO date that is none, or a day that its month lacks, ends the search; a word that is no month does not."""
+    o = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_orderdate").cast("date").alias("d"))
+    day = F.date_format("d", "d MMMM yyyy")
+    said = F.array(F.concat(F.lit("2024-13-45 or "), day), F.concat(F.lit("end-Foo 2024, "), day), F.concat(F.lit("as of "), F.date_format("d", "MMMM d, yyyy")), F.concat(F.lit("31 February 2024, "), F.date_format("d", "MMMM d, yyyy")))
+    return o.select("o_orderkey", temporal.parse_date(F.get(said, (F.col("o_orderkey") % 4).cast("int"))).cast("string").alias("d"))
 
 
 @query("table_roles", "SELECT o_orderpriority AS p, CASE kind WHEN 0 THEN 'DATA_TABLE' ELSE 'CHART' END AS role FROM (SELECT DISTINCT o_orderpriority, kind FROM orders, (SELECT unnest([0,1,2]) kind))")
