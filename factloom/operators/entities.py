@@ -23,33 +23,37 @@ def initials(key: Column) -> Column:
     return F.array_join(F.transform(F.split(key, " "), lambda w: F.substring(w, 1, 1)), "")
 
 
-def alias_edges(keys: DataFrame) -> DataFrame:
+def alias_edges(keys: DataFrame, fresh: DataFrame | None = None) -> DataFrame:
     """(a, b) of distinct ``key`` values where one's words are some of the other's, each of four letters or more, or its initials.
 
     Words are matched through an inverted index on each name's rarest word, never by all pairs.
+    With ``fresh`` (key), only edges that have one of these at an end.
     """
     k = keys.select("key").distinct().withColumn("words", F.array_distinct(F.split("key", " ")))
-    posted = k.select("key", F.explode("words").alias("w"))
+    k = k.withColumn("new", F.lit(True)) if fresh is None else k.join(fresh.select("key", F.lit(True).alias("new")).distinct(), "key", "left").withColumn("new", F.coalesce("new", F.lit(False)))
+    posted = k.select("key", "new", F.explode("words").alias("w"))
     rare = posted.groupBy("w").agg(F.count(F.lit(1)).alias("df"))
     pick = posted.join(rare, "w").groupBy("key").agg(F.min_by("w", F.struct("df", "w")).alias("w")).join(k, "key").where(F.forall("words", lambda x: F.length(x) >= 4))
-    longer = posted.join(k.select(F.col("key"), F.col("words").alias("all")), "key").select(F.col("key").alias("b"), "w", "all")
-    subset = pick.select(F.col("key").alias("a"), "w", "words").join(longer, "w").where((F.size("words") < F.size("all")) & (F.size(F.array_except("words", "all")) == 0)).select("a", "b")
-    short = k.select(F.col("key").alias("a"), F.replace("key", F.lit(" "), F.lit("")).alias("i"))
-    full = k.where(F.size("words") > 1).select(F.col("key").alias("b"), initials(F.col("key")).alias("i"))
-    return subset.union(short.join(full, "i").where("a <> b").select("a", "b")).distinct()
+    longer = posted.select(F.col("key").alias("b"), "w", F.col("new").alias("b_new"))
+    either = F.col("new") | F.col("b_new")
+    met = pick.select(F.col("key").alias("a"), "w", "words", "new").join(longer, "w").where(either & (F.col("a") != F.col("b"))).drop("w")
+    met = met.join(k.select(F.col("key").alias("b"), F.col("words").alias("all")), "b")
+    subset = met.where((F.size("words") < F.size("all")) & (F.size(F.array_except("words", "all")) == 0)).select("a", "b")
+    short = k.select(F.col("key").alias("a"), F.replace("key", F.lit(" "), F.lit("")).alias("i"), "new")
+    full = k.where(F.size("words") > 1).select(F.col("key").alias("b"), initials(F.col("key")).alias("i"), F.col("new").alias("b_new"))
+    return subset.union(short.join(full, "i").where(either & (F.col("a") != F.col("b"))).select("a", "b")).distinct()
 
 
-def clusters(keys: DataFrame) -> DataFrame:
-    """(key, root): the smallest key that aliases reach, for every key.
+def closure(nodes: DataFrame, edges: DataFrame) -> DataFrame:
+    """(key, root): the smallest key that edges (a, b) reach, for every key of ``nodes``.
 
     Rounds go on until nothing changes: each takes the neighbours' smallest label and then that
     label's own, which halves paths, so that rounds grow with the logarithm of the longest. Each
     is written, so that plans do not grow and a lost executor repeats one round only.
     """
     kept = Settled()
-    edges = alias_edges(keys)
     edges = kept(edges.union(edges.select("b", "a")).distinct())
-    labels = kept(keys.select("key").distinct().withColumn("root", F.col("key")))
+    labels = kept(nodes.select("key").distinct().withColumn("root", F.col("key")))
     if edges.isEmpty():
         return labels
     while True:
@@ -62,11 +66,33 @@ def clusters(keys: DataFrame) -> DataFrame:
             return labels
 
 
-def resolve(facts: DataFrame, subjects: DataFrame | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
-    """``facts`` with key, cluster and canonical name: each cluster's most frequent form, then the longest, then the first.
+def clusters(keys: DataFrame) -> DataFrame:
+    """(key, root): the smallest key that aliases reach, for every key."""
+    return closure(keys, alias_edges(keys))
+
+
+def extended(known: DataFrame, fresh: DataFrame) -> DataFrame:
+    """(key, root, was): ``clusters`` of known and fresh keys together, from the clusters (key, root) of the known ones; ``was`` is a known key's old root.
+
+    Only edges of fresh keys are looked for, and they join the known clusters' roots: the graph
+    that is closed has a node for each fresh key and for each cluster that one of them meets.
+    """
+    fresh = fresh.select("key").distinct().join(known, "key", "left_anti")
+    every = known.select("key", "root").unionByName(fresh.select("key", F.col("key").alias("root")))
+    at = lambda n: every.select(F.col("key").alias(n), F.col("root").alias(f"r{n}"))
+    joined = alias_edges(every, fresh).join(at("a"), "a").join(at("b"), "b").select(F.col("ra").alias("a"), F.col("rb").alias("b")).where("a <> b").distinct()
+    joined = Settled()(joined)
+    nodes = joined.select(F.col("a").alias("key")).union(joined.select(F.col("b").alias("key"))).distinct()
+    moved = closure(nodes, joined).select(F.col("key").alias("_old"), F.col("root").alias("_new"))
+    out = every.join(moved, F.col("root") == F.col("_old"), "left").join(known.select("key", F.col("root").alias("was")), "key", "left")
+    return out.select("key", F.coalesce("_new", "root").alias("root"), "was")
+
+
+def keyed(facts: DataFrame, subjects: DataFrame | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
+    """``facts`` with ``key``, the normalised name that stands for the entity, and ``_form``, that name as written.
 
     Generic names stand for their document's subject (file_id, subject); ``aliases`` maps names to
-    names, both normalised. A generic name without a subject has no cluster.
+    names, both normalised.
     """
     f = facts.withColumn("key", normalize_entity(F.col("entity"))).withColumn("_form", F.col("entity"))
     if subjects is not None:
@@ -76,7 +102,18 @@ def resolve(facts: DataFrame, subjects: DataFrame | None = None, aliases: dict[s
     if aliases:
         spoken = F.create_map(*[normalize_entity(F.lit(x)) for pair in aliases.items() for x in pair])
         f = f.withColumn("key", F.coalesce(F.try_element_at(spoken, F.col("key")), "key"))
-    f = f.join(clusters(f.where("key <> ''").select("key")).select("key", F.col("root").alias("cluster")), "key", "left")
+    return f
+
+
+def resolve(facts: DataFrame, subjects: DataFrame | None = None, aliases: dict[str, str] | None = None, known: DataFrame | None = None) -> DataFrame:
+    """``facts`` with key, cluster and canonical name: each cluster's most frequent form, then the longest, then the first.
+
+    A generic name without a subject has no cluster. known: (key, root) where the clusters have
+    been worked out already.
+    """
+    f = keyed(facts, subjects, aliases)
+    roots = clusters(f.where("key <> ''").select("key")) if known is None else known
+    f = f.join(roots.select("key", F.col("root").alias("cluster")), "key", "left")
     forms = f.where("cluster is not null").groupBy("cluster", "_form").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("file_id", "id") if "id" in facts.columns else F.struct("file_id")).alias("at"))
     best = Window.partitionBy("cluster").orderBy(F.desc("n"), F.desc(F.length("_form")), "at", "_form")
     names = forms.withColumn("_r", F.row_number().over(best)).where("_r = 1").select("cluster", F.col("_form").alias("canonical"))

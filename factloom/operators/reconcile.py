@@ -38,12 +38,12 @@ def similarity(a: Column, b: Column) -> Column:
     return F.when((F.size(a) == 0) | (F.size(b) == 0), 0.0).otherwise(F.size(F.array_intersect(a, b)) / union)
 
 
-def prepare(facts: DataFrame, profiles: DataFrame | None = None, subjects: DataFrame | None = None, aliases: dict[str, str] | None = None) -> DataFrame:
+def prepare(facts: DataFrame, profiles: DataFrame | None = None, subjects: DataFrame | None = None, aliases: dict[str, str] | None = None, known: DataFrame | None = None) -> DataFrame:
     """Facts with everything a pair needs, worked out once before they meet: cluster of the entity, core of the attribute, period, canonical value.
 
     Periods and units are parsed once for each distinct label and joined back: labels repeat far more than they differ.
     """
-    f = resolve(facts, subjects, aliases).drop("key", "canonical").withColumn("cluster", F.coalesce("cluster", normalize_entity(F.col("entity"))))
+    f = resolve(facts, subjects, aliases, known).drop("key", "canonical").withColumn("cluster", F.coalesce("cluster", normalize_entity(F.col("entity"))))
     scopes = facts.select("temporal_scope").distinct().withColumn("scope", temporal.parse_period(F.col("temporal_scope"))).withColumn("period", temporal.canonical(F.col("scope")))
     named = facts.select("unit").distinct().withColumn("u", units.parse_unit(F.col("unit")))
     labels = facts.select("attribute").distinct().withColumn("sig", signature(F.col("attribute"))).withColumn("attribute_key", normalize_key(F.col("attribute")))
@@ -219,13 +219,14 @@ def _worded(a: Column, b: Column, verdict: Column, agree: Column, share: Column)
 
 
 def reconcile(
-    facts: DataFrame, emit_orthogonal: bool = False, max_block: int = MAX_BLOCK, min_confidence: float = 0.0, cross_document_only: bool = False, subjects: DataFrame | None = None, aliases: dict[str, str] | None = None, prepared: DataFrame | None = None,
+    facts: DataFrame, emit_orthogonal: bool = False, max_block: int = MAX_BLOCK, min_confidence: float = 0.0, cross_document_only: bool = False, subjects: DataFrame | None = None, aliases: dict[str, str] | None = None, prepared: DataFrame | None = None, with_block: bool = False,
 ) -> DataFrame:
     """Relationships among facts, one row per related pair, with explanation and context.
 
     facts: id, file_id, entity, attribute, value_num, value_text, decimals, unit, temporal_scope,
     qualifiers map, confidence, match_strategy. subjects: file_id, subject, for which generic
-    names stand. Facts meet where their entities are of one cluster and their attributes of one core.
+    names stand. Facts meet where their entities are of one cluster and their attributes of one
+    core; with_block adds both as columns cluster and core_key.
     """
     kept = Settled()
     prepared = kept(prepare(kept(facts), subjects=subjects, aliases=aliases)) if prepared is None else prepared
@@ -237,6 +238,7 @@ def reconcile(
         relationship_id(a, b, F.col("verdict.relationship_type")).alias("id"), a.alias("fact_a_id"), b.alias("fact_b_id"), F.col("a.file_id").alias("file_a"), F.col("b.file_id").alias("file_b"),
         F.col("a.entity").alias("entity"), F.col("a.attribute").alias("attribute_a"), F.col("b.attribute").alias("attribute_b"), F.col("a.period").alias("period_a"), F.col("b.period").alias("period_b"),
         "verdict.relationship_type", "verdict.dimension", "verdict.confidence", F.col("agree.band").alias("band"), F.col("agree.difference").alias("difference"), "share", explanation.alias("explanation"), context.alias("context"), F.lit("DETERMINISTIC").alias("detector"),
+        *(["cluster", "core_key"] if with_block else []),
     )
 
 

@@ -1,8 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import context, entities, extract, reconcile
-from factloom.streaming.ingest import append_new
+from factloom.streaming.ingest import Ledger, stream
 
 FACT = "id string, file_id string, entity string, attribute string, value_num double, value_text string, decimals int, unit string, temporal_scope string, qualifiers map<string,string>, confidence double, match_strategy string"
 
@@ -60,22 +62,63 @@ def test_model_reply():
     assert extract.parse_items("```json\n[{\"a\": 1}, 2]\n```") == [{"a": 1}] and extract.parse_items("no list") == [] and extract.parse_items("[broken") == []
 
 
-def test_ingesting_again_adds_nothing(spark, tmp_path):
-    df = spark.createDataFrame([fact("a"), fact("b")], FACT)
-    for _ in range(2):
-        append_new(df, str(tmp_path / "facts"))
-    assert spark.read.parquet(str(tmp_path / "facts")).count() == 2
+COLUMNS = ("id", "fact_a_id", "fact_b_id", "relationship_type", "confidence", "explanation")
+
+
+def rows_of(df):
+    return sorted(tuple(r) for r in df.select(*COLUMNS).collect())
+
+
+def test_batches_in_any_order_equal_one_run(spark, tmp_path):
+    """Names that only a later name joins, a document whose vintage a later fact moves, facts that come twice."""
+    names = ["Acme Foods Ltd", "Acme Foods Trading", "Acme", "Zeta Retail", "Zeta Retail Stores Pvt Ltd", "AFT", "the Company"]
+    facts_ = []
+    for i, name in enumerate(names):
+        for j, scope in enumerate(["FY24", "FY23", "Q1 FY24"][: 2 + i % 2]):
+            facts_.append(fact(f"{i}-{j}", file=f"f{i % 4}", entity=name, attr=["Net revenue", "Net revenue (adjusted)"][(i + j) % 2], v=100.0 + 10 * (i % 3), scope=scope))
+    facts_ += [fact(f"old-{k}", "f1", f"Thing {k}", 1.0, scope="FY11", entity="Other Firm") for k in range(7)]
+    subjects = spark.createDataFrame([("f2", "Acme Foods Limited")], "file_id string, subject string")
+    whole = rows_of(reconcile.reconcile(spark.createDataFrame(facts_, FACT), subjects=subjects))
+    assert len(whole) > 10 and len({r[3] for r in whole}) > 1
+    for seed in (1,):
+        mixed = facts_[:]
+        random.Random(seed).shuffle(mixed)
+        cuts = [mixed[:9], mixed[5:16], mixed[16:]]
+        ledger = Ledger(spark, str(tmp_path / f"ledger{seed}"), subjects)
+        assert ledger.facts() is None and ledger.edges() is None
+        for n, part in enumerate(cuts):
+            ledger.update(spark.createDataFrame(part, FACT), n)
+        ledger.update(spark.createDataFrame(cuts[0], FACT), 99)
+        assert rows_of(ledger.edges()) == whole and ledger.facts().count() == len(facts_)
+        roots = {r["key"]: r["root"] for r in ledger.clusters().collect()}
+        assert roots["acme foods trading"] == roots["aft"] == roots["acme"] == "acme"
+
+
+def test_a_batch_that_failed_is_taken_in_again(spark, tmp_path, monkeypatch):
+    facts_ = [fact(f"{i}", f"f{i}", v=100.0 + i % 2) for i in range(6)]
+    df = lambda x: spark.createDataFrame(x, FACT)
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    ledger.update(df(facts_[:2]), 0)
+    for step in ("_blocks", "_finish"):
+        with monkeypatch.context() as m:
+            m.setattr(Ledger, step, lambda *a: (_ for _ in ()).throw(OSError("lost")))
+            with pytest.raises(OSError):
+                ledger.update(df(facts_[2:5]), 1)
+        assert ledger.facts().count() == 2
+    ledger.update(df(facts_[5:]), 2)
+    ledger.update(df(facts_[2:5]), 1)
+    ledger.update(df(facts_[2:5]), 1)
+    assert rows_of(ledger.edges()) == rows_of(reconcile.reconcile(df(facts_))) and ledger.facts().count() == 6
 
 
 def test_streamed_batches(spark, tmp_path):
-    from factloom.streaming.ingest import stream
-
-    df = spark.createDataFrame([fact("a"), fact("b")], FACT)
+    df = spark.createDataFrame([fact("a"), fact("b", "f9")], FACT)
     for n in range(2):
         df.write.mode("append").parquet(str(tmp_path / "in"))
-    source = spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))
-    stream(spark, source, lambda d: d, str(tmp_path / "facts"), str(tmp_path / "cp")).awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "facts")).count() == 2
+    source = spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 2).parquet(str(tmp_path / "in"))
+    ledger = Ledger(spark, str(tmp_path / "ledger"))
+    stream(source, lambda d: d, ledger, str(tmp_path / "cp")).awaitTermination()
+    assert ledger.facts().count() == 2 and rows_of(ledger.edges()) == rows_of(reconcile.reconcile(df))
 
 
 @pytest.mark.parametrize("name", ["page_conflicts", "covered_text", "heading_carry"])
