@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import discard, materialise, mix, slices, small, span_hashes, table, texts_of, words_of
+from .common import discard, fresh, materialise, mix, slices, small, span_hashes, table, texts_of, words_of
 from .components import link
 
 SHINGLE = 5
@@ -227,12 +227,13 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that ``near_duplicates`` keeps; of rows without an id and with one text, one."""
-    kept = _marked(docs).where("kept").select(F.col("key").alias("__key"), (F.col("doc_id").isNull() & (F.col("n") > 0)).alias("__one")).distinct()
+    key, one = fresh(docs, "__key", "__one")
+    kept = _marked(docs).where("kept").select(F.col("key").alias(key), (F.col("doc_id").isNull() & (F.col("n") > 0)).alias(one)).distinct()
+    rows = docs.withColumn(key, row_key())
     if docs.where(F.col("doc_id").isNull()).isEmpty():
-        return docs.withColumn("__key", row_key()).join(kept, "__key", "left_semi").drop("__key")
-    rows = docs.withColumn("__key", row_key()).join(kept, "__key")
-    rows = rows.where("not __one").unionByName(rows.where("__one").dropDuplicates(["__key"]))
-    return rows.drop("__key", "__one")
+        return rows.join(kept, key, "left_semi").drop(key)
+    rows = rows.join(kept, key)
+    return rows.where(~F.col(one)).unionByName(rows.where(F.col(one)).dropDuplicates([key])).drop(key, one)
 
 
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
