@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import warnings
+
 import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
@@ -24,12 +26,13 @@ def topic_of(tokens: Column, text: Column) -> Column:
     )
 
 
-def rake(tokens: np.ndarray, margins: list[np.ndarray], targets: list[np.ndarray], keep: float = 1.0, rounds: int = 500, tol: float = 1e-9) -> np.ndarray:
+def rake(tokens: np.ndarray, margins: list[np.ndarray], targets: list[np.ndarray], keep: float = 1.0, rounds: int = 20_000, tol: float = 1e-9) -> np.ndarray:
     """Cell masses of ``keep`` of all tokens with the given margins, none above what its cell has.
 
     tokens: mass of each cell; margins: each cell's category in each margin; targets: each
     margin's shares, summing to 1. Each pass scales to one margin and cuts at the cell's own
-    mass; a category without enough mass is taken whole. Stops when a round changes nothing.
+    mass; a category without enough mass is taken whole. Stops when a round changes nothing, and
+    warns with the last change if that takes more than ``rounds``.
     """
     budget = keep * tokens.sum()
     fitted = keep * tokens
@@ -39,8 +42,10 @@ def rake(tokens: np.ndarray, margins: list[np.ndarray], targets: list[np.ndarray
             now = np.bincount(category, fitted, len(target))
             factor = np.where(now > 0, target * budget / np.where(now > 0, now, 1), 0)
             fitted = np.minimum(fitted * factor[category], tokens)
-        if np.abs(fitted - before).max(initial=0) <= tol * max(budget, 1e-300):
-            break
+        change = np.abs(fitted - before).max(initial=0) / max(budget, 1e-300)
+        if change <= tol:
+            return fitted
+    warnings.warn(f"targets are not met: after {rounds} rounds a cell still changes by {change:.1e} of all tokens", stacklevel=2)
     return fitted
 
 
@@ -60,7 +65,7 @@ def weigh(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, k
     raked to the three margins at ``keep`` of all tokens; a document is kept with its cell's raked
     over present mass as probability: kept tokens then have the target margins in expectation,
     as far as categories have the tokens, and nothing is repeated. Draws are a seeded hash of
-    the id, so reruns and lost executors change nothing.
+    id and text, so reruns and lost executors change nothing and rows without an id are drawn by text.
 
     Counts come from all documents and every category has its own target; only where ``targets``
     names a margin do categories it leaves out share ``(other)``. The driver rakes one row for
@@ -95,7 +100,7 @@ def weigh(docs: DataFrame, targets: dict[str, dict[str, float]] | None = None, k
     fitted = spark.createDataFrame([(r["source"], r["lang"], r["topic"], p) for r, p in zip(rows, probs)], f"{s_} string, {l_} string, {t_} string, mix_prob double")
     base = base.drop("mix_prob")
     out = base.join(small(fitted), (fold["source"] == F.col(s_)) & (fold["lang"] == F.col(l_)) & (fold["topic"] == F.col(t_)), "left").drop(s_, l_, t_)
-    draw = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) / F.lit(2.0**64) + 0.5
+    draw = F.xxhash64(F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.coalesce("text", F.lit(""))) / F.lit(2.0**64) + 0.5
     return out.withColumn("mix_kept", draw < F.col("mix_prob"))
 
 
