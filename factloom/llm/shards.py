@@ -7,6 +7,21 @@ from pyspark.sql import DataFrame, SparkSession, Window, functions as F
 from .common import materialise, table
 
 
+#: Cells whose counts are added up in one window; the sums of so many cells are added up in another.
+SPAN = 1024
+
+
+def _offsets(counts: DataFrame, strata: list[str], cell: str) -> DataFrame:
+    """``counts`` (strata, cell, _n) with _offset, the rows of the stratum's cells before: by spans of cells, then within each span."""
+    spans = counts.withColumn("_span", F.floor(F.col(cell) / SPAN).cast("int"))
+    sums = spans.groupBy(*strata, "_span").agg(F.sum("_n").alias("_m"))
+    before = lambda over, by: Window.partitionBy(*over).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.withColumn("_base", F.coalesce(F.sum("_m").over(before(strata, "_span")), F.lit(0))).select(*[F.col(k).alias(f"_{k}") for k in strata], F.col("_span").alias("_s"), "_base")
+    match = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in strata] + [F.col("_span") == F.col("_s")]
+    inside = spans.withColumn("_in", F.coalesce(F.sum("_n").over(before([*strata, "_span"], cell)), F.lit(0)))
+    return inside.join(sums, match).select(*strata, cell, (F.col("_base") + F.col("_in")).alias("_offset"))
+
+
 def _position(df: DataFrame, strata: list[str], cell: str, order: list, out: str) -> DataFrame:
     """Rank from 0 within ``strata`` by (cell, order), with no window over a whole stratum.
 
@@ -14,8 +29,7 @@ def _position(df: DataFrame, strata: list[str], cell: str, order: list, out: str
     and rows are numbered within a cell only.
     """
     counts = df.groupBy(*strata, cell).agg(F.count(F.lit(1)).alias("_n"))
-    before = Window.partitionBy(*strata).orderBy(cell).rowsBetween(Window.unboundedPreceding, -1)
-    offsets = counts.withColumn("_offset", F.coalesce(F.sum("_n").over(before), F.lit(0))).drop("_n")
+    offsets = _offsets(counts, strata, cell)
     keys = [*strata, cell]
     offsets = offsets.select(*[F.col(k).alias(f"_{k}") for k in keys], "_offset")
     match = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in keys]
