@@ -171,26 +171,40 @@ def fit(pairs: np.ndarray, steps: int = STEPS, seed: int = 3, prior: float = PRI
     return ((score - np.log(np.exp(score).sum(axis=1, keepdims=True))) / np.log(10)).astype(np.float32)
 
 
-def frequent_from(counts: DataFrame, most: int = DICTIONARY) -> int:
-    """The least count such that at most ``most`` words have it or a higher one, to a sixteenth of a doubling.
+def frequent(counts: DataFrame, most: int = DICTIONARY) -> DataFrame:
+    """The rows of (word, c) of the most frequent words, nearly ``most`` of them; words of one frequency are taken by their hashes.
 
-    Found from a histogram of a thousand cells or so, so that no task sorts or holds all words.
+    Frequencies fall into cells of a sixteenth of a doubling, and the cell that ``most`` cuts into
+    a thousand by hash. Both histograms have a thousand cells or so, so that no task sorts or
+    holds all words, and ties cost no more than a cell.
     """
-    cell = F.floor(F.log2(F.col("c")) * 16).cast("int")
-    least, seen = None, 0
-    for r in sorted(counts.groupBy(cell.alias("k")).agg(F.count(F.lit(1)).alias("n"), F.min("c").alias("c")).collect(), key=lambda r: -r["k"]):
-        seen += r["n"]
-        if seen > most:
-            break
-        least = r["c"]
-    return least if least is not None else (1 << 62)
+    cell, part = F.floor(F.log2(F.col("c")) * 16).cast("int"), F.pmod(F.xxhash64("word"), F.lit(1024))
+    tally = lambda d, by: sorted((r["k"], r["n"]) for r in d.groupBy(by.alias("k")).agg(F.count(F.lit(1)).alias("n")).collect())
+
+    def fitting(cells: list[tuple[int, int]], room: int) -> tuple[int, int]:
+        """How many of the cells fit, and the room they leave."""
+        for i, (_, n) in enumerate(cells):
+            if n > room:
+                return i, room
+            room -= n
+        return len(cells), room
+
+    cells = tally(counts, cell)[::-1]
+    n, room = fitting(cells, most)
+    if n == len(cells):
+        return counts
+    cut = cells[n][0]
+    parts = tally(counts.where(cell == cut), part)
+    m, _ = fitting(parts, room)
+    last = parts[m][0]  # never past the end: the whole cell does not fit
+    return counts.where((cell > cut) | ((cell == cut) & (part < last)))
 
 
 def learn(docs: DataFrame) -> tuple[Corpus, DataFrame]:
-    """The model from all texts of ``docs``, and (h, c): every word's count by its 64-bit hash."""
+    """The model from all texts of ``docs``, and (h, crc, c): every word's count by two hashes of 96 bits together."""
     counts = materialise(word_counts(docs))
     tails = {r["tail"]: (r["m"], r["n"]) for r in counts.groupBy("tail").agg(F.sum("c").alias("m"), F.count(F.lit(1)).alias("n")).collect()}
-    top = counts.where(F.col("c") >= frequent_from(counts)).select("word", "c").toArrow()
+    top = frequent(counts).select("word", "c").toArrow()
     top = sorted(zip(top["word"].to_pylist(), top["c"].to_pylist()), key=lambda x: (-x[1], x[0]))
     mass, types = np.zeros(TAIL_CLASSES), np.zeros(TAIL_CLASSES)
     for t, (m, n) in tails.items():
@@ -202,7 +216,7 @@ def learn(docs: DataFrame) -> tuple[Corpus, DataFrame]:
     n_words, n_types = sum(m for m, _ in tails.values()), sum(n for _, n in tails.values())
     corpus = Corpus([w for w, _ in top], np.array([c for _, c in top], dtype=np.float64), mass, types, n_words + ends, n_types + (ends > 0), ends)
     corpus.log10_p = fit(pair_counts(docs, corpus))
-    return corpus, counts.select(F.xxhash64("word").alias("h"), "c")
+    return corpus, counts.select(F.xxhash64("word").alias("h"), F.crc32("word").alias("crc"), "c")
 
 
 def score(docs: DataFrame, corpus: Corpus, counts: DataFrame) -> DataFrame:
@@ -237,26 +251,27 @@ def score(docs: DataFrame, corpus: Corpus, counts: DataFrame) -> DataFrame:
                 per.setdefault(d, Counter())[flat[i]] += 1
             digest = lambda w: xxhash.xxh64_intdigest(w, 42)
             hashes = [[digest(w) - ((digest(w) >> 63) << 64) for w in per[d]] if d in per else [] for d in range(len(n))]
+            sums = [[zlib.crc32(w) for w in per[d]] if d in per else [] for d in range(len(n))]
             times = [list(per[d].values()) if d in per else [] for d in range(len(n))]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), b.column("uid"), pa.array(n + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(lm), pa.array(hashes, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))],
-                ["doc_id", "uid", "n_tokens", "n_known", "base", "lm", "rare", "times"],
+                [b.column("doc_id"), b.column("uid"), pa.array(n + 1), pa.array(known.astype(np.int64)), pa.array(base), pa.array(lm), pa.array(hashes, pa.list_(pa.int64())), pa.array(sums, pa.list_(pa.int64())), pa.array(times, pa.list_(pa.int32()))],
+                ["doc_id", "uid", "n_tokens", "n_known", "base", "lm", "rare", "crcs", "times"],
             )
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, uid long, n_tokens long, n_known long, base double, lm double, rare array<long>, times array<int>"
+    schema = f"doc_id {kind}, uid long, n_tokens long, n_known long, base double, lm double, rare array<long>, crcs array<long>, times array<int>"
     rows = materialise(docs.select("doc_id", "text").withColumn("uid", F.monotonically_increasing_id()).mapInArrow(run, schema))
-    rare = rows.select("uid", F.explode(F.arrays_zip("rare", "times")).alias("x")).select("uid", F.col("x.rare").alias("h"), F.col("x.times").alias("k"))
-    found = rare.join(counts, "h", "left").groupBy("uid").agg(
+    rare = rows.select("uid", F.explode(F.arrays_zip("rare", "crcs", "times")).alias("x")).select("uid", F.col("x.rare").alias("h"), F.col("x.crcs").alias("crc"), F.col("x.times").alias("k"))
+    found = rare.join(counts, ["h", "crc"], "left").groupBy("uid").agg(
         F.sum(F.col("k") * F.log10(F.coalesce("c", F.lit(0)) + 0.5)).alias("add"), F.sum(F.when(F.col("c").isNotNull(), F.col("k")).otherwise(0)).alias("seen")
     )
-    out = rows.drop("rare", "times").join(found, "uid", "left")
+    out = rows.drop("rare", "crcs", "times").join(found, "uid", "left")
     add = F.coalesce("add", F.lit(0.0))
     return out.select("doc_id", "n_tokens", (F.col("n_known") + F.coalesce("seen", F.lit(0))).alias("n_known"), (F.col("base") + add).alias("base_score"), (F.col("lm") + add).alias("score"))
 
 
 def op2_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Null and empty texts are one end token; repeated rows keep their own rows; an empty table gives none."""
+    """Null and empty texts are one end token; a null id falls to the side of the empty text's crc32; repeated rows keep their own rows; an empty table gives none."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     held_out = crc_bucket(F.col("doc_id"), 5) == 1
     corpus, counts = learn(docs.where(~held_out))
