@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 from collections.abc import Iterator
 
@@ -27,10 +28,15 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, one beside the warehouse."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``; where it is unset, one beside the warehouse.
+
+    A local session has no other machines to share with; on a cluster an unset folder is an error.
+    """
     sc = spark.sparkContext
     folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not folder:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
         folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_factloom"
         sc.setCheckpointDir(folder)
     return folder.rstrip("/")
