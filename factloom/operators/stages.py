@@ -3,15 +3,20 @@
 from __future__ import annotations
 
 import atexit
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; where it is unset, one in the warehouse."""
+    """The folder of ``spark.checkpoint.dir``; where a local session has none, one in the warehouse. On a cluster an unset folder is an error."""
     sc = spark.sparkContext
-    folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir() or f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_factloom"
+    folder = sc.getConf().get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
+    if not folder:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise ValueError("spark.checkpoint.dir is not set: it must name a folder that driver and executors share")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_factloom"
     return folder.rstrip("/")
 
 
