@@ -8,7 +8,7 @@ from difflib import SequenceMatcher
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import text as T
 from ..functions.text import FOLD_DASHES, FOLD_DOUBLE, FOLD_LONG, FOLD_NOTHING, FOLD_SINGLE, FOLD_SPACES, fold, let
@@ -179,6 +179,60 @@ def find_quotes(texts: DataFrame, quotes: DataFrame, window: int = 4) -> DataFra
     return long.select(*cols, start).unionByName(short.select(*cols, start))
 
 
+#: Rarest word pairs of a quote that look for it, and words left of and right of where they place it that are searched with it.
+SEEDS, SLACK = 8, 4
+
+
+def _pairs(text: Column) -> Column:
+    """array<bigint>: the hash of each two neighbouring words, folded, at the place of the first; words are what stands between single blanks."""
+    target = " " * len(FOLD_SPACES) + "-" * len(FOLD_DASHES)
+    words = F.split(F.regexp_replace(F.lower(F.translate(text, FOLD_SPACES + FOLD_DASHES, target)), r"\s", " "), " ")
+    plain = F.transform(words, lambda w: F.regexp_replace(w, r"[^\p{L}\p{N}]", ""))
+    return let(plain, lambda w: F.when(F.size(w) > 1, F.transform(F.sequence(F.lit(1), F.size(w) - 1), lambda i: F.xxhash64(F.slice(w, i, F.lit(2))))))
+
+
+def find_near_quotes(texts: DataFrame, quotes: DataFrame, least: float = FUZZY, seeds: int = SEEDS) -> DataFrame:
+    """(texts' columns but text, quotes' columns but quote, start, end, score): where a quote stands in a text approximately, the best place of each text.
+
+    texts: text and keys; quotes: quote and keys; which text a quote is from need not be known. Texts
+    are indexed by their pairs of neighbouring words with places, for the pairs that quotes have. A
+    quote looks its ``seeds`` rarest pairs up, by the number of places that have them; what they
+    find in a text is put on diagonals (place in the text less place in the quote), and only the
+    stretch of words around hits of near diagonals is compared with the quote, so that the
+    quadratic matcher never sees a whole page. A place at which all the seeds are damaged is not
+    found; nor is a quote of one word, which has no pair.
+    """
+    t_cols, q_cols = [c for c in texts.columns if c != "text"], [c for c in quotes.columns if c != "quote"]
+    settled = Settled()
+    q = settled(quotes.withColumn("_q", F.xxhash64("quote", *q_cols)).withColumn("_n", F.size(F.split("quote", r"\s"))))
+    posted = settled(q.select("_q", "_n", F.posexplode_outer(_pairs(F.col("quote"))).alias("_qp", "_h")).where("_h is not null"))
+    wanted = posted.select("_h").distinct()
+    named = texts.withColumn("_t", F.xxhash64(*texts.columns))
+    hits = settled(named.dropDuplicates(["_t"]).select("_t", F.posexplode_outer(_pairs(F.col("text"))).alias("_tp", "_h")).where("_h is not null").join(wanted, "_h", "left_semi"))
+    often = hits.groupBy("_h").agg(F.count(F.lit(1)).alias("_c"))
+    rank = F.row_number().over(Window.partitionBy("_q").orderBy("_c", "_qp"))
+    rare = posted.join(often, "_h").withColumn("_r", rank).where(F.col("_r") <= seeds)
+    met = hits.join(rare.select("_q", "_n", "_qp", "_h"), "_h").withColumn("_d", F.col("_tp") - F.col("_qp"))
+    # diagonals of one cell are at most half the quote apart; a place between two cells is found in both
+    half = F.greatest(F.floor(F.col("_n") / 2), F.lit(1))
+    cells = met.groupBy("_q", "_t", "_n", F.floor(F.col("_d") / half).alias("_cell")).agg(F.min("_d").alias("_lo"), F.max("_d").alias("_hi"))
+    first = F.greatest(F.col("_lo") - SLACK, F.lit(0))
+    size = F.col("_hi") + F.col("_n") + SLACK - first
+    near = cells.select("_q", "_t", first.cast("int").alias("_a"), size.cast("int").alias("_size")).distinct()
+    asked = named.dropDuplicates(["_t"]).select("_t", "text").join(near, "_t").join(q.select("_q", "quote"), "_q")
+
+    def cut(words: Column) -> Column:
+        before = F.array_join(F.slice(words, F.lit(1), F.col("_a")), " ")
+        return F.struct(F.when(F.col("_a") > 0, F.length(before) + 1).otherwise(0).alias("at"), F.array_join(F.slice(words, F.col("_a") + 1, F.col("_size")), " ").alias("text"))
+
+    # every white space is one blank here, so that lengths are those of the text
+    stretch = asked.withColumn("_s", let(F.split(F.regexp_replace(F.translate("text", FOLD_SPACES, " " * len(FOLD_SPACES)), r"\s", " "), " "), cut))
+    stretch = stretch.select("_q", "_t", "_a", F.col("_s.at").alias("_at"), F.substr(F.col("text"), F.col("_s.at") + 1, F.length("_s.text")).alias("text"), "quote")
+    found = locate_fuzzy(stretch, ["_q", "_t", "_a", "_at"], least).select("_q", "_t", (F.col("start") + F.col("_at")).cast("int").alias("start"), (F.col("end") + F.col("_at")).cast("int").alias("end"), "score")
+    best = found.groupBy("_q", "_t").agg(F.max(F.struct("score", (-F.col("start")).alias("s"), "end")).alias("b")).select("_q", "_t", (-F.col("b.s")).alias("start"), F.col("b.end").alias("end"), F.col("b.score").alias("score"))
+    return named.drop("text").join(best, "_t").join(q.drop("quote", "_n"), "_q").select(*t_cols, *q_cols, "start", "end", "score")
+
+
 def anchor_at(text: Column, start: Column, end: Column) -> Column:
     """struct(quote, start, end, strategy, score) of a span whose offsets are known; null if it is out of the text or blank."""
     cut = F.substr(text, start + 1, F.greatest(end - start, F.lit(0)))

@@ -1,5 +1,7 @@
 """Pages to facts, readers, anchors and windows."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -140,3 +142,40 @@ def test_country_measures_move(spark):
     f = spark.createDataFrame([("f", "Reserve Bank of India", "GDP growth", "1"), ("f", "Reserve Bank of India", "staff costs", "2"), ("f", "Nepal", "gdp", "3")], "file_id string, entity string, attribute string, id string")
     c = spark.createDataFrame([("f", "Reserve Bank of India", "India")], "file_id string, subject string, country_context string")
     assert {(r["entity"], r["attribute"], r["id"]) for r in context.reattribute(f, c).collect()} == {("India", "GDP growth", None), ("Reserve Bank of India", "staff costs", "2"), ("Nepal", "gdp", "3")}
+
+
+def test_near_quotes_on_pages_that_are_not_known(spark):
+    """Against the matcher run over every page and quote: damaged quotes on pages of any length, white space of any kind."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghilmnoprstu") for _ in range(rng.randint(2, 9))) for _ in range(400)]
+    text = lambda n: "".join(rng.choice(words) + rng.choice([" "] * 9 + ["\n", "  ", " ", ", "]) for _ in range(n))
+    pages = [(i, text(n)) for i, n in enumerate([0, 1, 40, 300, 300, 1500])]
+    quotes = []
+    for k in range(40):
+        page = rng.choice(pages[2:])[1]
+        at = rng.randrange(max(1, len(page) - 160))
+        cut = page[at : at + rng.randint(40, 150)].split()
+        for _ in range(k % 4):
+            cut[rng.randrange(len(cut))] = rng.choice(["", "xyz", rng.choice(words).upper()])
+        quotes.append((k, " ".join(cut)))
+    quotes += [(90, "one"), (91, ""), (92, None), (93, "zzzz qqqq wwww xxxx yyyy")]
+    texts, asked = spark.createDataFrame(pages, "page int, text string"), spark.createDataFrame(quotes, "k int, quote string")
+    got = {(r["k"], r["page"]): (r["start"], r["end"], r["score"]) for r in anchors.find_near_quotes(texts, asked).collect()}
+    want = {(k, i): s for k, q in quotes if q and k < 90 for i, t in pages if t and (s := anchors.best_span(t, q))}
+    # a stretch by itself may hold what a whole page distracts the matcher from
+    of, on = dict(quotes), dict(pages)
+    assert len(want) >= 30 and all(anchors.best_span(on[i][a:b], of[k])[2] >= anchors.FUZZY for (k, i), (a, b, _) in got.items())
+    missed = want.keys() - got.keys()
+    assert len(missed) <= 1, missed
+    both = got.keys() & want.keys()
+    assert sum(got[k][2] >= want[k][2] - 0.02 for k in both) >= len(both) - 1
+    assert all(got[k][:2] == want[k][:2] for k in both if want[k][2] == 1.0)
+
+
+def test_near_quotes_of_repeated_and_empty_tables(spark):
+    page = "the quick brown fox jumps over the lazy dog near the river bank"
+    texts = spark.createDataFrame([(1, page), (1, page), (2, page)], "page int, text string")
+    quote = spark.createDataFrame([("a", "quick brwn fox jumps over the lazy dog near"), ("a", "quick brwn fox jumps over the lazy dog near")], "_h string, quote string")
+    rows = anchors.find_near_quotes(texts, quote.dropDuplicates()).collect()
+    assert sorted((r["page"], r["start"], r["end"]) for r in rows) == [(1, 4, 48), (1, 4, 48), (2, 4, 48)]
+    assert anchors.find_near_quotes(texts.limit(0), quote).count() == 0 and anchors.find_near_quotes(texts, quote.limit(0)).count() == 0
