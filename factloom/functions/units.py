@@ -112,11 +112,15 @@ def parse_quantity(label: Column, fallback: Column | None = None) -> Column:
     return let(parse_number(label), told)
 
 
+def places(value: Column) -> Column:
+    """Decimal places of a stored number without trailing zeros, twelve at most."""
+    return F.length(F.regexp_extract(F.regexp_replace(value.cast("decimal(38,12)").cast("string"), "0+$", ""), r"\.(\d*)$", 1))
+
+
 @defined
 def quantity_of(value: Column, unit: Column) -> Column:
-    """struct(value, decimals, unit) of a stored number: decimals are its places without trailing zeros."""
-    places = F.length(F.regexp_extract(F.regexp_replace(value.cast("decimal(38,12)").cast("string"), "0+$", ""), r"\.(\d*)$", 1))
-    return F.when(value.isNotNull(), F.struct(value.alias("value"), places.alias("decimals"), parse_unit(unit).alias("unit")))
+    """struct(value, decimals, unit) of a stored number and its unit as text."""
+    return F.when(value.isNotNull(), F.struct(value.alias("value"), places(value).alias("decimals"), parse_unit(unit).alias("unit")))
 
 
 @defined

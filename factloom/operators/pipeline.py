@@ -104,8 +104,23 @@ def summary(report: DataFrame) -> DataFrame:
     return report.select("file_id", text.alias("summary"))
 
 
+def blocks_on(extraction: Extraction, page_number: int) -> DataFrame:
+    """The classified blocks of a page of each document."""
+    return extraction.blocks.where(F.col("page_number") == page_number)
+
+
+def declarations_on(extraction: Extraction, page_number: int) -> DataFrame:
+    """The unit declarations of a page of each document."""
+    return extraction.declarations.where(F.col("page_number") == page_number)
+
+
+def total_facts(report: DataFrame) -> DataFrame:
+    """(file_id, n): the facts that the readers found, by the report's counters."""
+    return report.select("file_id", F.aggregate(F.map_values("facts_by_extractor"), F.lit(0).cast("long"), lambda a, x: a + x).alias("n"))
+
+
 def page_diagnostics(extraction: Extraction, page_number: int) -> DataFrame:
     """(file_id, what, at, text): roles of a page's blocks and its unit declarations, in their order."""
-    b = extraction.blocks.where(F.col("page_number") == page_number).select("file_id", F.concat(F.lit("block "), "role").alias("what"), F.col("char_start").alias("at"), F.substring("text", 1, 70).alias("text"))
-    d = extraction.declarations.where(F.col("page_number") == page_number).select("file_id", F.concat(F.lit("unit "), units.describe(F.col("unit"))).alias("what"), F.col("char_start").alias("at"), "text")
+    b = blocks_on(extraction, page_number).select("file_id", F.concat(F.lit("block "), "role").alias("what"), F.col("char_start").alias("at"), F.substring("text", 1, 70).alias("text"))
+    d = declarations_on(extraction, page_number).select("file_id", F.concat(F.lit("unit "), units.describe(F.col("unit"))).alias("what"), F.col("char_start").alias("at"), "text")
     return b.unionByName(d)

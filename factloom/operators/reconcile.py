@@ -49,6 +49,9 @@ def prepare(facts: DataFrame, profiles: DataFrame | None = None, subjects: DataF
     labels = facts.select("attribute").distinct().withColumn("sig", signature(F.col("attribute"))).withColumn("attribute_key", normalize_key(F.col("attribute")))
     for side, key in ((scopes, "temporal_scope"), (named, "unit"), (labels, "attribute")):
         f = f.join(side.withColumnRenamed(key, "_k"), F.col(key).eqNullSafe(F.col("_k")), "left").drop("_k")
+    # facts stored without their written places have those of the number
+    places = units.places(F.col("value_num"))
+    f = f.withColumn("decimals", F.coalesce("decimals", places) if "decimals" in facts.columns else places)
     f = f.withColumn("v", units.canonical_value(F.col("value_num"), F.col("u"))).withColumn("h", units.half_ulp(F.col("decimals"), F.col("u"))).withColumn("k", units.unit_key(F.col("u")))
     f = f.withColumn("core_key", F.array_join("sig.core", " "))
     profiles = vintages(facts) if profiles is None else profiles

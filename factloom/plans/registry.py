@@ -1014,6 +1014,97 @@ def run_report(spark, sf_dir):
     return lines.select("part", "file_id", F.col("place").cast("long").alias("place"), F.substring_index("line", "\n", 1).alias("line"))
 
 
+
+# --- lookups, flags, names and what verdicts rest on --------------------------------------------------------------
+
+
+def source_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents as pages of their source; a third have images, and each fourth page is blank."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    said = F.when(F.col("doc_id") % 4 == 0, F.lit(" \n ")).otherwise(F.col("text"))
+    return d.select(F.col("source").alias("file_id"), F.col("doc_id").alias("page_number"), said.alias("text"), (F.col("doc_id") % 3).cast("int").alias("image_count"))
+
+
+_SOURCE_PAGES = "WITH p AS (SELECT source AS file_id, doc_id AS page_number, CASE WHEN doc_id % 4 = 0 THEN ' ' || chr(10) || ' ' ELSE text END AS text, doc_id % 3 AS image_count FROM documents), b AS (SELECT *, NOT regexp_matches(text, '\\S') AS blank FROM p) "
+
+
+@query("page_flags", _SOURCE_PAGES + "SELECT page_number, NOT blank AS has_text_layer, blank AND image_count > 0 AS needs_ocr FROM b")
+def page_flags(spark, sf_dir):
+    return docs_source.page_flags(source_pages(spark, sf_dir)).select("page_number", "has_text_layer", "needs_ocr")
+
+
+@query("document_flags", _SOURCE_PAGES + "SELECT file_id, avg(blank::INT) >= 0.6 AS needs_ocr, sum(length(text))::BIGINT AS total_chars FROM b GROUP BY 1")
+def document_flags(spark, sf_dir):
+    return docs_source.document_flags(source_pages(spark, sf_dir))
+
+
+@query(
+    "anchors_resolved",
+    "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN '' ELSE substr(text, CAST(doc_id % 7 + 1 AS BIGINT), CAST(doc_id % 11 + 1 AS BIGINT)) END AS resolved FROM documents",
+)
+def anchors_resolved(spark, sf_dir):
+    """What anchors point at; a fifth name a file that is not there."""
+    d = table(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    pages = d.select(F.col("source").alias("file_id"), F.col("doc_id").alias("page_number"), "text")
+    start = (F.col("doc_id") % 7).cast("int")
+    a = d.select("doc_id", F.when(F.col("doc_id") % 5 == 0, "nowhere").otherwise(F.col("source")).alias("file_id"), F.col("doc_id").alias("page_number"), start.alias("char_start"), (start + F.col("doc_id") % 11 + 1).cast("int").alias("char_end"))
+    return anchors.resolve(a, pages).select("doc_id", "resolved")
+
+
+@query(
+    "stored_quantities",
+    "SELECT o_orderkey, length(regexp_extract(regexp_replace(CAST(round(o_totalprice, CAST(o_orderkey % 3 AS INTEGER)) AS VARCHAR), '0+$', ''), '[.](\\d*)$', 1)) AS decimals, CASE o_orderkey % 2 WHEN 0 THEN 1e7 ELSE 1e6 END AS scale, 'CURRENCY' AS dimension FROM orders",
+)
+def stored_quantities(spark, sf_dir):
+    """Numbers and units as they are stored, read back as quantities."""
+    o = table(spark, sf_dir, "orders")
+    value = F.when(F.col("o_orderkey") % 3 == 0, F.round("o_totalprice", 0)).when(F.col("o_orderkey") % 3 == 1, F.round("o_totalprice", 1)).otherwise(F.round("o_totalprice", 2))
+    q = units.quantity_of(value, F.when(F.col("o_orderkey") % 2 == 0, "INR crore").otherwise("INR million"))
+    return o.select("o_orderkey", F.col("o_orderkey").alias("_k"), q.alias("q")).select("o_orderkey", F.col("q.decimals").cast("bigint").alias("decimals"), F.col("q.unit.scale").cast("double").alias("scale"), F.col("q.unit.dimension").alias("dimension"))
+
+
+@query(
+    "canonical_names",
+    "WITH f AS (SELECT c_mktsegment s, c_mktsegment || CASE WHEN c_custkey % 3 = 0 THEN ' Ltd' ELSE ' Limited' END AS form FROM customer), n AS (SELECT s, form, count(*) c FROM f GROUP BY 1, 2) "
+    "SELECT lower(s) AS cluster, (SELECT form FROM n m WHERE m.s = n.s ORDER BY c DESC, length(form) DESC, form LIMIT 1) AS canonical, sum(c)::BIGINT AS n FROM n GROUP BY s",
+)
+def canonical_names(spark, sf_dir):
+    """Each cluster's name: the form that most of its facts have."""
+    c = table(spark, sf_dir, "customer")
+    f = c.select(F.col("c_custkey").cast("string").alias("id"), F.col("c_nationkey").cast("string").alias("file_id"), F.concat("c_mktsegment", F.when(F.col("c_custkey") % 3 == 0, " Ltd").otherwise(" Limited")).alias("entity"))
+    return entities.resolve(f).groupBy("cluster", "canonical").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "edge_context",
+    _PAIRS + "SELECT p, y, round_even(d, 4) AS difference, round_even(d / greatest(abs(a), abs(b), 1e-12), 6) AS relative_difference, round_even(tol, 4) AS tolerance, false AS same_document, CASE WHEN k = 1 THEN 'adjusted' END AS modifiers, 'same' AS period_relation "
+    "FROM (SELECT r.*, x.a, x.b, x.tol FROM r JOIN x ON r.p = x.p AND r.y = x.y) WHERE t <> 'ORTHOGONAL' AND k <> 2",
+)
+def edge_context(spark, sf_dir):
+    """What verdicts of one period rest on."""
+    e = reconcile.reconcile(filings(spark, sf_dir)).where("context.period_relation = 'same'")
+    part = F.split("fact_a_id", ":")
+    c = F.col("context")
+    return e.select(
+        F.get(part, F.lit(1)).alias("p"), F.get(part, F.lit(2)).cast("bigint").alias("y"), c["difference"].alias("difference"), c["relative_difference"].alias("relative_difference"), c["tolerance"].alias("tolerance"), c["same_document"].alias("same_document"),
+        F.array_join(c["modifier_delta"], ",").alias("modifiers"), c["period_relation"].alias("period_relation"),
+    )
+
+
+@query("edges_ordered", _PAIRS + "SELECT 'a:' || p || ':' || y AS fact_a_id, t AS relationship_type, c AS confidence FROM r WHERE t <> 'ORTHOGONAL' ORDER BY c DESC, t, 1 LIMIT 12")
+def edges_ordered(spark, sf_dir):
+    """The first of the relationships as they are shown: the surest, then by type."""
+    return reconcile.ordered(reconcile.reconcile(filings(spark, sf_dir))).limit(12).select("fact_a_id", "relationship_type", "confidence")
+
+
+@query("facts_of_type", _PAIRS + "SELECT 'a:' || p || ':' || y AS id, measure AS attribute FROM (SELECT r.*, 'Total ' || lower(regexp_replace(p, '[^A-Za-z]+', ' ', 'g')) || ' orders' AS measure FROM r) WHERE t = 'GENUINE_CONTRADICTION'")
+def facts_of_type(spark, sf_dir):
+    """The first filing's facts that a relationship truly contradicts, by the layer's lookups."""
+    f = Settled()(filings(spark, sf_dir))
+    odd = knowledge.adjacency(knowledge.of_type(reconcile.reconcile(f), "GENUINE_CONTRADICTION")).select(F.col("fact_id").alias("id")).distinct()
+    return f.where("file_id = 'filing-a'").join(odd, "id").select("id", "attribute")
+
+
 # --- tables found on pages of words --------------------------------------------------------------------------------
 
 
