@@ -430,3 +430,17 @@ def test_offsets_of_many_cells(spark, monkeypatch):
     for s in ("a", None):
         mine = sorted((r["cell"], r["h"], r["rank"]) for r in got if r["stratum"] == s)
         assert [x[2] for x in mine] == list(range(300))
+
+
+def test_long_lines_are_cut_by_what_they_say(spark):
+    rng = np.random.default_rng(4)
+    words = ["".join(rng.choice(list("abcdefghijklmnop"), 6)) for _ in range(500)]
+    sentences = [" ".join(rng.choice(words, 30)) + ". " for _ in range(300)]
+    long = "".join(sentences)
+    rows = [(1, long), (2, "one sentence more than there was. " * 40 + long), (3, "x" * 40_000), (4, "short\n\nlines\n"), (5, ""), (6, None)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    cut = {r["doc_id"]: r["p"] for r in df.select("doc_id", line_dedup.pieces(F.col("text")).alias("p")).collect()}
+    assert all("".join(cut[i]) == (t or "") and all(0 < len(p) <= line_dedup.LINE + 1 for p in cut[i]) for i, t in rows)
+    assert len(long) > 3 * line_dedup.LINE and len(set(cut[1]) & set(cut[2])) > 0.6 * len(set(cut[1])) and cut[4] == ["short\n", "\n", "lines\n"]
+    out = {r["doc_id"]: r for r in line_dedup.deduplicate(df).collect()}
+    assert len(out[2]["text"]) < 0.4 * len(long)
