@@ -144,11 +144,13 @@ def with_headers(blocks: DataFrame, pages: DataFrame, context: DataFrame) -> Dat
     head = pages.select("file_id", "page_number", F.col("text").alias("_page"))
     t = blocks.where("role = 'DATA_TABLE'").join(head, ["file_id", "page_number"]).join(context.select("file_id", "year_end_month"), "file_id")
     lead = F.substr(F.col("_page"), F.greatest(F.col("char_start") - LEAD, F.lit(0)) + 1, F.least(F.col("char_start"), F.lit(LEAD)))
-    t = t.withColumn("rows", rows_of(F.col("text"), F.col("char_start")))
-    t = t.withColumn("lead_in", lead).withColumn("caption", caption_entity(F.col("lead_in"), F.col("rows")))
+    # few steps: each plan over the large expression of a header is looked through again
+    t = t.withColumns({"rows": rows_of(F.col("text"), F.col("char_start")), "lead_in": lead})
     contexts = F.array(F.concat("lead_in", F.substring("_page", 1, PAGE_HEAD)), F.col("lead_in"))
-    t = t.withColumn("_h", F.transform(contexts, lambda c: header(F.col("rows"), c, F.col("year_end_month"))))
-    return t.withColumn("header", F.when(F.size("rows") >= 2, F.get("_h", F.lit(0)))).withColumn("near_header", F.get("_h", F.lit(1))).drop("_page", "_h")
+    both = F.transform(contexts, lambda c: header(F.col("rows"), c, F.col("year_end_month")))
+    named = let(both, lambda h: F.struct(F.when(F.size("rows") >= 2, F.get(h, F.lit(0))).alias("header"), F.get(h, F.lit(1)).alias("near_header")))
+    kept = [c for c in t.columns if c != "_page"]
+    return t.select(*kept, caption_entity(F.col("lead_in"), F.col("rows")).alias("caption"), named.alias("_h")).select(*kept, "caption", "_h.header", "_h.near_header")
 
 
 def table_rows(tables: DataFrame) -> DataFrame:

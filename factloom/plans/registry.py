@@ -121,10 +121,10 @@ def kl_first_k(spark, sf_dir):
     return knowledge.first_k(reconcile.reconcile(filings(spark, sf_dir))).select("relationship_type", "fact_a_id", "position")
 
 
-@query("kl_low_confidence", _PAIRS + "SELECT 'a:'||p||':'||y AS fact_a_id, c AS confidence FROM r WHERE t<>'ORTHOGONAL' AND c<0.65 ORDER BY c, 1 LIMIT 30")
+@query("kl_low_confidence", _PAIRS + "SELECT 'a:'||p||':'||y AS fact_a_id, c AS confidence FROM r WHERE t<>'ORTHOGONAL' AND c<0.9 ORDER BY c, 1 LIMIT 30")
 def kl_low_confidence(spark, sf_dir):
     e = reconcile.reconcile(filings(spark, sf_dir)).withColumn("id", F.col("fact_a_id"))
-    return knowledge.low_confidence(e).select("fact_a_id", "confidence")
+    return knowledge.low_confidence(e, least=0.9).select("fact_a_id", "confidence")
 
 
 @query("kl_cross_document", _PAIRS + "SELECT 'a:'||p||':'||y AS fact_a_id, 'b:'||p||':'||y AS fact_b_id FROM r WHERE t<>'ORTHOGONAL'")

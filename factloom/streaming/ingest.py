@@ -49,7 +49,7 @@ class Ledger:
         mine = F.lit(False) if batch is None else F.col("batch") == batch
         if done is None:
             return found.where(mine)
-        return found.join(F.broadcast(done.select("batch", F.lit(True).alias("_done"))), "batch", "left").where(F.col("_done") | mine).drop("_done")
+        return found.join(done.select("batch", F.lit(True).alias("_done")), "batch", "left").where(F.col("_done") | mine).drop("_done")
 
     def facts(self) -> DataFrame | None:
         found = self._every()
