@@ -10,11 +10,13 @@ from .common import materialise, table
 from .vectors import matrix, usable
 
 #: Vectors picked as pivots: the bounded, documented sample that the index is fitted on.
-PIVOTS = 128
+PIVOTS = 384
 #: Pivots that stand for a vector: its nearest ones, in order.
 PREFIX = 64
 #: Share of a block's rows that are reranked exactly.
 RERANK = 0.25
+#: Rows of a block whose cosines tell what a footrule distance is worth for a query.
+PROBES = 64
 BLOCK_ROWS, BLOCK_QUERIES = 20_000, 4_000
 
 
@@ -30,6 +32,7 @@ class PivotIndex:
 
     def __init__(self, ids: np.ndarray, x: np.ndarray, pivots: np.ndarray) -> None:
         self.ids, self.x, self.pivots = ids, x, pivots
+        self.norm = np.linalg.norm(x, axis=1)
         order = permutations(x, pivots)
         flat = order.ravel()
         by = np.argsort(flat, kind="stable")
@@ -40,7 +43,9 @@ class PivotIndex:
         """(query, id, inner product) of the k best found for each query, its own row left out.
 
         Rows are ranked by footrule distance between their pivot order and the query's: a shared
-        pivot saves 2 * (PREFIX - later place), a pivot that one order lacks counts as last. The
+        pivot saves 2 * (PREFIX - later place), a pivot that one order lacks counts as last. Orders
+        tell directions only, and nearness is an inner product: what a distance means in cosine is
+        read off PROBES of the nearest rows, and rows go by that cosine times their length. The
         best RERANK of the rows, ten times k at least, are then ranked by exact inner product.
         """
         out, n = [], len(self.ids)
@@ -52,7 +57,7 @@ class PivotIndex:
             rows = np.concatenate([self.rows[s] for s in lists])
             saved = np.concatenate([width - np.maximum(self.places[s], i) for i, s in enumerate(lists)])
             credit = np.bincount(rows, saved, n)
-            cand = np.argpartition(-credit, most - 1)[:most] if most < n else np.arange(n)
+            cand = np.argpartition(-self._worth(credit, vector, most), most - 1)[:most] if most < n else np.arange(n)
             cand = cand[self.ids[cand] != q]
             exact = np.einsum("ij,j->i", self.x[cand], vector)
             if len(cand) > k:
@@ -64,6 +69,17 @@ class PivotIndex:
         return out
 
 
+    def _worth(self, credit: np.ndarray, vector: np.ndarray, most: int) -> np.ndarray:
+        """The inner product that each row's footrule distance and length lead one to expect."""
+        top = np.argpartition(-credit, most - 1)[:most]
+        top = top[np.argsort(-credit[top], kind="stable")]
+        probe = top[np.unique(np.linspace(0, most - 1, PROBES).astype(np.int64))]
+        cosine, c = self.x[probe] @ vector / self.norm[probe], credit[probe]
+        spread = c - c.mean()
+        slope = spread @ cosine / max(spread @ spread, 1e-300)
+        return self.norm * (cosine.mean() + slope * (credit - c.mean()))
+
+
 def nearest(rows: DataFrame, queries: DataFrame, k: int = 20, block_rows: int = BLOCK_ROWS, block_queries: int = BLOCK_QUERIES) -> DataFrame:
     """query_id, rank, vec_id and score: the k rows of largest inner product found for each query.
 
