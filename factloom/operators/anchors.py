@@ -152,31 +152,36 @@ def find_quotes(texts: DataFrame, quotes: DataFrame, window: int = 4) -> DataFra
     """(texts' columns but text, quotes' columns, start): every quote that stands in a text, exactly, and where first.
 
     texts: text and keys; quotes: quote and keys. A quote is posted under the rarest of its runs of
-    ``window`` whole words, as the texts count them, and texts meet it by that run: an equi-join.
-    Quotes with fewer words between blanks are compared with each text, in a broadcast while
-    they are SHORT_QUOTES at most.
+    ``window`` whole words (of its whole words, where it has fewer), as the texts count them, and
+    texts meet it by that run: an equi-join. Quotes without a whole word between blanks are
+    compared with each text, in a broadcast while they are SHORT_QUOTES at most.
     """
     inner = F.split(F.regexp_replace("quote", r"^[^ ]* | [^ ]*$", ""), " ")
-
-    def runs(words: Column) -> Column:
-        run = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - window + 1), lambda i: F.xxhash64(F.slice(w, i, F.lit(window))))
-        return let(words, lambda w: F.when(F.size(w) >= window, run(w)))
-
-    q = quotes.withColumn("_w", F.array_distinct(runs(inner))).withColumn("_q", F.xxhash64("quote", *[c for c in quotes.columns if c != "quote"]))
-    posted = q.where("_w is not null").select("_q", F.explode("_w").alias("_r"))
-    wanted = posted.select("_r").distinct()
-    # only hashes leave the explode: with the text beside each run, long texts would be copied once for each of their words
+    whole = F.when(F.col("quote").rlike(r" [^ ]+ "), F.size(inner)).otherwise(0)
+    q = quotes.withColumn("_k", F.when(whole >= window, window).when(whole > 0, 1)).withColumn("_q", F.xxhash64("quote", *[c for c in quotes.columns if c != "quote"]))
     named = texts.withColumn("_t", F.xxhash64(*texts.columns))
-    found = Settled()(named.select("_t", F.explode(F.array_distinct(runs(F.split("text", " ")))).alias("_r")).join(wanted, "_r").distinct())
-    often = found.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
-    rarest = posted.join(often, "_r", "left").groupBy("_q").agg(F.min_by("_r", F.struct(F.coalesce("_n", F.lit(0)), "_r")).alias("_r"))
-    pairs = found.join(q.drop("_w").join(rarest, "_q"), "_r").drop("_q", "_r")
-    long = named.join(pairs, "_t").where(F.expr("contains(text, quote)")).drop("_t")
-    few = q.where("_w is null").drop("_w", "_q")
+
+    def by_run(size: int) -> DataFrame:
+        def runs(words: Column) -> Column:
+            run = lambda w: F.transform(F.sequence(F.lit(1), F.size(w) - size + 1), lambda i: F.xxhash64(F.slice(w, i, F.lit(size))))
+            return let(words, lambda w: F.when(F.size(w) >= size, run(w)))
+
+        mine = q.where(F.col("_k") == size).withColumn("_w", F.array_distinct(runs(F.filter(inner, lambda w: w != "") if size == 1 else inner)))
+        posted = mine.select("_q", F.explode("_w").alias("_r"))
+        wanted = posted.select("_r").distinct()
+        # only hashes leave the explode: with the text beside each run, long texts would be copied once for each of their words
+        found = Settled()(named.select("_t", F.explode(F.array_distinct(runs(F.split("text", " ")))).alias("_r")).join(wanted, "_r").distinct())
+        often = found.groupBy("_r").agg(F.count(F.lit(1)).alias("_n"))
+        rarest = posted.join(often, "_r", "left").groupBy("_q").agg(F.min_by("_r", F.struct(F.coalesce("_n", F.lit(0)), "_r")).alias("_r"))
+        pairs = found.join(mine.drop("_w", "_k").join(rarest, "_q"), "_r").drop("_q", "_r")
+        return named.join(pairs, "_t").where(F.expr("contains(text, quote)")).drop("_t")
+
+    few = q.where("_k is null").drop("_k", "_q")
     short = texts.join(F.broadcast(few) if few.limit(SHORT_QUOTES + 1).count() <= SHORT_QUOTES else few, F.expr("contains(text, quote)"))
     cols = [c for c in [*texts.columns, *quotes.columns] if c not in ("text", "quote")]
     start = (F.instr(F.col("text"), F.col("quote")) - 1).alias("start")
-    return long.select(*cols, start).unionByName(short.select(*cols, start))
+    out = by_run(window).select(*cols, start).unionByName(short.select(*cols, start))
+    return out if q.where(F.col("_k") == 1).isEmpty() or window == 1 else out.unionByName(by_run(1).select(*cols, start))
 
 
 #: Rarest word pairs of a quote that look for it, and words left of and right of where they place it that are searched with it.

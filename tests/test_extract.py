@@ -179,3 +179,11 @@ def test_near_quotes_of_repeated_and_empty_tables(spark):
     rows = anchors.find_near_quotes(texts, quote.dropDuplicates()).collect()
     assert sorted((r["page"], r["start"], r["end"]) for r in rows) == [(1, 4, 48), (1, 4, 48), (2, 4, 48)]
     assert anchors.find_near_quotes(texts.limit(0), quote).count() == 0 and anchors.find_near_quotes(texts, quote.limit(0)).count() == 0
+
+
+def test_quotes_of_any_number_of_words_are_found_exactly(spark):
+    pages = [(1, "alpha beta gamma delta epsilon zeta"), (2, "beta  gamma"), (3, ""), (4, None), (5, "xalpha betay\ngamma delta x")]
+    quotes = ["alpha beta gamma delta epsilon zeta", "a beta g", "beta gamma", "gamma delta", "beta", "  ", " ", "", "ha beta gamma delta eps", "beta  gamma", "nothing of it here", "a gamma d", None]
+    texts, asked = spark.createDataFrame(pages, "page int, text string"), spark.createDataFrame(list(enumerate(quotes)), "k int, quote string")
+    got = {(r["page"], r["k"], r["start"]) for r in anchors.find_quotes(texts, asked).collect()}
+    assert got == {(p, k, t.index(q)) for p, t in pages if t is not None for k, q in enumerate(quotes) if q is not None and q in t}
