@@ -897,10 +897,11 @@ def table_collapsed_rows(spark, sf_dir):
 
 
 def laid_out(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """Pages and blocks: for each nation a filing of a cover, a table, a statement without borders and a sentence over two blocks."""
-    n = table(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k"), F.initcap(F.regexp_replace("n_name", "[^A-Za-z]", "")).alias("name"))
-    s = table(spark, sf_dir, "supplier").groupBy(F.col("s_nationkey").alias("k")).agg(F.count(F.lit(1)).alias("c"))
-    d = n.join(s, "k")
+    """Pages and blocks: for each supplier a filing of a cover, a table, a statement without borders and a sentence over two blocks, with a figure that its lines give."""
+    n = table(spark, sf_dir, "nation").select("n_nationkey", F.initcap(F.regexp_replace("n_name", "[^A-Za-z]", "")).alias("name"))
+    lines = table(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("k")).agg((F.count(F.lit(1)) % 90 + 1).alias("c"))
+    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("k"), F.col("s_nationkey").alias("n_nationkey"))
+    d = s.join(lines, "k").join(n, "n_nationkey")
     c = F.col("c").cast("string")
     more = (F.col("c") + 1).cast("string")
     none, no_rows = F.array().cast("array<string>"), F.lit(None).cast("array<array<string>>")
@@ -915,7 +916,7 @@ def laid_out(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     return layout.parse_pages(rows, ["file_id", "page_number"])
 
 
-_LAID_OUT = """WITH s AS (SELECT n_nationkey k, upper(m[1])||lower(substring(m,2)) nm, c FROM (SELECT n_nationkey, regexp_replace(n_name,'[^A-Za-z]','','g') m FROM nation) JOIN (SELECT s_nationkey, count(*) c FROM supplier GROUP BY 1) ON n_nationkey=s_nationkey),
+_LAID_OUT = """WITH s AS (SELECT s_suppkey k, upper(m[1])||lower(substring(m,2)) nm, c FROM supplier JOIN (SELECT n_nationkey, regexp_replace(n_name,'[^A-Za-z]','','g') m FROM nation) ON n_nationkey=s_nationkey JOIN (SELECT l_suppkey, count(*) % 90 + 1 c FROM lineitem GROUP BY 1) ON l_suppkey=s_suppkey),
 f AS (SELECT CAST(k AS VARCHAR) file_id, nm||' Foods Limited' entity, 'table' extractor, 'Suppliers served' attribute, CAST(c AS DOUBLE) v, 'INR (crore)' unit, 'FY24' sc, 0.9 conf, 2 pg FROM s
 UNION ALL SELECT CAST(k AS VARCHAR), nm||' Foods Limited', 'table', 'Suppliers served', c+1, 'INR (crore)', 'FY23', 0.9, 2 FROM s
 UNION ALL SELECT CAST(k AS VARCHAR), nm||' Foods Limited', 'orphan', 'Employee benefit expenses', c+0.5, 'INR (crore)', 'FY24', 0.55, 2 FROM s
