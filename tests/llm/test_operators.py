@@ -444,3 +444,39 @@ def test_long_lines_are_cut_by_what_they_say(spark):
     assert len(long) > 3 * line_dedup.LINE and len(set(cut[1]) & set(cut[2])) > 0.6 * len(set(cut[1])) and cut[4] == ["short\n", "\n", "lines\n"]
     out = {r["doc_id"]: r for r in line_dedup.deduplicate(df).collect()}
     assert len(out[2]["text"]) < 0.4 * len(long)
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_states_of_the_trie_are_those_of_a_depth_first_walk(name):
+    """Each prefix is one node; going down, every node's tokens are worked out by the merges themselves."""
+    import json
+
+    from factloom.llm import bpe_trie
+
+    trie = bpe_trie.BpeTrie(P.path(name))
+    model = json.load(open(P.path(name), encoding="utf-8"))["model"]
+    rank = {tuple(m if isinstance(m, list) else m.split(" ")): i for i, m in enumerate(model["merges"])}
+    suffix, symbols = model.get("end_of_word_suffix") or "", bpe_trie.byte_symbols()
+
+    def merged(parts):
+        while len(parts) > 1:
+            best = min(range(len(parts) - 1), key=lambda i: (rank.get((parts[i], parts[i + 1]), 1 << 30), i))
+            if (parts[best], parts[best + 1]) not in rank:
+                break
+            parts = [*parts[:best], parts[best] + parts[best + 1], *parts[best + 2 :]]
+        return parts
+
+    words = sorted({w.encode() for w in "the then there thereby lower lowest newer newest un unlikely unlikelihood aaaa aaaaa été étés a ab abc abcabc 日本 日本語 zzzzzzz mississippi".split()})
+    lens, last, size, count = trie._grow(words)
+    nodes, seen = {}, {}
+    for i, w in enumerate(words):  # sorted words are a depth-first order of the trie
+        for j in range(len(w)):
+            ends = j == len(w) - 1 and suffix
+            key = (w[: j + 1], bool(ends))
+            if key not in nodes:
+                parts = [symbols[b] for b in w[: j + 1]]
+                parts[-1] += suffix if ends else ""
+                nodes[key] = merged(parts)
+            state = (trie.token_text[last[i, j]], int(count[i, j]))
+            assert state == (nodes[key][-1], len(nodes[key])) and seen.setdefault(key, state) == state, key
+    assert lens.tolist() == [len(w) for w in words] and len(nodes) < sum(map(len, words))
