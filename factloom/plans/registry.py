@@ -1106,6 +1106,35 @@ def facts_of_type(spark, sf_dir):
     return f.where("file_id = 'filing-a'").join(odd, "id").select("id", "attribute")
 
 
+@query(
+    "comparable_values",
+    "SELECT o_orderkey, o_orderkey % 5 <> 0 AS numeric, CASE WHEN o_orderkey % 5 = 0 THEN NULL WHEN o_orderkey % 2 = 0 THEN o_totalprice * 1e7 ELSE o_totalprice END AS value FROM orders",
+)
+def comparable_values(spark, sf_dir):
+    """Whether a fact's value is a number, and the one it is compared by: the canonical one where there is one."""
+    o = table(spark, sf_dir, "orders").withColumn("v", F.when(F.col("o_orderkey") % 5 != 0, F.col("o_totalprice")))
+    canonical = F.when(F.col("o_orderkey") % 2 == 0, units.canonical_value(F.col("v"), F.struct(F.lit(1e7).alias("scale"))))
+    return o.select("o_orderkey", facts.is_numeric(F.col("v")).alias("numeric"), facts.comparable_value(F.col("v"), canonical).alias("value"))
+
+
+@query("scale_hints", "SELECT c_custkey, CASE c_custkey % 4 WHEN 0 THEN 1e7 WHEN 1 THEN 1e6 END::DOUBLE AS scale FROM customer")
+def scale_hints(spark, sf_dir):
+    """The scale that the last of a label's lines names by itself; a currency, a word, or a lone line names none."""
+    last = F.get(F.array(F.lit("crore"), F.lit("million"), F.lit("premises"), F.lit("crore")), (F.col("c_custkey") % 4).cast("int"))
+    parts = F.when(F.col("c_custkey") % 4 == 3, F.array(last)).otherwise(F.array(F.lower("c_mktsegment"), last))
+    c = table(spark, sf_dir, "customer").select("c_custkey", units.trailing_scale(parts).alias("u"))
+    return c.select("c_custkey", F.col("u.scale").alias("scale"))
+
+
+@query("values_agreeing", "SELECT o_orderkey, (o_orderkey % 3 < 2) AS agree FROM orders")
+def values_agreeing(spark, sf_dir):
+    """Whether a total and what a second source makes of it agree as far as both are written: itself, less than half its last digit, two of them."""
+    o = table(spark, sf_dir, "orders")
+    gap = F.get(F.array(F.lit(0.0), F.lit(0.0049), F.lit(0.02)), (F.col("o_orderkey") % 3).cast("int"))
+    half, key = F.lit(0.005), F.lit("CURRENCY:INR")
+    return o.select("o_orderkey", units.values_agree(F.col("o_totalprice"), half, key, F.col("o_totalprice") + gap, half, key).alias("agree"))
+
+
 # --- tables found on pages of words --------------------------------------------------------------------------------
 
 
