@@ -71,6 +71,7 @@ def link(posts: DataFrame, attributes: DataFrame, near: Callable[[str, str], Col
     star = weighed.join(pivots, "bucket").where(F.col("id") != F.col("pivot")).groupBy("id", "pivot").agg(F.count(F.lit(1)).alias("n"))
     star = star.groupBy("id").agg(F.max_by("pivot", F.struct("n", -F.col("pivot"))).alias("b"))
     first = materialise(verify(star.select(F.col("id").alias("a"), "b")))
+    discard(weighed)
     links = first
     for turn in range(ROUNDS + 1):
         roots = components(links)
@@ -87,14 +88,18 @@ def link(posts: DataFrame, attributes: DataFrame, near: Callable[[str, str], Col
         tries = tries.withColumn("k", F.row_number().over(few)).where(F.col("k") <= TRIES)
         more = materialise(verify(tries.select(F.least("id", "pivot").alias("a"), F.greatest("id", "pivot").alias("b")).distinct()))
         links = links.unionByName(more)
+        discard(tagged)
     # a pair that shares several buckets is made in the smallest of them only; an id has few buckets
+    left = tagged
     tagged = tagged.join(tagged.groupBy("id").agg(F.collect_set("bucket").alias("buckets")), "id")
     tagged = materialise(tagged.join(attributes, "id"))
+    discard(left, shared)
     x, y = tagged.alias("x"), tagged.alias("y")
     open_ = (F.col("x.bucket") == F.col("y.bucket")) & (F.col("x.id") < F.col("y.id")) & (F.col("x.root") != F.col("y.root")) & near("x", "y")
     open_ = open_ & (F.array_min(F.array_intersect("x.buckets", "y.buckets")) == F.col("x.bucket"))
     pairs = x.join(y, open_ & alike("x", "y") if alike else open_)
     pairs = materialise(pairs.select(F.col("x.id").alias("a"), F.col("y.id").alias("b")).distinct())
+    discard(tagged)
     out = components(links.unionByName(verify(pairs)))
-    discard(shared, weighed, tagged, pairs)
+    discard(pairs)
     return out
