@@ -29,7 +29,7 @@ def folded_pattern(quote: Column) -> Column:
     out = F.translate(fold(quote), "".join(marks.values()), T.STAND_IN * len(marks))
     for a, mark in marks.items():
         out = F.replace(out, F.lit(a), F.lit(mark))
-    out = F.regexp_replace(out, r"([^\p{L}\p{N}\s\ue010-\ue01f-])", r"\\$1")
+    out = F.regexp_replace(out, r"([^\p{L}\p{N}\s\ufdd2-\ufdd7-])", r"\\$1")
     out = F.regexp_replace(out, r"(\\?[^\\])(?!$)", f"$1{_VANISH}")
     forms = {" ": rf"{_BLANK}(?:{_BLANK}|[{FOLD_NOTHING}])*", "-": f"[\\-{FOLD_DASHES}]", r"\'": f"['{FOLD_SINGLE}]", r"\"": f'["{FOLD_DOUBLE}]'}
     one = {v: k for k, v in FOLD_LONG.items()}

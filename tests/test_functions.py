@@ -67,6 +67,10 @@ def test_quotes(spark):
     assert q("Revenue  of\n1,240", "Revenue of 1,240")["strategy"] == "NORMALIZED"
     assert q("Revenue of 1,240", "REVENUE OF 1,240")["strategy"] == "CASE_INSENSITIVE"
     assert q("Revenue of 1,240", "unrelated words") is None
+    for told in ("office staff", "offices", "waffle (plain)", "cliff", "and so on...", "fi", "final... (1)"):  # what a ligature or an ellipsis may stand for
+        got = q(f"The  {told.replace(' ', '  ')} here", f"The {told}")
+        assert (got["strategy"], got["start"], got["matched"]) == ("NORMALIZED", 0, f"The  {told.replace(' ', '  ')}")
+    assert q("the \ufb01nal  o\ufb03ce\u2026 here", "final office...")["matched"] == "\ufb01nal  o\ufb03ce\u2026"
     assert anchors.best_span("the net revenue for the year rose", "the revenue for the year rose")[2] >= 0.82
     assert anchors.best_span("abc", "completely different text") is None
 
