@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from factloom.llm import ann, bpe_codec, embed_dedup, language, line_dedup, lm_score, minhash, mixing, oracles, shards, token_counts
+from factloom.llm import ann, bpe_codec, common, embed_dedup, language, line_dedup, lm_score, minhash, mixing, oracles, shards, token_counts
 
 SF = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -90,6 +90,20 @@ def test_superminhash_estimates_similarity():
         assert np.isfinite(sig).all() and abs((sig[0] == sig[1]).mean() - shared / (2 * n - shared)) < 0.12
 
 
+def test_files_of_shuffles_go_once_a_table_is_written(spark):
+    def files():
+        found = spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().getAllFiles()
+        return {n for n in (found.apply(i).getName() for i in range(found.size())) if n.startswith("shuffle_")}
+
+    before, setting = files(), spark.conf.get(common.CLEANUP)
+    rows = common.materialise(spark.range(1000).withColumn("k", F.col("id") % 7).repartition(3, "k"))
+    for _ in range(50):  # they are removed in the background
+        if not (more := files() - before):
+            break
+        time.sleep(0.1)
+    assert not more and rows.count() == 1000 and spark.conf.get(common.CLEANUP) == setting
+
+
 def test_line_dedup_matches_brute_force(spark):
     base = "the quick brown fox jumps over the lazy dog near the river bank while many other animals look on and wonder what is going to happen next in this long line"
     texts = [base + "\nunique alpha line\n-----", base.upper() + "!!", base.replace("wonder", "wander") + "\nother thing 12", "other thing 99\n-----", None, "", "alone\nalone\nAlone."]
