@@ -88,22 +88,31 @@ def fold_map(text: str) -> tuple[str, np.ndarray]:
     """A text folded, and for each folded character the place of the one it comes from."""
     width = np.fromiter((len(_FOLDED.get(c, c)) for c in text), dtype=np.int64, count=len(text))
     wide, source = text.translate(_SPELLED), np.repeat(np.arange(len(text)), width)
-    pieces = [(m.start(), m.end()) for m in re.finditer(r"\S+", wide)]
+    pieces = np.array([m.span() for m in re.finditer(r"\S+", wide)], dtype=np.int64).reshape(-1, 2)
     # a blank has the place of the word after it
-    place = [np.r_[[source[a]] * (i > 0), source[a:b]] for i, (a, b) in enumerate(pieces)]
-    return " ".join(wide[a:b] for a, b in pieces), np.concatenate(place).astype(np.int64) if place else np.zeros(0, dtype=np.int64)
+    first, size = pieces[:, 0], pieces[:, 1] - pieces[:, 0]
+    blank = (np.arange(len(pieces)) > 0).astype(np.int64)
+    step = np.arange(int((size + blank).sum())) - np.repeat(np.cumsum(size + blank) - size, size + blank)
+    return " ".join(wide.split()), source[np.repeat(first, size + blank) + np.maximum(step, 0)].astype(np.int64)
 
 
 def best_span(text: str, quote: str, least: float = FUZZY) -> tuple[int, int, float] | None:
     """Start, end and score in the text of the group of matching runs that is most like the quote; None below ``least``.
 
     The score of a group is twice its matched characters over its width and the quote's length.
-    All groups are scored at once from running sums over the runs.
+    All groups are scored at once from running sums over the runs. Quotes too few of whose
+    characters lie in pieces of SHORT_RUN that the text has are given up before they are matched.
     """
-    page, source = fold_map(text)
-    wanted, _ = fold_map(quote)
+    page, wanted = (" ".join(t.translate(_SPELLED).split()) for t in (text, quote))
     if len(page.casefold()) == len(page) and len(wanted.casefold()) == len(wanted):
         page, wanted = page.casefold(), wanted.casefold()
+    # what runs can match at most; a group is no narrower than what it matches
+    most, reach = 0, 0
+    for i in range(len(wanted) - SHORT_RUN + 1):
+        if wanted[i : i + SHORT_RUN] in page:
+            most, reach = most + i + SHORT_RUN - max(i, reach), i + SHORT_RUN
+    if 2.0 * most < least * (most + len(wanted)) * (1 - 1e-9) or not most:
+        return None
     runs = np.array([(m.a, m.size) for m in SequenceMatcher(None, page, wanted, autojunk=False).get_matching_blocks() if m.size >= SHORT_RUN], dtype=np.int64).reshape(-1, 2)
     if not len(runs):
         return None
@@ -115,6 +124,7 @@ def best_span(text: str, quote: str, least: float = FUZZY) -> tuple[int, int, fl
     top = int(score.argmax())
     if score[top] < least:
         return None
+    _, source = fold_map(text)
     return int(source[at[first[top]]]), int(source[at[last[top]] + size[last[top]] - 1]) + 1, round(float(score[top]), 4)
 
 
@@ -134,9 +144,11 @@ def locate_fuzzy(pairs: DataFrame, keys: list[str], least: float = FUZZY) -> Dat
 def locate_all(pairs: DataFrame, keys: list[str], least: float = FUZZY) -> DataFrame:
     """keys, strategy, score, start, end and matched for (keys, text, quote): all four rungs; UNVERIFIED with start -1 where none holds.
 
-    Only rows that the native rungs miss go through Python.
+    Only rows that the native rungs miss go through Python. What those rungs find is written once,
+    with texts and quotes of the missed rows alone.
     """
     tried = pairs.select(*keys, "text", "quote", locate(F.col("text"), F.col("quote")).alias("h"))
+    tried = Settled()(tried.select(*keys, "h", *[F.when(F.col("h").isNull(), F.col(c)).alias(c) for c in ("text", "quote")]))
     cols = [F.col("h.strategy").alias("strategy"), F.col("h.score").alias("score"), F.col("h.start").alias("start"), F.col("h.end").alias("end"), F.col("h.matched").alias("matched")]
     missed = tried.where("h is null").select(*keys, "text", "quote")
     near = locate_fuzzy(missed, keys, least).select(*keys, F.col("start").alias("_s"), F.col("end").alias("_e"), F.col("score").alias("_p"))

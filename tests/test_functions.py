@@ -75,6 +75,16 @@ def test_quotes(spark):
     assert anchors.best_span("abc", "completely different text") is None
 
 
+def test_hopeless_quotes_are_not_matched(monkeypatch):
+    def called(*_, **__):
+        raise AssertionError("matched")
+
+    monkeypatch.setattr(anchors, "SequenceMatcher", called)
+    assert anchors.best_span("some words of a page " * 1000, "0 1 2 3 4 5 6 7 8 9 # @ 0") is None
+    with pytest.raises(AssertionError):
+        anchors.best_span("the net revenue for the year rose", "the revenue for the year rose")
+
+
 def spans_of(spark, text, most, overlap):
     row = spark.createDataFrame([(text,)], "t string").select(layout.windows(F.col("t"), most, overlap).alias("w")).first()
     return [(w["start"], w["end"]) for w in row["w"]]
