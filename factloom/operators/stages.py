@@ -5,8 +5,13 @@ from __future__ import annotations
 import atexit
 import re
 import uuid
+from collections.abc import Callable
+from functools import reduce
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+
+#: Distinct arguments that may be broadcast to all rows.
+FEW = 100_000
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -45,6 +50,18 @@ class Settled:
             place.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def per_distinct(rows: DataFrame, name: str, body: Callable[..., Column], *args: Column) -> DataFrame:
+    """``rows`` with ``body`` of ``args`` as column ``name``, worked out once for each distinct combination of arguments (nulls count as equal).
+
+    For dear expressions of arguments that repeat; every row gets its own result.
+    """
+    keys = [f"_arg{i}" for i in range(len(args))]
+    said = rows.select("*", *[a.alias(k) for a, k in zip(args, keys)])
+    told = Settled()(said.select(*keys).distinct().select(*[F.col(k).alias(f"{k}_") for k in keys], body(*[F.col(k) for k in keys]).alias(name)))
+    same = reduce(lambda x, y: x & y, [F.col(k).eqNullSafe(F.col(f"{k}_")) for k in keys])
+    return said.join(F.broadcast(told) if told.count() <= FEW else told, same).drop(*keys, *[f"{k}_" for k in keys])
+
+
 _all: list[Settled] = []
 
 

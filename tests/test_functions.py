@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.functions import temporal, text, units
-from factloom.operators import anchors, layout, reconcile
+from factloom.operators import anchors, layout, reconcile, stages
 
 
 def values(spark, items, f):
@@ -75,6 +75,14 @@ def test_quotes(spark):
     assert anchors.best_span("abc", "completely different text") is None
 
 
+def test_dear_expressions_of_repeated_arguments(spark):
+    rows = spark.createDataFrame([(i, ["FY2024", "Q2 FY2024", None, "FY2023"][i % 4], ["FY2024", None][i % 2]) for i in range(40)], "i int, a string, b string")
+    told = lambda x, y: temporal.overlaps(temporal.parse_period(x), temporal.parse_period(y))
+    plain = rows.select("i", told(F.col("a"), F.col("b")).alias("o"))
+    got = stages.per_distinct(rows, "o", told, F.col("a"), F.col("b")).select("i", "o")
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, plain.collect())) and got.count() == 40
+
+
 def test_hopeless_quotes_are_not_matched(monkeypatch):
     def called(*_, **__):
         raise AssertionError("matched")
