@@ -187,3 +187,10 @@ def test_quotes_of_any_number_of_words_are_found_exactly(spark):
     texts, asked = spark.createDataFrame(pages, "page int, text string"), spark.createDataFrame(list(enumerate(quotes)), "k int, quote string")
     got = {(r["page"], r["k"], r["start"]) for r in anchors.find_quotes(texts, asked).collect()}
     assert got == {(p, k, t.index(q)) for p, t in pages if t is not None for k, q in enumerate(quotes) if q is not None and q in t}
+
+
+def test_cells_of_a_table_are_tidied_once(spark):
+    rows = spark.createDataFrame([([["a|b", " c  d"], ["", None], ["1"]],), ([["", ""], ["x"]],), ([[""]],), (None,)], "rows array<array<string>>")
+    told = rows.select(layout.to_markdown(F.col("rows")).alias("t"))
+    assert [r["t"] for r in told.collect()] == ["| a\\|b | c d |\n| --- | --- |\n| 1 |  |", "| x |\n| --- |", None, None]
+    assert told._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
