@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from factloom.operators import anchors, blocks, context, extract, facts, layout, pipeline
+from factloom.operators.stages import Settled
 
 ITEM = "file_id string, page_number int, item int, kind string, lines array<string>, rows array<array<string>>, x0 double, y0 double, x1 double, y1 double, width double"
 
@@ -194,3 +195,10 @@ def test_cells_of_a_table_are_tidied_once(spark):
     told = rows.select(layout.to_markdown(F.col("rows")).alias("t"))
     assert [r["t"] for r in told.collect()] == ["| a\\|b | c d |\n| --- | --- |\n| 1 |  |", "| x |\n| --- |", None, None]
     assert told._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace(") == 1
+
+
+def test_settled_tables_are_written_by_all_cores(spark):
+    small = spark.range(1000).groupBy("id").count()
+    settled = Settled()
+    assert len(settled(small).inputFiles()) > 1
+    settled.release()
