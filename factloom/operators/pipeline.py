@@ -38,6 +38,7 @@ def extract_facts(
     keyed by document and page, so documents spread over the cluster and none is collected.
     """
     settled = Settled()
+    pages = settled(pages)  # every step below reads them: a plan that makes them would run once for each
     declared = settled(C.unit_declarations(pages))
     context = settled(C.build_context(pages, titles, subject_override, declared))
     classified = settled(B.classify_document(blocks))
