@@ -20,6 +20,9 @@ TOKENIZER = "word_bpe_49k.json"
 #: Distinct words, and tokens of them, that a worker remembers between batches, and the longest of these words in bytes.
 MEMO_WORDS, MEMO_TOKENS, MEMO_BYTES = 800_000, 4_000_000, 64
 
+#: Tokens whose strings are joined at once, and bytes of text taken at once: places in arrays of both are eight bytes each.
+JOINED, SLICE = 1 << 17, 2_000_000
+
 
 def normalise(text: str) -> str:
     """Composed and lower case letter by letter (no rule for a final sigma); white space only parts words, so it is left."""
@@ -42,11 +45,16 @@ class Spelling:
         self.bytes = np.frombuffer(b" ".join(texts) + b" ", dtype=np.uint8)
 
     def join(self, tokens: np.ndarray, bounds: np.ndarray) -> list[bytes]:
-        """For each run of tokens between bounds: the strings, a space between them."""
-        size = self.size[tokens]
-        whole = self.bytes[spread(size, self.start[tokens])].tobytes()
-        at = np.r_[0, np.cumsum(size)][bounds].tolist()
-        return [whole[a : max(a, b - 1)] for a, b in zip(at, at[1:])]
+        """For each run of tokens between bounds: the strings, a space between them. Runs are joined in blocks of about JOINED tokens."""
+        out: list[bytes] = []
+        cuts = np.r_[0, np.searchsorted(bounds, np.arange(JOINED, int(bounds[-1]), JOINED)), len(bounds) - 1]
+        for lo, hi in zip(cuts.tolist(), cuts[1:].tolist()):
+            part = tokens[bounds[lo] : bounds[hi]]
+            size = self.size[part]
+            whole = self.bytes[spread(size, self.start[part])].tobytes()
+            at = np.r_[0, np.cumsum(size)][bounds[lo : hi + 1] - bounds[lo]].tolist()
+            out += [whole[a : max(a, b - 1)] for a, b in zip(at, at[1:])]
+        return out
 
 
 class Codec:
@@ -132,7 +140,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE):
             ids = codec.encode([t.decode("utf-8", "replace") for t in texts_of(b.column("text"))])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(ids, pa.list_(pa.int32()))], ["doc_id", "ids"])
 
@@ -164,7 +172,7 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = _codec(path)
-        for b in slices(batches):
+        for b in slices(batches, most=SLICE):
             n, ids, decoded = codec.digest([t.decode("utf-8", "replace") for t in texts_of(b.column("text"))])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 

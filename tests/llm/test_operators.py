@@ -494,3 +494,19 @@ def test_states_of_the_trie_are_those_of_a_depth_first_walk(name):
             state = (trie.token_text[last[i, j]], int(count[i, j]))
             assert state == (nodes[key][-1], len(nodes[key])) and seen.setdefault(key, state) == state, key
     assert lens.tolist() == [len(w) for w in words] and len(nodes) < sum(map(len, words))
+
+
+def test_token_strings_are_joined_in_blocks():
+    import tracemalloc
+
+    rng = np.random.default_rng(3)
+    texts = [b"x" * (1 + i % 7) for i in range(100)]
+    tokens, bounds = rng.integers(0, 100, 1_500_000), np.r_[0, np.sort(rng.integers(0, 1_500_000, 998)), 1_500_000]
+    spelled = bpe_codec.Spelling(texts)
+    tracemalloc.start()
+    got = spelled.join(tokens, bounds)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert got == [b" ".join(texts[t] for t in tokens[a:b].tolist()) for a, b in zip(bounds, bounds[1:])]
+    assert spelled.join(tokens[:0], np.array([0])) == [] and spelled.join(tokens[:0], np.array([0, 0, 0])) == [b"", b""]
+    assert peak < 60_000_000
