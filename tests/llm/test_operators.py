@@ -510,3 +510,12 @@ def test_token_strings_are_joined_in_blocks():
     assert got == [b" ".join(texts[t] for t in tokens[a:b].tolist()) for a, b in zip(bounds, bounds[1:])]
     assert spelled.join(tokens[:0], np.array([0])) == [] and spelled.join(tokens[:0], np.array([0, 0, 0])) == [b"", b""]
     assert peak < 60_000_000
+
+
+def test_counts_of_characters_bound_edits(spark):
+    forms = ["e" * 3000 + "nd", "e" * 2999 + "ndd", "a cold line", "a bold line", ""]
+    rows = spark.createDataFrame([(i, x) for i, x in enumerate(forms)], "id int, form string").select("id", "form", F.length("form").alias("len"), *line_dedup._counts(F.col("form")))
+    pairs = rows.alias("x").join(rows.alias("y"), (F.col("x.id") < F.col("y.id")) & line_dedup.near("x", "y")).select("x.id", F.col("y.id").alias("other"))
+    assert {tuple(r) for r in pairs.collect()} == {(0, 1), (2, 3)}
+    least = rows.where("id = 2").first()
+    assert [least["n_0"] >> (line_dedup.BITS * i) & 1023 for i in range(6)] == [forms[2].count(c) for c in line_dedup.COUNTED[:6]]
