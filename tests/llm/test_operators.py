@@ -519,3 +519,19 @@ def test_counts_of_characters_bound_edits(spark):
     assert {tuple(r) for r in pairs.collect()} == {(0, 1), (2, 3)}
     least = rows.where("id = 2").first()
     assert [least["n_0"] >> (line_dedup.BITS * i) & 1023 for i in range(6)] == [forms[2].count(c) for c in line_dedup.COUNTED[:6]]
+
+
+def test_few_ngrams_of_a_long_line_are_posted_and_runs_without_spaces_keep_all(spark):
+    rng = np.random.default_rng(3)
+    words_ = " ".join("".join(rng.choice(list("abcdefghij"), 5)) for _ in range(45))
+    run = "".join(rng.choice(list("abcdefghij"), 270))
+    near = run[:100] + "z" + run[101:]
+    forms = spark.createDataFrame([(1, words_, 269), (2, run, 270), (3, near, 270)], "h long, form string, len int")
+    posts = {r["id"]: set(r["buckets"]) for r in line_dedup._posts(forms).groupBy("id").agg(F.collect_set("bucket").alias("buckets")).collect()}
+    least, n, most = line_dedup.GRAMS[0]
+    # a 12-gram at every place is shared by lines that have little else in common; those kept begin at words, and are longer
+    assert n > 12 and {len(x) for x in posts.values()} == {most} and len(posts[2] & posts[3]) >= most // 2
+    begun = {words_[i : i + n] for i in range(len(words_) - n + 1) if words_[i] == " "}
+    classes = forms.where("h = 1").select(line_dedup._class(F.col("len"))).first()[0]
+    hashes = {r[0] for r in spark.createDataFrame([(g,) for g in begun], "g string").select(F.xxhash64("g", F.lit(classes))).collect()}
+    assert posts[1] <= hashes
