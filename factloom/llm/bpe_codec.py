@@ -13,7 +13,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe_trie import BpeTrie
-from .common import distinct_spans, slices, table, texts_of
+from .common import distinct_spans, in_arrow, slices, table, texts_of
 from .splitter import dropping_machine, find_words
 
 TOKENIZER = "word_bpe_49k.json"
@@ -69,9 +69,9 @@ class Codec:
         self.number, self.spelled = Spelling([b"%d" % i for i in self.vocab_id.tolist()]), Spelling([t.encode() for t in texts])
         self.text_of = dict(zip(self.vocab_id.tolist(), texts))
         self.marks = regex.compile("(" + "|".join(regex.escape(m) for m in sorted(self.special, key=len, reverse=True)) + ")")
-        self._forget()
+        self.forget()
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         self.known: dict[bytes, int] = {}
         self.first, self.size, self.pool = np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int32)
 
@@ -80,7 +80,7 @@ class Codec:
         words, back = distinct_spans(data, start, end)
         new = [w for w in words if w not in self.known]
         if len(self.known) + len(new) > MEMO_WORDS or len(self.pool) > MEMO_TOKENS:
-            self._forget()
+            self.forget()
             new = words
         if new:
             flat, size = self.bpe.encode(new)
@@ -175,9 +175,10 @@ def digest(docs: DataFrame, path: str) -> DataFrame:
         for b in slices(batches, most=SLICE):
             n, ids, decoded = codec.digest([t.decode("utf-8", "replace") for t in texts_of(b.column("text"))])
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids, pa.string()), pa.array(decoded, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
+        codec.forget()  # words of one task would stay in memory through all that the worker does later
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return in_arrow(docs.select("doc_id", "text"), run, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
 
 
 def op7_bpe_codec(spark: SparkSession, sf_dir: str) -> DataFrame:

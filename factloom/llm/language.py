@@ -10,7 +10,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from .common import crc_bucket, slices, table
+from .common import crc_bucket, in_arrow, slices, table
 
 #: Most labelled documents that the model is fitted on; beyond that a fixed hash of the id picks about so many, by language.
 TRAIN_DOCS = 20_000
@@ -109,7 +109,7 @@ def fit(docs: DataFrame) -> Model:
 
     labelled = docs.where(F.col("lang").isNotNull()).select("text", "lang")
     langs = sorted(r[0] for r in labelled.select("lang").distinct().collect())
-    got = labelled.mapInArrow(run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    got = in_arrow(labelled, run, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     number = {lang: i for i, lang in enumerate(langs)}
     counts = np.zeros((BUCKETS + SCRIPTS, len(langs)))
     counts[got["bucket"].to_numpy(), [number[x] for x in got["lang"].to_pylist()]] = got["n"].to_numpy()
@@ -220,7 +220,7 @@ def predict(docs: DataFrame, model: Model, keep: Sequence[str] = ("doc_id",), na
             yield pa.RecordBatch.from_arrays(columns, [*keep, *names])
 
     schema = ", ".join(f"`{c}` {docs.schema[c].dataType.simpleString()}" for c in keep)
-    return docs.select(*dict.fromkeys([*keep, "text"])).mapInArrow(run, f"{schema}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` int")
+    return in_arrow(docs.select(*dict.fromkeys([*keep, "text"])), run, f"{schema}, `{names[0]}` string, `{names[1]}` double, `{names[2]}` int")
 
 
 def train(docs: DataFrame, most: int = TRAIN_DOCS) -> Model:

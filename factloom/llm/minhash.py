@@ -8,7 +8,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from .common import discard, fresh, materialise, mix, slices, small, span_hashes, table, texts_of, words_of
+from .common import discard, fresh, in_arrow, materialise, mix, slices, small, span_hashes, table, texts_of, words_of
 from .components import link
 
 SHINGLE = 5
@@ -136,7 +136,7 @@ def signatures(docs: DataFrame) -> DataFrame:
             cut = lambda x: pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32), x.ravel())
             yield pa.RecordBatch.from_arrays([b.column("doc_id"), b.column("key"), pa.array(n, pa.int64()), pa.array(whole[0]), pa.array(whole[1]), cut(bands), cut(planes), cut(sketch)], ["doc_id", "key", "n", "set_a", "set_b", "bands", "planes", "sketch"])
 
-    return docs.select(F.col("doc_id").cast("long"), row_key().alias("key"), "text").mapInArrow(run, SIGNED)
+    return in_arrow(docs.select(F.col("doc_id").cast("long"), row_key().alias("key"), "text"), run, SIGNED)
 
 
 def sets_of(docs: DataFrame) -> DataFrame:
@@ -147,7 +147,7 @@ def sets_of(docs: DataFrame) -> DataFrame:
             hashes, bounds = shingle_sets(texts_of(b.column("text")))
             yield pa.RecordBatch.from_arrays([b.column("key"), pa.ListArray.from_arrays(bounds.astype(np.int32), hashes.view(np.int64))], ["key", "set"])
 
-    return docs.select("key", "text").mapInArrow(run, "key long, set array<long>")
+    return in_arrow(docs.select("key", "text"), run, "key long, set array<long>")
 
 
 def near(x: str, y: str) -> Column:

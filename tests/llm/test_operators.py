@@ -535,3 +535,19 @@ def test_few_ngrams_of_a_long_line_are_posted_and_runs_without_spaces_keep_all(s
     classes = forms.where("h = 1").select(line_dedup._class(F.col("len"))).first()[0]
     hashes = {r[0] for r in spark.createDataFrame([(g,) for g in begun], "g string").select(F.xxhash64("g", F.lit(classes))).collect()}
     assert posts[1] <= hashes
+
+
+def test_batches_of_texts_are_bounded_and_tasks_leave_no_memory(spark):
+    def run(batches):
+        held = 0
+        for b in batches:
+            held = max(held, b.nbytes)
+        yield common.pa.RecordBatch.from_arrays([common.pa.array([held])], ["n"])
+
+    docs = spark.range(0, 200, 1, 1).select(F.expr("repeat(cast(id as string), 100000)").alias("text"))
+    assert max(r["n"] for r in common.in_arrow(docs, run, "n long").collect()) < 2 * common.BATCH_BYTES
+    codec = bpe_codec._codec(P.path(bpe_codec.TOKENIZER))
+    codec.digest(["some words here"])
+    assert codec.known
+    codec.forget()
+    assert not codec.known and not len(codec.pool)
