@@ -551,3 +551,20 @@ def test_batches_of_texts_are_bounded_and_tasks_leave_no_memory(spark):
     assert codec.known
     codec.forget()
     assert not codec.known and not len(codec.pool)
+
+
+def test_turns_make_all_posts_and_ends_of_lines_hide_no_near_pair(spark):
+    rng = np.random.default_rng(11)
+    lines = ["".join(rng.choice(list("abcdef    "), n)).strip() for n in (12, 40, 60, 90, 150, 230, 330, 500, 900)]
+    forms = spark.createDataFrame([(i, x, len(x)) for i, x in enumerate(lines)], "h long, form string, len int")
+    rows = lambda df: sorted(tuple(r) for r in df.collect())
+    turns = [rows(line_dedup._posts(forms, line_dedup.PARTS, t)) for t in range(line_dedup.TURNS)]
+    assert sorted(sum(turns, [])) == rows(line_dedup._posts(forms, line_dedup.PARTS)) and max(map(len, turns)) < 0.7 * sum(map(len, turns))
+    pairs = [("", ""), ("a", "b")]
+    for x in lines:
+        most = len(x) // 10
+        cut = sorted(rng.choice(len(x), most, replace=False).tolist())
+        pairs += [(x, "z" * most + x), (x, x + "z" * most), (x, x[most:]), (x, x[: len(x) - most]), (x, "".join("z" if i in cut else c for i, c in enumerate(x))), (x, x[::-1]), (x, "z" * (len(x) // 5) + x[len(x) // 5 :])]
+        pairs += [(x, "z" * (most // 2) + x[: len(x) - (most - most // 2)]), (x, x[: len(x) // 2] + "z" * (2 * most) + x[len(x) // 2 :])]
+    got = spark.createDataFrame(pairs, "a string, b string").select(line_dedup._similar("a", "b").alias("is"), F.expr("levenshtein(a, b) <= cast(greatest(length(a), length(b)) div 10 as int)").alias("should")).collect()
+    assert [r["is"] for r in got] == [r["should"] for r in got] and 20 < sum(r["is"] for r in got) < len(got) - 10
