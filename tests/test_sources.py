@@ -3,12 +3,13 @@
 import json
 import os
 import zipfile
+from pathlib import Path
 
 import pytest
 from pyspark.sql import Row, functions as F
 from pyspark.sql.datasource import EqualTo, GreaterThan, In, LessThanOrEqual
 
-from factloom.operators import grids
+from factloom.operators import grids, stages
 from factloom.sources import documents, paged, results
 
 WORD = "file_id string, page_number int, word int, text string, x0 double, y0 double, x1 double, y1 double, width double"
@@ -73,6 +74,47 @@ def test_words_without_rulings_and_empty_pages(spark):
     assert pages.count() == blocks.count() == warnings.count() == 0
 
 
+def ruled_pages(n):
+    words = [w for p in range(1, n + 1) for w in page_of([(f"Heading {p}", 50, 20), ("Item", 60, 103), ("FY24", 210, 103), ("Net revenue", 60, 123), (f"{p}00", 210, 123), ("Part", 50, 200), ("FY23", 300, 200), ("Rent", 50, 214), (f"{p}", 310, 214)], p)]
+    rulings = [("d", p, *b) for p in range(1, n + 1) for b in [(50.0, y, 300.0, y + 0.5) for y in (100.0, 118.0, 150.0)] + [(x, 100.0, x + 0.5, 150.0) for x in (50.0, 200.0, 300.0)]]
+    return words + [("d", 1, 99, "x", None, 1.0, 2.0, 3.0, 600.0)], rulings
+
+
+def test_words_leave_only_blocks_and_warnings_on_disk(spark):
+    words, rulings = ruled_pages(4)
+    there = lambda: set(Path(stages.shared_dir(spark).removeprefix("file://")).glob("facts-*"))
+    before = there()
+    pages, blocks, warnings = grids.parse_words(spark.createDataFrame(words, WORD), spark.createDataFrame(rulings, RULING), ["file_id", "page_number"])
+    assert len(there() - before) == 2 and pages.count() == 4 and blocks.where("kind = 'table'").count() == 8 and warnings.count() == 1
+
+
+def test_pages_taken_in_turns_are_the_same(spark, monkeypatch):
+    words, rulings = ruled_pages(6)
+    frames = spark.createDataFrame(words, WORD), spark.createDataFrame(rulings, RULING)
+    whole = [sorted(map(tuple, d.collect())) for d in grids.parse_words(*frames, ["file_id", "page_number"])]
+    written, write = [], stages.Settled.__call__
+
+    def counted(self, df, by=None):
+        out = write(self, df, by)
+        written.append(out.count() if "seg" in df.columns else 0)
+        return out
+
+    monkeypatch.setattr(stages.Settled, "__call__", counted)
+    monkeypatch.setattr(grids, "WORDS", len(words) // 3)
+    assert [sorted(map(tuple, d.collect())) for d in grids.parse_words(*frames, ["file_id", "page_number"])] == whole
+    assert 0 < max(written) < sum(written) / 2
+    # page keys whose hashes may differ where a join finds them equal are not parted
+    other = frames[0].withColumn("page_number", F.col("page_number").cast("double"))
+    assert grids.parse_words(other, frames[1], ["file_id", "page_number"])[0].count() == 6
+
+
+def test_a_number_that_words_share_loses_none(spark):
+    words, rulings = ruled_pages(1)
+    same = [(*w[:2], 7, *w[3:]) for w in words]
+    blocks = grids.parse_words(spark.createDataFrame(same, WORD), spark.createDataFrame(rulings, RULING), ["file_id", "page_number"])[1]
+    assert sorted(w for b in blocks.collect() for w in b["text"].split() if w[0] not in "|-") == sorted(w[3] for w in words if w[4] is not None)
+
+
 @pytest.fixture(scope="module")
 def folder(tmp_path_factory):
     top = tmp_path_factory.mktemp("files")
